@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Queries, table
-from . import quality, url_filters, warc
+from . import pii, quality, url_filters, warc
 
 URL_RULES = [
     ("org", "/", "allow"),
@@ -79,10 +79,23 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM f
 """
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    got = docs.select("doc_id", pii.found(F.col("text")).alias("f"))
+    return got.select(
+        "doc_id",
+        *[f"f.n_{k}" for k in pii.KINDS],
+        F.sha2(F.col("f.base").cast("binary"), 256).alias("base_sha256"),
+        "f.spans",
+        "f.n_added",
+    )
+
+
 QUERIES: Queries = {
     "op2_warc": op2_warc,
     "op3_url_filters": op3_url_filters,
     "op4_quality_rules": op4_quality_rules,
+    "op5_pii": op5_pii,
 }
 
 ORACLE_SQL: dict[str, str] = {
