@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Queries, table
-from . import pii, quality, url_filters, warc
+from . import langid, pii, quality, url_filters, warc
 
 URL_RULES = [
     ("org", "/", "allow"),
@@ -91,11 +91,22 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    got = docs.select(
+        "doc_id",
+        langid.held_out(F.col("doc_id")).alias("held_out"),
+        langid.predicted(docs, langid.train(docs), docs["text"]).alias("p"),
+    )
+    return got.select("doc_id", "held_out", "p.lang_pred", "p.score", "p.languages")
+
+
 QUERIES: Queries = {
     "op2_warc": op2_warc,
     "op3_url_filters": op3_url_filters,
     "op4_quality_rules": op4_quality_rules,
     "op5_pii": op5_pii,
+    "op7_language_id": op7_language_id,
 }
 
 ORACLE_SQL: dict[str, str] = {
