@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Queries, table
-from . import langid, pii, quality, url_filters, warc
+from . import langid, order_minhash, pii, quality, url_filters, warc
 
 URL_RULES = [
     ("org", "/", "allow"),
@@ -101,12 +101,17 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "held_out", "p.lang_pred", "p.score", "p.languages")
 
 
+def op8_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_minhash.classes(table(spark, sf_dir, "documents"))
+
+
 QUERIES: Queries = {
     "op2_warc": op2_warc,
     "op3_url_filters": op3_url_filters,
     "op4_quality_rules": op4_quality_rules,
     "op5_pii": op5_pii,
     "op7_language_id": op7_language_id,
+    "op8_order_minhash": op8_order_minhash,
 }
 
 ORACLE_SQL: dict[str, str] = {
