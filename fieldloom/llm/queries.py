@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Queries, table
-from . import langid, order_minhash, pii, quality, url_filters, warc
+from . import langid, order_minhash, packing, pii, quality, url_filters, warc
 
 URL_RULES = [
     ("org", "/", "allow"),
@@ -105,6 +105,16 @@ def op8_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_minhash.classes(table(spark, sf_dir, "documents"))
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 QUERIES: Queries = {
     "op2_warc": op2_warc,
     "op3_url_filters": op3_url_filters,
@@ -112,6 +122,7 @@ QUERIES: Queries = {
     "op5_pii": op5_pii,
     "op7_language_id": op7_language_id,
     "op8_order_minhash": op8_order_minhash,
+    "op9_packing": op9_packing,
 }
 
 ORACLE_SQL: dict[str, str] = {
