@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Queries, table
-from . import langid, order_minhash, packing, pii, quality, url_filters, warc
+from . import langid, order_minhash, packing, pii, quality, url_filters, vector_dedup, warc
 
 URL_RULES = [
     ("org", "/", "allow"),
@@ -115,6 +115,10 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op10_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dedup.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: Queries = {
     "op2_warc": op2_warc,
     "op3_url_filters": op3_url_filters,
@@ -123,6 +127,7 @@ QUERIES: Queries = {
     "op7_language_id": op7_language_id,
     "op8_order_minhash": op8_order_minhash,
     "op9_packing": op9_packing,
+    "op10_vector_dedup": op10_vector_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
