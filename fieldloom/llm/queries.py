@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Queries, table
-from . import langid, order_minhash, packing, pii, quality, url_filters, vector_dedup, warc
+from . import chat_format, langid, order_minhash, packing, pii, quality, url_filters, vector_dedup, warc
 
 URL_RULES = [
     ("org", "/", "allow"),
@@ -17,6 +17,33 @@ URL_RULES = [
 ]
 
 
+def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_format.rotate(table(spark, sf_dir, "conversations"))
+
+
+OP1_SQL = r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, 'unknown') AS speaker, coalesce(text, '') AS text, count(*) AS copies
+  FROM conversations GROUP BY ALL),
+p AS (SELECT DISTINCT conv_id AS c, speaker AS perspective FROM t),
+s AS (
+  SELECT conv_id, perspective, turn, speaker, copies, text,
+    CASE WHEN speaker = perspective THEN '<|im_start|>assistant' || chr(10)
+         ELSE '<|im_start|>user name=' || regexp_replace(speaker, '[\s<>|]+', '_', 'g') || chr(10) END AS head,
+    text || '<|im_end|>' AS body
+  FROM t JOIN p ON conv_id IS NOT DISTINCT FROM c),
+o AS (
+  SELECT *, coalesce(sum(length(head) + length(body) + 1) OVER (
+      PARTITION BY conv_id, perspective ORDER BY turn NULLS FIRST, speaker, text
+      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
+  FROM s)
+SELECT conv_id, perspective, turn, speaker, copies, head || body || chr(10) AS segment, start,
+  (length(head) + length(body) + 1)::BIGINT AS length, (start + length(head))::BIGINT AS mask_start,
+  (CASE WHEN speaker = perspective THEN length(body) ELSE 0 END)::BIGINT AS mask_length
+FROM o
+"""
+
+
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     back = warc.archive_pages(table(spark, sf_dir, "pages"))
     return back.select(
@@ -120,6 +147,7 @@ def op10_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: Queries = {
+    "op1_chat_format": op1_chat_format,
     "op2_warc": op2_warc,
     "op3_url_filters": op3_url_filters,
     "op4_quality_rules": op4_quality_rules,
@@ -131,6 +159,7 @@ QUERIES: Queries = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_chat_format": OP1_SQL,
     "op3_url_filters": OP3_SQL,
     "op4_quality_rules": OP4_SQL,
 }
