@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Queries, table
-from . import chat_format, langid, order_minhash, packing, pii, quality, url_filters, vector_dedup, warc
+from . import chat_format, langid, order_minhash, packing, pii, quality, spm_lattice, url_filters, vector_dedup, warc
 
 URL_RULES = [
     ("org", "/", "allow"),
@@ -118,6 +118,25 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def piece_model_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = spm_lattice.load(piece_model_path())
+    coded = spm_lattice.encode(docs, model)
+    text = spm_lattice.decoded(F.col("ids"), model)
+    return coded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_ids"),
+        F.crc32(F.array_join("ids", ",").cast("binary")).alias("ids_crc32"),
+        F.sha2(text.cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     got = docs.select(
@@ -152,6 +171,7 @@ QUERIES: Queries = {
     "op3_url_filters": op3_url_filters,
     "op4_quality_rules": op4_quality_rules,
     "op5_pii": op5_pii,
+    "op6_sentencepiece": op6_sentencepiece,
     "op7_language_id": op7_language_id,
     "op8_order_minhash": op8_order_minhash,
     "op9_packing": op9_packing,
