@@ -1,75 +1,6 @@
-"""Helpers shared by the training-data operators.
+"""Helpers shared by the training-data operators."""
 
-``materialize`` is the one way lineage is cut here: a Parquet table in the
-folder that the cluster names in ``spark.checkpoint.dir``, which survives the
-loss of executors and carries no partitioning, so that a later join on it
-plans an exchange that adaptive execution can split when a key is hot.
-"""
+from fieldloom.operators.components import connected_components
+from fieldloom.plans.scratch import Queries, Scratch, columns_only, delete_path, scratch_path, table
 
-from __future__ import annotations
-
-import tempfile
-import uuid
-from collections.abc import Callable
-
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; one of our own only where none is set."""
-    sc = spark.sparkContext
-    at = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not at:
-        at = f"file://{tempfile.mkdtemp(prefix='fieldloom-')}"
-        sc.setCheckpointDir(at)
-    return at.rstrip("/")
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/fieldloom/{uuid.uuid4().hex}-{name}"
-
-
-class Scratch:
-    """Tables written in the shared folder by one operator call.
-
-    ``drop`` removes a table once nothing reads it any more; tables that the
-    returned plan still reads stay.
-    """
-
-    def __init__(self, spark: SparkSession):
-        self.spark = spark
-        self.paths: dict[int, str] = {}
-
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
-        path = scratch_path(self.spark, name)
-        df.write.parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
-        self.paths[id(out)] = path
-        return out
-
-    def drop(self, *frames: DataFrame) -> None:
-        for df in frames:
-            if path := self.paths.pop(id(df), None):
-                delete_path(self.spark, path)
-
-
-def delete_path(spark: SparkSession, path: str) -> None:
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-
-
-def columns_only(df: DataFrame, *names: str) -> DataFrame:
-    """The named columns, so that extra columns can't clash with working names."""
-    return df.select(*[df[n] for n in names])
-
-
-def digest_hex(text: Column) -> Column:
-    return F.sha2(text.cast("binary"), 256)
-
-
-Queries = dict[str, Callable[[SparkSession, str], DataFrame]]
+__all__ = ["Queries", "Scratch", "columns_only", "connected_components", "delete_path", "scratch_path", "table"]

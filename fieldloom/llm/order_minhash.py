@@ -34,8 +34,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch
-from .components import connected_components
+from .common import Scratch, connected_components
 
 WORDS = 5
 SIMILARITY = 0.8

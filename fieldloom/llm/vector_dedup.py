@@ -30,8 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
-from .components import connected_components
+from .common import Scratch, connected_components
 
 COSINE = 0.95
 #: Points for which there is one more cell.
