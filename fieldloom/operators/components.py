@@ -14,6 +14,10 @@ from pyspark.sql import functions as F
 from fieldloom.plans.scratch import Scratch
 
 
+#: Links whose stars are not written out.
+FEW_LINKS = 100_000
+
+
 def _signature(edges: DataFrame) -> tuple:
     return tuple(
         edges.agg(
@@ -43,11 +47,13 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     for _ in range(max_rounds):
         if seen[0] == 0:
             break
+        # few links can't make a partition too large: their stars stay in the plan
+        star = scratch.keep if seen[0] > FEW_LINKS else lambda df, _: df
         # large star: a node's larger neighbours move to its smallest neighbour
         both = cur.select(F.col("hi").alias("n"), F.col("lo").alias("o")).union(
             cur.select(F.col("lo").alias("n"), F.col("hi").alias("o"))
         )
-        low = scratch.keep(
+        low = star(
             both.groupBy("n").agg(F.min("o").alias("m")).select("n", F.least("n", "m").alias("m")), "low"
         )
         large = scratch.keep(
@@ -55,7 +61,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
             "large",
         )
         # small star: a node and its smaller neighbours move to the smallest of them
-        low2 = scratch.keep(large.groupBy("hi").agg(F.min("lo").alias("m")), "low2")
+        low2 = star(large.groupBy("hi").agg(F.min("lo").alias("m")), "low2")
         joined = large.join(low2, "hi")
         nxt = scratch.keep(
             joined.select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
