@@ -14,10 +14,14 @@ are the connected components of pairs with similarity 0.8 or more.
 
 A bucket of texts is never expanded into all pairs.  Exact copies are one node
 from the start.  In each round a bucket's pivots are compared with the members
-that are not of their component; members that a pivot's distances rule out
-leave the bucket, as does the pivot, and a bucket with one component left is
-done.  The number of pivots doubles with each round, so the rounds end after
-logarithmically many, with no pair skipped that could link two components.
+that are not of their component and then leave the bucket, as do, after the
+first round, members that the distances rule out; a bucket with one component
+left is done.  The number of pivots grows eightfold with each round, so there
+are logarithmically many, with no pair skipped that could link two components.
+Texts that the first round leaves in open buckets meet again by their rarest
+shingles, of which any two partners share one: in a large group of texts well
+below the threshold most of those are a text's own, so that such texts are not
+compared pair by pair.
 
 Defined results: a null text is a class of its own, equal texts are one class
 (empty ones too), rows of one id and text are repeated rows of one document; a
@@ -41,6 +45,8 @@ SIMILARITY = 0.8
 #: A pair at exactly ``SIMILARITY`` shares no sketch with chance (1 - 0.8 ** 4) ** 24, 3 in a million.
 TABLES = 24
 SAMPLE = 4
+#: Counters for how common shingles are among the texts that the first round leaves open.
+COUNTERS = 1 << 20
 #: Words whose hashes a worker remembers; only speed depends on it.
 CACHE = 300_000
 
@@ -96,9 +102,8 @@ def labelled(h: np.ndarray) -> np.ndarray:
     return np.where(occ == 0, h, _mix(h + occ * _ODD))
 
 
-def sketch(text: str | None) -> np.ndarray:
-    """A bucket key per table; none for a text without words."""
-    h = shingles(text)
+def sketch(h: np.ndarray) -> np.ndarray:
+    """A bucket key per table for the shingles of a text; none for a text without words."""
     if len(h) == 0:
         return np.empty(0, np.int64)
     x = labelled(h)
@@ -116,6 +121,23 @@ def sketch(text: str | None) -> np.ndarray:
     return keys.view(np.int64)
 
 
+def _counter(x: np.ndarray) -> np.ndarray:
+    return (x >> np.uint64(44)).astype(np.int64)
+
+
+def rare_shingles(h: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """The rarest labelled shingles in order, one more than a partner can lack.
+
+    A text of n shingles shares at least 0.8 n of them with a partner, so in
+    any order of all shingles their first n - 0.8 n + 1 have one in common.
+    """
+    x = labelled(h) if len(h) else h
+    if len(x) == 0:
+        return np.empty(0, np.int64)
+    keep = len(x) - int(np.ceil(SIMILARITY * len(x) - 1e-9)) + 1
+    return x[np.lexsort((x, common[_counter(x)]))[:keep]].view(np.int64)
+
+
 def aligned(a: np.ndarray, b: np.ndarray, least: float) -> int:
     """Most shingles that an alignment inside the band matches; 0 if ``least`` can't be reached.
 
@@ -171,7 +193,18 @@ def distance(a: np.ndarray, b: np.ndarray, xa: np.ndarray | None = None) -> floa
 
 def _sketch_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        yield pd.DataFrame({"node": batch["node"], "keys": [sketch(t) for t in batch["text"]]})
+        found = [shingles(t) for t in batch["text"]]
+        yield pd.DataFrame({"node": batch["node"], "n": [len(h) for h in found], "keys": [sketch(h) for h in found]})
+
+
+def _count_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    sums = np.zeros(COUNTERS, np.int64)
+    for batch in batches:
+        for t in batch["text"]:
+            if len(h := shingles(t)):
+                np.add.at(sums, _counter(labelled(h)), 1)
+    at = np.flatnonzero(sums)
+    yield pd.DataFrame({"counter": at, "n": sums[at]})
 
 
 def _verify_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -186,7 +219,7 @@ def _verify_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"a": batch["a"], "b": batch["b"], "dist": out})
 
 
-def _with_component(scratch: Scratch, rows: DataFrame, comps: DataFrame, node: str, name: str) -> DataFrame:
+def _with_component(rows: DataFrame, comps: DataFrame, node: str, name: str) -> DataFrame:
     """``rows`` with the component of ``node``, which is the node itself where no link touches it."""
     c = comps.select(F.col("node").alias(node), F.col("component").alias(name))
     return rows.join(c, node, "left").withColumn(name, F.coalesce(name, node))
@@ -196,16 +229,90 @@ def _relabel(scratch: Scratch, comps: DataFrame | None, links: DataFrame) -> Dat
     """Components after more links; only the components' links go through the rounds."""
     if comps is None:
         return scratch.keep(connected_components(links), "omh-comps")
-    ends = _with_component(scratch, links.select("a", "b"), comps, "a", "ca")
-    ends = _with_component(scratch, ends, comps, "b", "cb")
-    ends = scratch.keep(ends.select("a", "b", "ca", "cb"), "omh-ends")
-    moved = scratch.keep(connected_components(ends, "ca", "cb"), "omh-moved")
+    ends = _with_component(links, comps, "a", "ca")
+    ends = scratch.keep(_with_component(ends, comps, "b", "cb").select("a", "b", "ca", "cb"), "omh-ends")
+    moved = connected_components(ends, "ca", "cb").select(F.col("node").alias("component"), F.col("component").alias("to"))
     known = comps.union(ends.select("a", "ca")).union(ends.select("b", "cb")).distinct()
-    m = moved.select(F.col("node").alias("component"), F.col("component").alias("to"))
-    out = scratch.keep(
-        known.join(m, "component", "left").select("node", F.coalesce("to", "component").alias("component")), "omh-comps"
-    )
-    scratch.drop(ends, moved, comps)
+    out = known.join(moved, "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+    out = scratch.keep(out, "omh-comps")
+    scratch.drop(ends, comps)
+    return out
+
+
+#: Up to so many pairs (64 bytes each) have their nodes broadcast to pick their texts.
+FEW_PAIRS = 100_000
+
+
+def _judge(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """``(a, b, dist)`` of pairs of nodes.
+
+    The side with very many partners is split by adaptive execution: both
+    sides of either join are plain tables or rows of one.
+    """
+    if pairs.count() <= FEW_PAIRS:
+        nodes = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+        texts = texts.join(F.broadcast(nodes), "node", "left_semi")
+    with_b = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
+    both = with_b.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
+    return both.select("a", "b", "text_a", "text_b").mapInPandas(_verify_batches, "a binary, b binary, dist double")
+
+
+def _ruled_out(scratch: Scratch, state: DataFrame, pivots: DataFrame, judged: DataFrame, comps: DataFrame) -> DataFrame:
+    """Members ``(bucket, node)`` of the pivot's component that can't link to one outside it.
+
+    With x at distance d from the pivot and every y outside at d + 0.2 or
+    more, x and y are further apart than a link.
+    """
+    pairs = judged.select("a", "b", "dist").union(judged.select(F.col("b").alias("a"), F.col("a").alias("b"), "dist"))
+    met = state.join(pivots.select("bucket", "pivot"), "bucket").where("node <> pivot")
+    met = met.join(pairs.select(F.col("a").alias("pivot"), F.col("b").alias("node"), "dist"), ["pivot", "node"])
+    met = scratch.keep(met.select("bucket", "node", "dist"), "omh-met")
+    near = 1 - SIMILARITY + 1e-9
+    miss = scratch.keep(met.where(f"dist > {near}").groupBy("bucket").agg(F.min("dist").alias("miss")), "omh-miss")
+    out = met.where(f"dist <= {near}").join(miss, "bucket", "left")
+    return out.where(f"coalesce(miss, 1.0) >= {FAR} or dist + {near} < miss").select("bucket", "node")
+
+
+SKETCH = "node binary, n int, keys array<long>"
+#: Partners have a first common shingle, in the order of their ranks, and at least this many from there on.
+ENOUGH = f"least(n - rank, pivot_n - pivot_rank) >= {SIMILARITY / (1 + SIMILARITY)} * (n + pivot_n) - 1e-6"
+
+
+def _members(scratch: Scratch, sketches: DataFrame) -> DataFrame:
+    """``(bucket, node, n, rank)`` of buckets with more than one node; exact copies count once."""
+    members = scratch.keep(sketches.groupBy("bucket", "node").agg(F.min("n").alias("n"), F.min("rank").alias("rank")), "omh-members")
+    crowded = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
+    crowded = scratch.keep(crowded, "omh-crowded")
+    out = scratch.keep(members.join(crowded, "bucket", "left_semi"), "omh-state")
+    scratch.drop(members, crowded)
+    return out
+
+
+def _refined(scratch: Scratch, state: DataFrame, comps: DataFrame, texts: DataFrame) -> DataFrame:
+    """Buckets by rare shingle of the nodes that share a bucket with one of another component.
+
+    The counters are of a fixed number; they only choose the order in which
+    shingles count as rare, any order loses no pair.
+    """
+    current = scratch.keep(_with_component(state, comps, "node", "comp"), "omh-current")
+    mixed = current.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
+    mixed = scratch.keep(mixed.select("bucket"), "omh-mixed")
+    left = scratch.keep(current.join(mixed, "bucket", "left_semi").select("node").distinct(), "omh-left")
+    open_texts = texts.join(left, "node", "left_semi")
+    counts = open_texts.mapInPandas(_count_batches, "counter long, n long").groupBy("counter").agg(F.sum("n").alias("n")).toPandas()
+    common = np.zeros(COUNTERS, np.int64)
+    common[counts["counter"].to_numpy()] = counts["n"].to_numpy()
+    shared = texts.sparkSession.sparkContext.broadcast(common)
+
+    def rare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = [shingles(t) for t in batch["text"]]
+            keys = [rare_shingles(h, shared.value) for h in found]
+            yield pd.DataFrame({"node": batch["node"], "n": [len(h) for h in found], "keys": keys})
+
+    fine = open_texts.mapInPandas(rare, SKETCH).select("node", "n", F.posexplode("keys").alias("rank", "bucket"))
+    out = _members(scratch, fine)
+    scratch.drop(current, mixed, left, state)
     return out
 
 
@@ -217,13 +324,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = rows.where("node is not null")
     ids = scratch.keep(named.groupBy("node").agg(F.min("doc_id").alias("rep")), "omh-ids")
 
-    sketches = named.select("node", "text").mapInPandas(_sketch_batches, "node binary, keys array<long>")
-    members = scratch.keep(
-        sketches.select("node", F.explode("keys").alias("bucket")).distinct(), "omh-members"
-    )
-    crowded = scratch.keep(members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket"), "omh-crowded")
-    state = scratch.keep(members.join(crowded, "bucket", "left_semi"), "omh-state")
-    scratch.drop(members, crowded)
+    sketches = named.select("node", "text").mapInPandas(_sketch_batches, SKETCH)
+    state = _members(scratch, sketches.select("node", "n", F.lit(0).alias("rank"), F.explode("keys").alias("bucket")))
 
     # the texts of candidates, one row a node, by a key that no two rows share
     wanted = scratch.keep(state.select("node").distinct().join(ids, "node"), "omh-wanted")
@@ -235,86 +337,57 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     scratch.drop(wanted)
 
     comps: DataFrame | None = None
-    done: DataFrame | None = None
-    pivots_each = 1
+    judged_so_far: list[DataFrame] = []
+    shares = 1
     while True:
-        if comps is None:
-            current = state.withColumn("comp", F.col("node"))
-        else:
-            current = scratch.keep(_with_component(scratch, state, comps, "node", "comp"), "omh-current")
-        # a pivot for each share of a bucket with more than one component
-        share = F.pmod(F.xxhash64("node", F.lit(pivots_each)), F.lit(pivots_each))
-        open_buckets = current.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
-        if comps is None:
-            pivots = current.groupBy("bucket").agg(F.min(F.struct("node", "comp")).alias("p"))
-        else:
-            live = scratch.keep(open_buckets.select("bucket"), "omh-open")
-            if live.isEmpty():
-                break
-            current = scratch.keep(current.join(live, "bucket", "left_semi"), "omh-live")
-            # the largest component's members come last, so that stray members are compared first
-            sizes = scratch.keep(current.groupBy("bucket", "comp").agg(F.count("*").alias("m")), "omh-sizes")
-            ranked = current.join(sizes, ["bucket", "comp"])
-            pivots = ranked.groupBy("bucket", share.alias("share")).agg(
-                F.min(F.struct("m", "node", "comp")).alias("p")
-            )
+        current = state.withColumn("comp", F.col("node"))
+        if comps is not None:
+            current = scratch.keep(_with_component(state, comps, "node", "comp"), "omh-current")
+        # a bucket's components, each with one member that can be a pivot
+        sizes = scratch.keep(
+            current.groupBy("bucket", "comp").agg(F.count("*").alias("m"), F.min(F.struct("node", "n", "rank")).alias("pivot")),
+            "omh-sizes",
+        )
+        live = sizes.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
+        # small components first: a stray member meets all others at once
         pivots = scratch.keep(
-            pivots.select("bucket", F.col("p.node").alias("pivot"), F.col("p.comp").alias("pivot_comp")), "omh-pivots"
+            sizes.join(live, "bucket", "left_semi")
+            .groupBy("bucket", F.pmod(F.xxhash64("comp"), F.lit(shares)).alias("share"))
+            .agg(F.min(F.struct("m", "pivot", "comp")).alias("p"))
+            .select(
+                "bucket",
+                F.col("p.pivot.node").alias("pivot"),
+                F.col("p.pivot.n").alias("pivot_n"),
+                F.col("p.pivot.rank").alias("pivot_rank"),
+                F.col("p.comp").alias("pivot_comp"),
+            ),
+            "omh-pivots",
         )
         if pivots.isEmpty():
             break
-        against = current.join(pivots, "bucket").where("node <> pivot and comp <> pivot_comp")
+        against = current.join(pivots, "bucket").where(f"node <> pivot and comp <> pivot_comp and {ENOUGH}")
         pairs = against.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
-        if done is not None:
-            pairs = pairs.join(done, ["a", "b"], "left_anti")
+        for earlier in judged_so_far:
+            pairs = pairs.join(earlier, ["a", "b"], "left_anti")
         pairs = scratch.keep(pairs, "omh-pairs")
-        with_b = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-        both = with_b.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
-        judged = scratch.keep(
-            both.select("a", "b", "text_a", "text_b").mapInPandas(_verify_batches, "a binary, b binary, dist double"),
-            "omh-judged",
-        )
-        done = judged if done is None else scratch.keep(done.union(judged), "omh-done")
-        comps = _relabel(scratch, comps, judged.where(f"dist <= {1 - SIMILARITY + 1e-9}").select("a", "b"))
-
-        # what each bucket still needs: not its pivots, nor members that the distances rule out
-        now = _with_component(scratch, state if pivots_each == 1 else current.select("node", "bucket"), comps, "node", "comp")
-        live = scratch.keep(
-            now.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("bucket"),
-            "omh-left",
-        )
-        if live.isEmpty():
-            break
-        now = scratch.keep(now.join(live, "bucket", "left_semi"), "omh-now")
-        mine = scratch.keep(
-            _with_component(scratch, pivots.join(live, "bucket", "left_semi").select("bucket", "pivot"), comps, "pivot", "pc"),
-            "omh-mine",
-        )
-        met = now.join(mine, "bucket").where("node <> pivot")
-        met = met.select("*", F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"))
-        met = scratch.keep(met.join(done, ["a", "b"], "left").select("bucket", "node", "comp", "pivot", "pc", "dist"), "omh-met")
-        # the nearest miss of each pivot within each bucket, unknown distances counting as nearest
-        miss = scratch.keep(
-            met.where("comp <> pc")
-            .groupBy("bucket", "pivot")
-            .agg(F.min(F.coalesce("dist", F.lit(0.0))).alias("miss")),
-            "omh-miss",
-        )
-        out = (
-            met.where("comp = pc and dist is not null")
-            .join(miss, ["bucket", "pivot"], "left")
-            .where(f"coalesce(miss, 1.0) >= {FAR} or dist + {1 - SIMILARITY} < miss - 1e-9")
-            .select("bucket", "node")
-            .distinct()
-        )
-        gone = scratch.keep(out.union(mine.select("bucket", F.col("pivot").alias("node"))).distinct(), "omh-gone")
-        nxt = scratch.keep(now.select("bucket", "node").join(gone, ["bucket", "node"], "left_anti"), "omh-state")
-        scratch.drop(state, now, live, mine, met, miss, gone, pivots, pairs, current)
-        state, pivots_each = nxt, pivots_each * 2
+        judged = scratch.keep(_judge(pairs, texts), "omh-judged")
+        judged_so_far.append(judged)
+        links = judged.where(f"dist <= {1 - SIMILARITY + 1e-9}").select("a", "b")
+        comps = _relabel(scratch, comps, links)
+
+        # a pivot has met every other component of its bucket and leaves it
+        gone = pivots.select("bucket", F.col("pivot").alias("node"))
+        if shares == 1:
+            gone = gone.union(_ruled_out(scratch, state, pivots, judged, comps))
+        nxt = scratch.keep(state.join(gone, ["bucket", "node"], "left_anti"), "omh-state")
+        if shares == 1:
+            nxt = _refined(scratch, nxt, comps, texts)
+        scratch.drop(state, current, sizes, pivots, pairs)
+        state, shares = nxt, shares * 8
 
     if comps is None:
         return ids.select("node", F.col("rep").alias("class_id"))
-    full = scratch.keep(_with_component(scratch, ids, comps, "node", "component"), "omh-full")
+    full = scratch.keep(_with_component(ids, comps, "node", "component"), "omh-full")
     least = scratch.keep(full.groupBy("component").agg(F.min("rep").alias("class_id")), "omh-class")
     return full.join(least, "component").select("node", "class_id")
 
