@@ -22,6 +22,7 @@ ignored.
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -38,8 +39,8 @@ END_ID = 1
 BUCKET_ROWS = 20_000
 #: Chunks whose ids a worker remembers; only speed depends on it.
 CACHE = 300_000
-#: Fillings enumerated for a sequence, branches tried, and steps of the search.
-FILLINGS, BRANCHES, STEPS = 400, 3, 20_000
+#: Fillings listed for a sequence and nodes visited for them, branches tried, and steps of the search.
+FILLINGS, NODES, BRANCHES, STEPS = 50, 1000, 3, 2000
 
 
 class Ids(dict):
@@ -165,12 +166,13 @@ def fillings(counts: np.ndarray, first: int, capacity: int, most_waste: int) ->
     have = counts.copy()
     have[first] -= 1
     sizes = (np.flatnonzero(have[1 : capacity - first + 1]) + 1)[::-1].tolist()
+    falling = [-n for n in sizes]
     out: list[tuple[int, tuple]] = []
     seen = 0
 
     def dominated(parts: list[tuple[int, int]], room: int) -> bool:
         used = dict(parts)
-        if np.any(have[1 : room + 1] > [used.get(n, 0) for n in range(1, room + 1)]):
+        if any(have[n] > used.get(n, 0) for n in (np.flatnonzero(have[1 : room + 1]) + 1).tolist()):
             return True
         for n, _ in parts:
             for bigger in range(n + 1, n + room + 1):
@@ -179,31 +181,22 @@ def fillings(counts: np.ndarray, first: int, capacity: int, most_waste: int) ->
         return False
 
     def walk(i: int, room: int, parts: list[tuple[int, int]]) -> bool:
+        """Fillings that add parts from ``sizes[i:]``, largest first; true when enough are found."""
         nonlocal seen
-        seen += 1
-        if seen > 20 * FILLINGS or len(out) >= FILLINGS:
-            return True
-        while i < len(sizes) and sizes[i] > room:
-            i += 1
+        i = max(i, bisect_left(falling, -room))
         if room == 0 or i == len(sizes):
             if room <= most_waste and not dominated(parts, room):
                 out.append((room, _merged([(first, 1), *parts])))
-                return room == 0 and len(out) >= BRANCHES
-            return False
-        n = sizes[i]
-        for k in range(min(int(have[n]), room // n), -1, -1):
-            if walk(i + 1, room - n * k, [*parts, (n, k)] if k else parts):
-                return True
+            return len(out) >= FILLINGS or room == 0 and len(out) >= BRANCHES
+        for j in range(i, len(sizes)):
+            n = sizes[j]
+            for k in range(min(int(have[n]), room // n), 0, -1):
+                seen += 1
+                if seen > NODES or walk(j + 1, room - n * k, [*parts, (n, k)]):
+                    return True
         return False
 
-    import sys
-
-    limit = sys.getrecursionlimit()
-    sys.setrecursionlimit(max(limit, 3 * len(counts) + 1000))
-    try:
-        walk(0, capacity - first, [])
-    finally:
-        sys.setrecursionlimit(limit)
+    walk(0, capacity - first, [])
     return sorted(out, key=lambda x: (x[0], [-n for n, _ in x[1]]))
 
 
