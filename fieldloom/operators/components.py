@@ -3,18 +3,22 @@
 Both stars replace a node's links by links to the smallest node it knows; the
 number of rounds grows with the logarithm of a component's size, and every
 round is a partial aggregation plus one join whose two sides are plain tables,
-so a node with very many links is split by adaptive execution.
+so a node with very many links is split by adaptive execution.  A number of
+links that surely fits in one task is united there instead.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldloom.plans.scratch import Scratch
 
 
-#: Links whose stars are not written out.
+#: So many links are united in one task, which is all the rows it ever gets; more go through the rounds.
 FEW_LINKS = 100_000
 
 
@@ -27,6 +31,29 @@ def _signature(edges: DataFrame) -> tuple:
     )
 
 
+def _in_one_task(links: DataFrame) -> DataFrame:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        root: dict = {}
+
+        def find(x):
+            while (up := root.setdefault(x, x)) != x:
+                root[x] = root[up]
+                x = root[x]
+            return x
+
+        for batch in batches:
+            for a, b in zip(batch["hi"].tolist(), batch["lo"].tolist()):
+                a, b = find(a), find(b)
+                if a != b:
+                    root[max(a, b)] = min(a, b)
+        nodes = list(root)
+        if nodes:
+            yield pd.DataFrame({"node": nodes, "component": [find(x) for x in nodes]})
+
+    kind = links.schema["hi"].dataType.simpleString()
+    return links.coalesce(1).mapInPandas(run, f"node {kind}, component {kind}")
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
     """``(node, component)`` for every node of an undirected edge table.
 
@@ -44,16 +71,16 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
         "edges",
     )
     seen = _signature(cur)
+    if 0 < seen[0] <= FEW_LINKS:
+        return scratch.keep(_in_one_task(cur), "components")
     for _ in range(max_rounds):
         if seen[0] == 0:
             break
-        # few links can't make a partition too large: their stars stay in the plan
-        star = scratch.keep if seen[0] > FEW_LINKS else lambda df, _: df
         # large star: a node's larger neighbours move to its smallest neighbour
         both = cur.select(F.col("hi").alias("n"), F.col("lo").alias("o")).union(
             cur.select(F.col("lo").alias("n"), F.col("hi").alias("o"))
         )
-        low = star(
+        low = scratch.keep(
             both.groupBy("n").agg(F.min("o").alias("m")).select("n", F.least("n", "m").alias("m")), "low"
         )
         large = scratch.keep(
@@ -61,7 +88,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
             "large",
         )
         # small star: a node and its smaller neighbours move to the smallest of them
-        low2 = star(large.groupBy("hi").agg(F.min("lo").alias("m")), "low2")
+        low2 = scratch.keep(large.groupBy("hi").agg(F.min("lo").alias("m")), "low2")
         joined = large.join(low2, "hi")
         nxt = scratch.keep(
             joined.select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
