@@ -219,9 +219,15 @@ def _verify_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"a": batch["a"], "b": batch["b"], "dist": out})
 
 
+#: Components of so many nodes (32 bytes each) are broadcast; of more, joined.
+FEW_NODES = 200_000
+
+
 def _with_component(rows: DataFrame, comps: DataFrame, node: str, name: str) -> DataFrame:
     """``rows`` with the component of ``node``, which is the node itself where no link touches it."""
     c = comps.select(F.col("node").alias(node), F.col("component").alias(name))
+    if comps.count() <= FEW_NODES:
+        c = F.broadcast(c)
     return rows.join(c, node, "left").withColumn(name, F.coalesce(name, node))
 
 
