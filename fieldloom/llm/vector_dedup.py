@@ -11,7 +11,7 @@ its difference points along a centre difference four standard deviations more
 than a random one, measured recall is 1.0 (see the README).
 
 A cell is cut into blocks of ``BLOCK`` rows, and products are taken for pairs
-of blocks: a task holds two blocks and one product, whatever a cell's size.
+of blocks: a task holds two blocks and a strip of products, whatever a cell's size.
 Pairs of a common cell are counted where the probe rule shows them first, so no
 pair counts twice, and only counts and a spanning set of links leave a task.
 
@@ -35,7 +35,9 @@ from .common import Scratch, connected_components
 COSINE = 0.95
 #: Points for which there is one more cell.
 CELL_ROWS = 4096
-BLOCK = 1024
+BLOCK = 16_384
+#: Rows of a block whose products are held at a time.
+STRIP = 512
 #: Points of the training sample that are expected for each cell, and of the sample at most.
 SAMPLE_PER_CELL, SAMPLE_ROWS = 128, 200_000
 ROUNDS = 12
@@ -91,41 +93,63 @@ def compare(a: pd.DataFrame, b: pd.DataFrame, cell: int, cosine: float) -> tuple
     home in it, and no smaller cell sees it the same way.
     """
     same = a is b
-    hits = _rows(a["v"]) @ _rows(b["v"]).T >= cosine
-    if same:
-        hits &= np.triu(np.ones_like(hits), 1)
-    ia, ib = np.nonzero(hits)
-    ha, hb = a["home"].to_numpy()[ia], b["home"].to_numpy()[ib]
-    keep = (ha == cell) | (hb == cell)
-    cross = np.flatnonzero(keep & (ha != hb))
-    sa, sb = a["shown"].to_list(), b["shown"].to_list()
-    for n in cross:  # at home in different cells: each may be shown to the other's
-        other = hb[n] if ha[n] == cell else ha[n]
-        if other < cell and (other in (sa[ia[n]] if ha[n] == cell else sb[ib[n]])):
-            keep[n] = False
-    ia, ib = ia[keep], ib[keep]
+    xa = normed(_rows(a["v"]))
+    xb = xa if same else normed(_rows(b["v"]))
+    ha, hb = a["home"].to_numpy(np.int64), b["home"].to_numpy(np.int64)
     wa, wb = a["w"].to_numpy(), b["w"].to_numpy()
-    na = np.bincount(ia, wb[ib], len(a)).astype(np.int64)
-    nb = np.bincount(ib, wa[ia], len(b)).astype(np.int64)
-    # a spanning forest of the links found
     pa, pb = a["p"].to_numpy(), b["p"].to_numpy()
-    root: dict[int, int] = {}
-
-    def find(x: int) -> int:
-        while root.setdefault(x, x) != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
+    cells = 1 + max(int(ha.max()), int(hb.max()), cell)
+    in_a, in_b = _shown_codes(a["shown"], cells), _shown_codes(b["shown"], cells)
+    na, nb = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
+    # labels of a's rows, then b's; a block with itself has one set
+    label = np.arange(len(a) if same else len(a) + len(b))
+    shift = 0 if same else len(a)
     links = []
-    for x, y in zip(pa[ia].tolist(), pb[ib].tolist()):
-        rx, ry = find(x), find(y)
-        if rx != ry:
-            root[rx] = ry
-            links.append((x, y))
+    for at in range(0, len(a), STRIP):
+        hits = xa[at : at + STRIP] @ xb.T >= cosine
+        if same:
+            hits &= np.arange(len(b))[None, :] > np.arange(at, at + len(hits))[:, None]
+        ia, ib = np.nonzero(hits)
+        ia += at
+        keep = (ha[ia] == cell) | (hb[ib] == cell)
+        # at home in different cells: each may be shown to the other's
+        cross = keep & (ha[ia] != hb[ib])
+        if cross.any():
+            here = ha[ia] == cell
+            other = np.where(here, hb[ib], ha[ia])
+            seen = np.where(here, np.isin(ia * cells + other, in_a), np.isin(ib * cells + other, in_b))
+            keep &= ~(cross & (other < cell) & seen)
+        ia, ib = ia[keep], ib[keep]
+        na += np.bincount(ia, wb[ib], len(a)).astype(np.int64)
+        nb += np.bincount(ib, wa[ia], len(b)).astype(np.int64)
+        for i, js in zip(*_groups(ia, ib)):
+            mine = label[js + shift]
+            old, first = np.unique(mine, return_index=True)
+            low = min(int(old[0]), int(label[i]))
+            if len(old) == 1 and old[0] == label[i]:
+                continue
+            links += [(int(pa[i]), int(pb[js[f]])) for u, f in zip(old, first) if u != label[i]]
+            label[np.isin(label, np.append(old, label[i]))] = low
     return na, nb, links
 
 
+def _shown_codes(shown: pd.Series, cells: int) -> np.ndarray:
+    """row * cells + cell for each cell below ``cells`` that a row is shown to."""
+    sizes = [len(x) for x in shown]
+    flat = np.concatenate([np.asarray(x, np.int64) for x in shown]) if len(shown) else np.empty(0, np.int64)
+    rows = np.repeat(np.arange(len(shown)), sizes)
+    keep = flat < cells
+    return rows[keep] * cells + flat[keep]
+
+
+def _groups(ia: np.ndarray, ib: np.ndarray) -> tuple[list[int], list[np.ndarray]]:
+    """The rows of ``ia``, which is sorted, each with its partners."""
+    if not len(ia):
+        return [], []
+    cuts = np.flatnonzero(np.diff(ia)) + 1
+    return ia[np.concatenate(([0], cuts))].tolist(), np.split(ib, cuts)
+
+
 def near_vectors(
     vectors: DataFrame,
     id_col: str = "vec_id",
@@ -137,7 +161,9 @@ def near_vectors(
     """``(vec_id, n_links, component_id, kept)``, one row per row of ``vectors``."""
     spark = vectors.sparkSession
     scratch = Scratch(spark)
-    raw = vectors.select(vectors[id_col].cast("long").alias("vec_id"), vectors[vector_col].cast("array<double>").alias("v"))
+    # components travel as they are; lengths and products are taken in double precision
+    kind = "float" if vectors.schema[vector_col].dataType.simpleString() == "array<float>" else "double"
+    raw = vectors.select(vectors[id_col].cast("long").alias("vec_id"), vectors[vector_col].cast(f"array<{kind}>").alias("v"))
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
     raw = raw.withColumn("ok", F.coalesce(finite, F.lit(False)))
     sizes = raw.where("ok").groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
@@ -146,7 +172,7 @@ def near_vectors(
     dim = sizes[0]["d"]
     raw = raw.withColumn("ok", F.col("ok") & (F.size("v") == dim))
     # 0.0 + x turns -0.0 into 0.0, so that equal vectors have equal bytes
-    keyed = raw.withColumn("key", F.when(F.col("ok"), F.unhex(F.md5(F.to_json(F.transform("v", lambda x: x + F.lit(0.0))).cast("binary")))))
+    keyed = raw.withColumn("key", F.when(F.col("ok"), F.unhex(F.md5(F.to_json(F.transform("v", lambda x: x.cast("double") + F.lit(0.0))).cast("binary")))))
     rows = scratch.keep(keyed.select("vec_id", "key"), "vec-rows")
     points = (
         keyed.where("ok")
@@ -168,12 +194,11 @@ def near_vectors(
     def show(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if len(batch):
-                x = normed(_rows(batch["v"]))
-                home, shown = cells_of(x, centres.value, cosine, slack)
-                yield pd.DataFrame({"p": batch["p"], "w": batch["w"], "v": list(x), "home": home.astype(np.int32), "shown": shown})
+                home, shown = cells_of(normed(_rows(batch["v"])), centres.value, cosine, slack)
+                yield pd.DataFrame({"p": batch["p"], "w": batch["w"], "v": batch["v"], "home": home.astype(np.int32), "shown": shown})
 
     shown = scratch.keep(
-        points.select("p", "w", "v").mapInPandas(show, "p long, w long, v array<double>, home int, shown array<int>"), "vec-shown"
+        points.select("p", "w", "v").mapInPandas(show, f"p long, w long, v array<{kind}>, home int, shown array<int>"), "vec-shown"
     )
     seats = shown.select("p", "w", "v", "home", "shown", F.explode("shown").alias("cell"))
     # blocks of a cell by hash, about BLOCK rows each

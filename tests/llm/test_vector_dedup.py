@@ -23,7 +23,7 @@ def test_against_brute_force(spark):
     rows = [(int(i), [float(c) for c in r], 1) for i, r in zip(ids, x)]
     bad = [(1, None, 1), (2, [0.0] * 24, 1), (3, [float("nan")] * 24, 1), (4, [None] * 24, 1), (5, [float("inf")] + [1.0] * 23, 1), (6, [1.0], 1), (7, [], 1)]
     df = spark.createDataFrame(rows + bad, "vec_id long, embedding array<float>, p int")
-    old, v.BLOCK = v.BLOCK, 32
+    old, v.BLOCK = v.BLOCK, 64
     try:
         got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in v.near_vectors(df, cell_rows=40).collect()}
     finally:
