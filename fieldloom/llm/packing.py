@@ -21,6 +21,7 @@ ignored.
 
 from __future__ import annotations
 
+import unicodedata
 import zlib
 from bisect import bisect_left
 from collections.abc import Iterator
@@ -38,11 +39,15 @@ END_ID = 1
 #: Pieces for which a length has one more salted bucket.
 BUCKET_ROWS = 20_000
 #: Chunks whose ids a worker remembers; only speed depends on it.
-CACHE = 300_000
+CACHE = 600_000
 #: Fillings listed for a sequence and nodes visited for them, branches tried, and steps of the search.
 FILLINGS, NODES, BRANCHES, STEPS = 50, 1000, 3, 2000
 
 
+#: Characters of texts whose words are looked up together, and chunks encoded in one call.
+TOGETHER, CALL = 1 << 20, 1000
+
+
 class Ids(dict):
     """White-space separated chunk -> its ids as little-endian unsigned 32-bit bytes.
 
@@ -55,19 +60,65 @@ class Ids(dict):
 
         self.encode = Tokenizer.from_file(path).encode
 
-    def __missing__(self, chunk: str) -> bytes:
-        if len(self) >= CACHE:
-            self.clear()
-        ids = np.array(self.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
-        self[chunk] = ids
-        return ids
+    def direct(self, text: str) -> bytes:
+        return np.array(self.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    @staticmethod
+    def parts(chunk: str) -> tuple[str, ...]:
+        """Lower-case parts with the ids of ``chunk`` between them; none if normalising may do more.
+
+        The vocabulary is in lower case, and letters never share a token with
+        what follows them.
+        """
+        low = chunk.lower()
+        if not chunk.isascii() and (
+            "Σ" in chunk or len(low) != len(chunk) or unicodedata.combining(chunk[0]) or not unicodedata.is_normalized("NFC", chunk)
+        ):
+            return ()
+        if low[-1] in ".,;:!?" and low[:-1].isalpha():
+            return low[:-1], low[-1]
+        return (low,)
+
+    def learn(self, chunks: list[str]) -> None:
+        """Encode parts of chunks many at a time; a token belongs to the part that its offset is in."""
+        split = {c: self.parts(c) for c in chunks}
+        plain = list({x for parts in split.values() for x in parts if x not in self})
+        for at in range(0, len(plain), CALL):
+            part = plain[at : at + CALL]
+            found = self.encode(" ".join(part), add_special_tokens=False)
+            data = np.array(found.ids, "<u4").tobytes()
+            starts = np.fromiter((o[0] for o in found.offsets), np.int64, len(found.ids))
+            ends = np.cumsum([len(c) + 1 for c in part])
+            cuts = [0, *(4 * np.searchsorted(starts, ends)).tolist()]
+            for c, i, j in zip(part, cuts, cuts[1:]):
+                self[c] = data[i:j]
+        for c, parts in split.items():
+            if not parts:
+                self[c] = self.direct(c)
+            elif parts != (c,):
+                self[c] = b"".join([self[x] for x in parts])
+
+    def of_all(self, texts: list[str | None]) -> Iterator[bytes]:
+        """Ids of each text, looking up the words of some texts together."""
+        at = 0
+        while at < len(texts):
+            stop, size = at, 0
+            while stop < len(texts) and (stop == at or size < TOGETHER):
+                size += len(texts[stop] or "")
+                stop += 1
+            # the separators of the tokenizer are Unicode white space; split() has four more
+            odd = [any(c in (t or "") for c in "\x1c\x1d\x1e\x1f") for t in texts[at:stop]]
+            words = [[] if o else (t or "").split() for t, o in zip(texts[at:stop], odd)]
+            new = set().union(*words)
+            if len(self) + len(new) > CACHE:
+                self.clear()
+            self.learn([w for w in new if w not in self])
+            for t, o, w in zip(texts[at:stop], odd, words):
+                yield self.direct(t) if o else b"".join(map(self.__getitem__, w))
+            at = stop
 
     def of(self, text: str | None) -> bytes:
-        # the separators of the tokenizer are Unicode white space; split() has four more
-        text = text or ""
-        if any(c in text for c in "\x1c\x1d\x1e\x1f"):
-            return np.array(self.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        return b"".join(map(self.__getitem__, text.split()))
+        return next(self.of_all([text]))
 
 
 _ids: dict[str, Ids] = {}
@@ -83,8 +134,8 @@ def pieces(
         ids = _ids.get(tokenizer) or _ids.setdefault(tokenizer, Ids(tokenizer))
         for batch in batches:
             rows = []
-            for doc_id, text in zip(batch["doc_id"].tolist(), batch["text"]):
-                data = ids.of(text) + end
+            for doc_id, data in zip(batch["doc_id"].tolist(), ids.of_all(batch["text"].tolist())):
+                data += end
                 for k, at in enumerate(range(0, len(data), 4 * capacity)):
                     part = data[at : at + 4 * capacity]
                     rows.append((doc_id, k, at // 4, len(part) // 4, zlib.crc32(part), *([np.frombuffer(part, "<u4").astype(np.int32)] if with_ids else [])))

@@ -71,6 +71,8 @@ def test_ids_equal_the_tokenizer():
     texts += ["".join(rnd.choice("aE é's.1 \n\t <|>́ß") for _ in range(60)) for _ in range(500)]
     for x in texts:
         assert np.frombuffer(ids.of(x), "<u4").tolist() == t.encode(x, add_special_tokens=False).ids, x
+    for x, data in zip(texts, packing.Ids(PATH).of_all(texts)):
+        assert np.frombuffer(data, "<u4").tolist() == t.encode(x, add_special_tokens=False).ids, x
 
 
 def test_pack_round_trip(spark):
