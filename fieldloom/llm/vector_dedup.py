@@ -105,13 +105,18 @@ def compare(a: pd.DataFrame, b: pd.DataFrame, cell: int, cosine: float) -> tuple
     label = np.arange(len(a) if same else len(a) + len(b))
     shift = 0 if same else len(a)
     links = []
-    for at in range(0, len(a), STRIP):
-        hits = xa[at : at + STRIP] @ xb.T >= cosine
+    # rows at home here with all rows, then the others with those at home; two visitors never count here
+    every = np.arange(len(b))
+    parts = [(np.flatnonzero(ha == cell), every)]
+    if not same:
+        parts.append((np.flatnonzero(ha != cell), np.flatnonzero(hb == cell)))
+    for rows, cols in [(r[at : at + STRIP], c) for r, c in parts for at in range(0, len(r), STRIP)]:
+        hits = xa[rows] @ xb[cols].T >= cosine
         if same:
-            hits &= np.arange(len(b))[None, :] > np.arange(at, at + len(hits))[:, None]
+            hits &= (cols[None, :] > rows[:, None]) | (hb[cols] != cell)[None, :]
         ia, ib = np.nonzero(hits)
-        ia += at
-        keep = (ha[ia] == cell) | (hb[ib] == cell)
+        ia, ib = rows[ia], cols[ib]
+        keep = np.ones(len(ia), bool)
         # at home in different cells: each may be shown to the other's
         cross = keep & (ha[ia] != hb[ib])
         if cross.any():
