@@ -126,15 +126,7 @@ def piece_model_path() -> str:
 
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    model = spm_lattice.load(piece_model_path())
-    coded = spm_lattice.encode(docs, model)
-    text = spm_lattice.decoded(F.col("ids"), model)
-    return coded.select(
-        "doc_id",
-        F.size("ids").cast("long").alias("n_ids"),
-        F.crc32(F.array_join("ids", ",").cast("binary")).alias("ids_crc32"),
-        F.sha2(text.cast("binary"), 256).alias("decoded_sha256"),
-    )
+    return spm_lattice.encode_texts(docs, spm_lattice.load(piece_model_path()), with_ids=False)
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,7 +16,10 @@ alike; an empty table gives an empty result; extra columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
 import heapq
+import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -215,6 +218,64 @@ def merged(word: str, table: dict[str, tuple[float, int]], first_byte: int) -> l
     return ids
 
 
+#: Words of a text whose spaces are marked; what ``CUT`` parts.
+WORD = re.compile(f"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+")
+
+
+class Coded(Words):
+    """Word -> (ids, their text form, the bytes they decode to)."""
+
+    def __init__(self, model: Model):
+        super().__init__(model)
+        self.bytes = {i: p.encode("utf-8", "surrogatepass") for p, i, _ in model.pieces}
+        self.bytes |= {model.first_byte + b: bytes([b]) for b in range(256)}
+
+    def __missing__(self, word: str) -> tuple[list[int], bytes, bytes]:
+        if len(self) >= CACHE:
+            self.clear()
+        ids = merged(word, self.table, self.model.first_byte)
+        self[word] = out = (ids, ",".join(map(str, ids)).encode(), b"".join([self.bytes[i] for i in ids]))
+        return out
+
+    def of(self, text: str | None) -> list[tuple[list[int], bytes, bytes]]:
+        if not text:
+            return []
+        return list(map(self.__getitem__, WORD.findall(SPACE + text.replace(" ", SPACE))))
+
+
+def back(parts: list[bytes]) -> str:
+    """Text of decoded words."""
+    text = b"".join(parts).decode("utf-8", "replace").replace(SPACE, " ")
+    return text.removeprefix(" ")
+
+
+def encode_texts(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
+    """``(doc_id, n_ids, ids_crc32, decoded_sha256[, ids])``, one row per row of ``docs``, without a shuffle.
+
+    The same fold over the same lattice as ``encode`` with a BPE model, kept in
+    a bounded memory of words by each worker instead of joined back to texts.
+    """
+    if model.kind != "bpe":
+        raise ValueError("texts of a unigram model go through encode")
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        words = Coded(shared.value)
+        for batch in batches:
+            rows = []
+            for doc_id, text in zip(batch["doc_id"].tolist(), batch["text"]):
+                got = words.of(text)
+                crc = zlib.crc32(b",".join([x[1] for x in got]))
+                digest = hashlib.sha256(back([x[2] for x in got]).encode("utf-8", "surrogatepass")).hexdigest()
+                row = (doc_id, sum(len(x[0]) for x in got), crc, digest)
+                rows.append((*row, np.concatenate([x[0] for x in got]).astype(np.int32) if got else np.empty(0, np.int32)) if with_ids else row)
+            out = pd.DataFrame(rows, columns=["doc_id", "n_ids", "ids_crc32", "decoded_sha256", *(["ids"] if with_ids else [])])
+            yield out.astype({"doc_id": "Int64"})
+
+    schema = "doc_id long, n_ids long, ids_crc32 long, decoded_sha256 string" + ", ids array<int>" * with_ids
+    return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")).mapInPandas(run, schema)
+
+
 def encode_words(words: DataFrame, model: Model) -> DataFrame:
     """``(word, ids)`` of a table of distinct words."""
     spark = words.sparkSession

@@ -1,3 +1,4 @@
+import hashlib
 import itertools
 import random
 
@@ -34,6 +35,11 @@ def test_ids_equal_sentencepiece(spark):
     for r in back.select("k", s.decoded(F.col("ids"), model).alias("t")).collect():
         assert r.t == sp.decode(sp.encode(texts[r.k] or "")), texts[r.k]
     assert s.encode(df.limit(0), model).count() == 0
+    direct = s.encode_texts(df, model)
+    assert sorted((r.doc_id, r.ids) for r in direct.collect()) == sorted(want)
+    digest = {hashlib.sha256(sp.decode(sp.encode(t or "")).encode()).hexdigest() for t in texts}
+    assert {r.decoded_sha256 for r in direct.collect()} == digest
+    assert s.encode_texts(df.limit(0), model).count() == 0
 
 
 def test_viterbi_against_all_paths(spark):
