@@ -173,7 +173,7 @@ def aligned(a: np.ndarray, b: np.ndarray, least: float) -> int:
     return head + tail + m - v.bit_count()
 
 
-#: Distances from here on are given as 1: no text within 0.2 of one is within 0.2 of the other.
+#: Distances from here on are given as 1: no text within less than 0.2 of one is within 0.2 of the other.
 FAR = 2 * (1 - SIMILARITY)
 
 
@@ -266,17 +266,21 @@ def _judge(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 def _ruled_out(scratch: Scratch, state: DataFrame, pivots: DataFrame, judged: DataFrame, comps: DataFrame) -> DataFrame:
     """Members ``(bucket, node)`` of the pivot's component that can't link to one outside it.
 
-    With x at distance d from the pivot and every y outside at d + 0.2 or
-    more, x and y are further apart than a link.
+    With x at distance d from the pivot and every y outside at more than
+    d + 0.2, x and y are further apart than a link.  A member that ``ENOUGH``
+    kept from being judged is as far away at least as its length tells, and one
+    judged as far may be at ``FAR`` itself.
     """
     pairs = judged.select("a", "b", "dist").union(judged.select(F.col("b").alias("a"), F.col("a").alias("b"), "dist"))
-    met = state.join(pivots.select("bucket", "pivot"), "bucket").where("node <> pivot")
-    met = met.join(pairs.select(F.col("a").alias("pivot"), F.col("b").alias("node"), "dist"), ["pivot", "node"])
-    met = scratch.keep(met.select("bucket", "node", "dist"), "omh-met")
+    met = state.join(pivots.select("bucket", "pivot", "pivot_n"), "bucket").where("node <> pivot")
+    met = met.join(pairs.select(F.col("a").alias("pivot"), F.col("b").alias("node"), "dist"), ["pivot", "node"], "left")
+    by_length = 1 - F.least("n", "pivot_n") / F.greatest("n", "pivot_n")
+    met = scratch.keep(met.select("bucket", "node", "dist", F.coalesce("dist", by_length).alias("least")), "omh-met")
     near = 1 - SIMILARITY + 1e-9
-    miss = scratch.keep(met.where(f"dist > {near}").groupBy("bucket").agg(F.min("dist").alias("miss")), "omh-miss")
+    outside = met.where(f"dist is null or dist > {near}").groupBy("bucket").agg(F.min("least").alias("miss"))
+    miss = scratch.keep(outside, "omh-miss")
     out = met.where(f"dist <= {near}").join(miss, "bucket", "left")
-    return out.where(f"coalesce(miss, 1.0) >= {FAR} or dist + {near} < miss").select("bucket", "node")
+    return out.where(f"dist + {near} < least(coalesce(miss, 1.0), {FAR})").select("bucket", "node")
 
 
 SKETCH = "node binary, n int, keys array<long>"

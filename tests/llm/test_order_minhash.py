@@ -1,3 +1,4 @@
+import hashlib
 import random
 
 import numpy as np
@@ -84,3 +85,35 @@ def test_empty_table_and_null_ids(spark):
     assert o.classes(spark.createDataFrame([], schema)).count() == 0
     got = o.classes(spark.createDataFrame([(None, "a b c"), (5, "a b c"), (None, "z")], schema)).collect()
     assert sorted((str(r.doc_id), str(r.class_id)) for r in got) == [("5", "5"), ("None", "5"), ("None", "None")]
+
+
+def test_chains_of_lengths_link_in_every_order_of_hashes(spark):
+    """Of texts of 100, 98 and 79 shingles the shortest links to the second only."""
+    rnd = random.Random(23)
+    rows, count = [], {}
+    while len(count) < 6 or min(count.values()) < 4:
+        base = ["".join(rnd.choice("abcdefghij") for _ in range(6)) for _ in range(104)]
+        texts = [" ".join(base[: n + 4]) for n in (100, 98, 79)]
+        order = tuple(np.argsort([hashlib.md5(t.encode()).digest() for t in texts]).tolist())
+        if count.get(order, 0) < 4:
+            count[order] = count.get(order, 0) + 1
+            rows += [(len(rows) + i, t) for i, t in enumerate(texts)]
+    want = brute(rows)
+    assert want == [i - i % 3 for i in range(len(rows))]
+    got = o.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.class_id for r in got} == dict(enumerate(want))
+
+
+def test_ruled_out_against_lengths_and_bounds(spark):
+    """A member leaves a bucket only if no other one can be within 0.2 of it."""
+    members = {
+        1: [("p", 100), ("x", 98), ("y", 79)],  # y unjudged: 0.21 from p by its length
+        2: [("q", 80), ("u", 100), ("v", 80)],  # u holds all of q and v: 0.2 from both, which are 0.4 apart
+        3: [("r", 100), ("w", 98), ("z", 50)],  # z is too short for w
+    }
+    judged = [("p", "x", 0.02), ("q", "u", 0.2), ("q", "v", 1.0), ("r", "w", 0.02)]
+    state = spark.createDataFrame([(b, n.encode(), k, 0) for b, m in members.items() for n, k in m], "bucket long, node binary, n int, rank int")
+    pivots = spark.createDataFrame([(b, m[0][0].encode(), m[0][1]) for b, m in members.items()], "bucket long, pivot binary, pivot_n int")
+    pairs = spark.createDataFrame([(a.encode(), b.encode(), d) for a, b, d in judged], "a binary, b binary, dist double")
+    out = o._ruled_out(o.Scratch(spark), state, pivots, pairs, None)
+    assert [(r.bucket, bytes(r.node)) for r in out.collect()] == [(3, b"w")]
