@@ -3,7 +3,9 @@
 Plain identifiers come from four fixed patterns.  For disguises a text runs
 through two transducers, each of which keeps a map from its output to source
 spans: one folds homoglyphs, width forms, foreign digits and zero-width
-characters, one rewrites spelled digits and at/dot disguises.  The fixed
+characters, one rewrites spelled digits and at/dot disguises.  Four numbers
+joined by dots of any writing are an IP; a number of at least four spelled
+digits is judged by itself, one of fewer by the fixed patterns.  The fixed
 patterns then run on the normalised text and their spans are mapped back to
 code points of the source.  A mapped span is added beside the plain ones, or
 around one that is only a part of it; any other overlap leaves it out.
@@ -179,7 +181,7 @@ DIGIT_WORDS = {
 }
 #: A number is taken for spelled from so many digit words in a row.
 SPELLED_RUN = 4
-#: ... and so many different characters; an article said over and over is no number.
+#: ... and, with neither plus, dots nor check digit, so many different characters; an article said over and over is no number.
 DISTINCT_DIGITS = 3
 _WORD = "(?:" + "|".join(sorted(DIGIT_WORDS, key=len, reverse=True)) + ")"
 _UNIT = rf"(?:{_WORD}(?![^\W\d_])|[0-9]+)"
@@ -187,8 +189,6 @@ _GAP = r"(?:[\s,./()-]{1,3}|(?=[0-9])|(?<=[0-9]))"
 SPELLED = re.compile(
     rf"(?<!\w)(?:plus[\s-]+|\+[\s]?)?{_UNIT}(?:(?:{_GAP}|\s+(?:dot|point|punkt|punto)\s+){_UNIT})+", re.IGNORECASE
 )
-#: The cheap test for a run: digit words one after another (lower case).
-SPELLED_HINT = re.compile(rf"(?<!\w){_WORD}[\s,./()-]{{1,3}}{_WORD}[\s,./()-]{{1,3}}(?:{_WORD}|dot|point|punkt|punto|[0-9])")
 TOKEN = re.compile(r"[^\W\d_]+|[0-9]+", re.UNICODE)
 
 _ATOM = r"[A-Za-z0-9_%+-]+"
@@ -199,6 +199,17 @@ SURE_AT = re.compile(r"\s*[\[({<]\s*(?:at|@)\s*[\])}>]\s*|\s+@\s*|@\s+|@|_at_",
 BARE_AT = re.compile(r"\s+at\s+", re.IGNORECASE)
 DOMAIN = re.compile(rf"[A-Za-z0-9-]+(?:{_DOT}[A-Za-z0-9-]+)+", re.IGNORECASE)
 HIDDEN_DOT = re.compile(_HIDDEN_DOT, re.IGNORECASE)
+_NUMBER_DOT = rf"(?:{_DOT}|\s+(?:point|punkt|punto)\s+)"
+#: Numbers and digit words with anything between them that one of the patterns below, or ``SPELLED``, takes.
+NUMBERS = re.compile(
+    rf"(?<!\w)(?:plus[\s-]+|\+\s?)?{_UNIT}(?:(?>{_NUMBER_DOT}|\s+|[,./()-])*+{_UNIT})*", re.IGNORECASE
+)
+UNIT = re.compile(_UNIT, re.IGNORECASE)
+_GROUP = rf"{_UNIT}(?:(?:[\s-]{{1,3}}|(?=[0-9])|(?<=[0-9])){_UNIT}){{0,2}}"
+#: Four groups of up to three numbers or digit words.
+DOTTED_IP = re.compile(rf"(?<!\w)({_GROUP}){_NUMBER_DOT}({_GROUP}){_NUMBER_DOT}({_GROUP}){_NUMBER_DOT}({_GROUP})", re.IGNORECASE)
+#: What becomes another character in a number: a plus, a dot, a digit word.
+REWRITTEN = re.compile(rf"(?P<plus>\Aplus[\s-]+|\A\+\s)|(?<!\s)(?P<dot>{_NUMBER_DOT})|(?<!\w)(?P<word>{_WORD})(?![^\W\d_])", re.IGNORECASE)
 ANY_DOT = re.compile(_DOT, re.IGNORECASE)
 #: The local part of an address has 64 characters at most; a hidden dot takes up to 9 for one.
 LOCAL_REACH = 64 * 9
@@ -254,13 +265,40 @@ def _local(left: str, lowest: int) -> str:
         start = atom
 
 
+def _digits(text: str) -> str:
+    """The digits of numbers and digit words."""
+    return "".join(DIGIT_WORDS.get(t[0].casefold(), "") or t[0] for t in UNIT.finditer(text))
+
+
+def _octet(digits: str) -> bool:
+    return len(digits.lstrip("0")) < 4 and int(digits) <= 255
+
+
+def _dotted_ips(text: str) -> list[Span]:
+    """Spans of four numbers joined by dots, however dots and digits are written."""
+    out, at = [], 0
+    while m := DOTTED_IP.search(text, at):
+        at = m.end(1)
+        if not (_octet(_digits(m[2])) and _octet(_digits(m[3]))):
+            continue
+        # of the outer groups, what is nearest to the dots and makes a number
+        starts = [m.start(1) + u.start() for u in UNIT.finditer(m[1])]
+        ends = [m.start(4) + u.end() for u in UNIT.finditer(m[4])]
+        start = next((i for i in starts if _octet(_digits(text[i : m.end(1)]))), None)
+        end = next((i for i in reversed(ends) if _octet(_digits(text[m.start(4) : i]))), None)
+        if start is not None and end is not None and not re.search(r"(?:plus[\s-]+|\+\s?)\Z", text[max(0, start - 8) : start], re.IGNORECASE):
+            out.append((start, end))
+            at = end
+    return out
+
+
 def _spelled(text: str) -> list[tuple[int, int, str]]:
-    """Edits that turn numbers with spelled digits into digits, keeping dots between groups."""
-    edits = []
+    """Numbers with spelled digits (start, end, digits), dots between groups kept."""
+    found = []
     for m in SPELLED.finditer(text):
         out, words = "+" if re.match(r"plus|\+", m[0], re.IGNORECASE) else "", 0
         for t in TOKEN.finditer(m[0]):
-            w = t[0].lower()
+            w = t[0].casefold()
             if w in DIGIT_WORDS:
                 out, words = out + DIGIT_WORDS[w], words + 1
             elif w in ("dot", "point", "punkt", "punto"):
@@ -268,48 +306,74 @@ def _spelled(text: str) -> list[tuple[int, int, str]]:
             elif w.isdigit():
                 out += w
         if words >= SPELLED_RUN:
-            edits.append((*m.span(), out))
-    return edits
+            found.append((*m.span(), out))
+    return found
+
+
+def _outside(items: list[tuple[int, int, str]], taken: list[Span]) -> list[tuple[int, int, str]]:
+    """The items (start, end, ...) that touch none of ``taken``; both ordered and without overlaps."""
+    out, i = [], 0
+    for item in items:
+        while i < len(taken) and taken[i][1] <= item[0]:
+            i += 1
+        if i == len(taken) or item[1] <= taken[i][0]:
+            out.append(item)
+    return out
+
+
+def _numbers(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[int, int, str]]]:
+    """Disguised numbers (kind, start, end), and edits of others for the fixed patterns to judge."""
+    found, edits = [], []
+    for run in NUMBERS.finditer(text):
+        changes = [(*m.span(), m.lastgroup) for m in REWRITTEN.finditer(run[0])]
+        if all(kind == "dot" and e - s == 1 for s, e, kind in changes):
+            continue
+        at, taken = run.start(), _dotted_ips(run[0])
+        found += [("ip", at + s, at + e) for s, e in taken]
+        for s, e, digits in _outside(_spelled(run[0]), taken):
+            only, kind = NOT_DIGIT.sub("", digits), None
+            if 13 <= len(only) <= 19 and len(set(only)) > 1 and luhn(only):
+                kind = "card"
+            elif 9 <= len(only) <= 15 and (digits[0] == "+" or len(set(digits)) >= DISTINCT_DIGITS):
+                kind = "phone"
+            if kind:
+                taken.append((s, e))
+                found.append((kind, at + s, at + e))
+        only = _digits(run[0])
+        if len(only) >= 9 and (len(set(only)) > 1 or changes[0][2] == "plus" or run[0][0] == "+"):
+            words = [c for c in changes if c[2] == "word"]
+            if len(words) == 1 and (words[0][0] == 0 or words[0][1] == len(run[0])) and any(plain(run[0])[k] for k in ("card", "phone")):
+                changes.remove(words[0])  # an article beside a number that is whole without it
+            for s, e, kind in _outside(changes, sorted(taken)):
+                edits.append((at + s, at + e, {"plus": "+", "dot": "."}.get(kind) or DIGIT_WORDS.get(run[0][s:e].casefold(), run[0][s:e])))
+    return found, edits
 
 
-def _hints(text: str) -> tuple[bool, bool, bool]:
-    """Whether a text may hold folded characters, disguised addresses, spelled numbers."""
+#: A superset of what ``_disguised_emails`` takes beside plain addresses (lower case).
+AT_OR_DOT = re.compile(r"\s@|@\s|dot|_at_|[\[({<]\s*(?:at|@|\.)\s*[\])}>]|\s\.\s")
+
+
+def _hints(text: str) -> tuple[bool, bool]:
+    """Whether a text may hold folded characters, disguised addresses."""
     folded = not text.isascii() and FOLDED_RE.search(text) is not None
-    low = text.lower()
-    dotted = "dot" in low or "@ " in low or " @" in low or (
-        any(b in low for b in "[({<") and re.search(r"[\[({<]\s*(?:at|@|\.)\s*[\])}>]", low) is not None
-    ) or "_at_" in low
-    return folded, dotted, SPELLED_HINT.search(low) is not None
+    return folded, AT_OR_DOT.search(text.lower()) is not None
 
 
 def disguised(text: str) -> dict[str, list[Span]]:
     """Spans, in code points of ``text``, of identifiers that only the normalised text shows."""
     out: dict[str, list[Span]] = {k: [] for k in KINDS}
-    folded, dotted, spelled = _hints(text)
-    if not (folded or dotted or spelled):
-        return out
+    folded, dotted = _hints(text)
     mapped = Mapped(text)
     if folded:
         mapped = mapped.rewritten([(m.start(), m.end(), fold(m[0])) for m in FOLDED_RE.finditer(text)])
-        _, dotted, spelled = _hints(mapped.text)
-    numbers = _spelled(mapped.text) if spelled else []
-    if numbers:
+        _, dotted = _hints(mapped.text)
+    numbers, changes = _numbers(mapped.text)
+    for kind, start, end in numbers:
         # a spelled number is a whole identifier: joined to nothing beside it
-        for start, end, digits in numbers:
-            count, kind = len(NOT_DIGIT.sub("", digits)), None
-            if IP.fullmatch(digits) and all(int(x) <= 255 for x in digits.split(".") if len(x) < 5):
-                kind = "ip"
-            elif 13 <= count <= 19 and luhn(NOT_DIGIT.sub("", digits)):
-                kind = "card"
-            elif 9 <= count <= 15:
-                kind = "phone"
-            if kind and len(set(digits)) >= DISTINCT_DIGITS:
-                out[kind].append(mapped.source(start, end))
-    if dotted:
-        edits = _disguised_emails(mapped.text)
-        rewritten = mapped.rewritten(edits) if edits else mapped
-    else:
-        rewritten = mapped
+        out[kind].append(mapped.source(start, end))
+    edits = _disguised_emails(mapped.text) if dotted else []
+    edits = sorted(edits + _outside(changes, [e[:2] for e in edits]))
+    rewritten = mapped.rewritten(edits) if edits else mapped
     if folded or rewritten is not mapped:
         for kind, spans in plain(rewritten.text).items():
             out[kind] += [rewritten.source(*s) for s in spans]

@@ -69,3 +69,43 @@ def test_query_over_nulls_and_long_texts(spark):
     assert out[1] is None and out[4] == "[EMAIL] [IP]"
     assert pii.redact(df.limit(0)).count() == 0
     assert pii.sha256_hex("") == hashlib.sha256(b"").hexdigest()
+
+
+@pytest.mark.parametrize(
+    "text,kind,part",
+    [
+        ("ask eight dot eight dot four dot four first", "ip", "eight dot eight dot four dot four"),
+        ("one dot two dot three dot four", "ip", "one dot two dot three dot four"),
+        ("at eight dot eight dot eight dot eight.", "ip", "eight dot eight dot eight dot eight"),
+        ("host 192[.]168[.]1[.]5 is up", "ip", "192[.]168[.]1[.]5"),
+        ("host 192 dot 168 dot 1 dot 5, up", "ip", "192 dot 168 dot 1 dot 5"),
+        ("in 2024 one nine two (dot) 168.1 dot five 999", "ip", "one nine two (dot) 168.1 dot five"),
+        ("call +1 nine eight eight 555 0199 now", "phone", "+1 nine eight eight 555 0199"),
+        ("call plus 1 988 555 0199 now", "phone", "plus 1 988 555 0199"),
+        ("no one 2 three 4 five 6 seven 8 nine 0 ok", "phone", "one 2 three 4 five 6 seven 8 nine 0"),
+        ("card 4111 1111 1111 one 111 x", "card", "4111 1111 1111 one 111"),
+        ("card four one one one 1111 1111 1111 x", "card", "four one one one 1111 1111 1111"),
+        ("mail john@example . com", "email", "john@example . com"),
+        ("mail john\t@\texample.com", "email", "john\t@\texample.com"),
+    ],
+)
+def test_few_spelled_digits_and_hidden_dots(text, kind, part):
+    _, more = pii.find(text)
+    assert [text[s:e] for s, e in more[kind]] == [part]
+    assert sum(map(len, more.values())) == 1
+
+
+@pytest.mark.parametrize("text", ["un 1990, 1991, 1992 ou un 1993", "One. Two. Three. Four.", "zero " * 16, "1 point 5 or 2 point 5", "one dot 300 dot 2 dot 3"])
+def test_clean_numbers_stay(text):
+    base, more = pii.find(text)
+    assert not any(base.values()) and not any(more.values())
+
+
+def test_an_article_beside_a_whole_number_is_not_part_of_it():
+    base, more = pii.find("+1 (848) 555-1373 Un jour")
+    assert base["phone"] == [(0, 17)] and not any(more.values())
+
+
+def test_odd_runs_end():
+    for part in ("( . ) ", "one ", "1 dot ", "one dot ", "[.]", "  ", "9 "):
+        pii.find("one " + part * 5000 + "x")
