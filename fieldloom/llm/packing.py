@@ -40,7 +40,8 @@ END_ID = 1
 BUCKET_ROWS = 20_000
 #: Chunks whose ids a worker remembers; only speed depends on it.
 CACHE = 600_000
-#: Fillings listed for a sequence and nodes visited for them, branches tried, and steps of the search.
+#: Fillings listed for a sequence and nodes visited for them, branches tried, and steps of the search
+#: beside those that go deeper than any before.
 FILLINGS, NODES, BRANCHES, STEPS = 50, 1000, 3, 2000
 
 
@@ -207,15 +208,26 @@ def best_fit(counts: np.ndarray, capacity: int) -> list[Filling]:
     return out
 
 
+def _exact(have: np.ndarray, room: int) -> list[list[tuple[int, int]]]:
+    """One or two parts that fill ``room``, the largest first."""
+    out = [[]] if room == 0 else [[(room, 1)]] if have[room] > 0 else []
+    larger = np.arange((room + 1) // 2, room)
+    fits = larger[(have[larger] > 0) & (have[room - larger] > (2 * larger == room))]
+    return out + [[(int(n), 1), (room - int(n), 1)] for n in fits[: -BRANCHES - 1 : -1]]
+
+
 def fillings(counts: np.ndarray, first: int, capacity: int, most_waste: int) -> list[tuple[int, tuple]]:
     """Undominated fillings around ``first`` as (waste, parts), least waste first.
 
     A filling is dominated if something left fits beside it, or fits instead
     of one of its parts and is larger; only others are listed, at most
-    ``FILLINGS`` of them, found from the largest parts downwards.
+    ``FILLINGS`` of them, found from the largest parts downwards.  Where
+    ``BRANCHES`` of one or two parts leave nothing, these are all.
     """
     have = counts.copy()
     have[first] -= 1
+    if len(exact := _exact(have, capacity - first)) >= BRANCHES:
+        return [(0, _merged([(first, 1), *parts])) for parts in exact[:BRANCHES]]
     sizes = (np.flatnonzero(have[1 : capacity - first + 1]) + 1)[::-1].tolist()
     falling = [-n for n in sizes]
     out: list[tuple[int, tuple]] = []
@@ -252,7 +264,12 @@ def fillings(counts: np.ndarray, first: int, capacity: int, most_waste: int) ->
 
 
 def complete(counts: np.ndarray, capacity: int = CAPACITY, steps: int = STEPS) -> list[Filling]:
-    """Bin completion on counts by length (index 0 unused); the best packing found within ``steps``."""
+    """Bin completion on counts by length (index 0 unused); the best packing found within ``steps``.
+
+    A step to a depth not reached before is free, so that a descent is not cut
+    by how many different fillings it takes; only going back and trying others
+    counts.
+    """
     best = best_fit(counts, capacity)
     size = sum(f.times for f in best)
     bound = lower_bound(counts, capacity)
@@ -260,7 +277,7 @@ def complete(counts: np.ndarray, capacity: int = CAPACITY, steps: int = STEPS) -
     state = counts.copy()
     chosen: list[Filling] = []
     # depth first; an entry is a list of fillings still to try at that depth
-    used = waste = spent = 0
+    used = waste = spent = deepest = 0
 
     def options() -> list[tuple[int, tuple]]:
         first = int(np.flatnonzero(state)[-1])
@@ -274,8 +291,8 @@ def complete(counts: np.ndarray, capacity: int = CAPACITY, steps: int = STEPS) -
 
     stack = [options()] if size > bound else []
     while stack and spent < steps and size > bound:
-        spent += 1
         if not stack[-1]:
+            spent += 1
             stack.pop()
             if chosen:
                 f = chosen.pop()
@@ -288,9 +305,14 @@ def complete(counts: np.ndarray, capacity: int = CAPACITY, steps: int = STEPS) -
         if w and (allowed := (size - 1) * capacity - total - waste) < w * f.times:
             f = Filling(parts, allowed // w)  # as often as the waste allows
             if f.times < 1:
+                spent += 1
                 continue
         _take(state, f)
         chosen.append(f)
+        if len(chosen) > deepest:
+            deepest = len(chosen)
+        else:
+            spent += 1
         used, waste = used + f.times, waste + f.times * w
         if not state.any():
             if used < size:

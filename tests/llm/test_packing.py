@@ -104,3 +104,15 @@ def test_pack_round_trip(spark):
     assert len(by) <= -(-sum(r.length for r in got) // 64) + 1
     assert sum(len(r.ids) for r in packing.sequences(out).collect()) == sum(r.length for r in got)
     assert packing.pack(df.limit(0), PATH).count() == 0
+
+
+def test_first_descent_ends_however_few_steps():
+    """Of 38 to 40 sequences best fit wastes one; a descent of more fillings than ``steps`` saves it."""
+    for seed in (9, 10, 16, 17):
+        rnd = random.Random(seed)
+        c = counts_of([rnd.randrange(20, 110) for _ in range(120)], 200)
+        bound = packing.lower_bound(c, 200)
+        assert sum(f.times for f in packing.best_fit(c, 200)) == bound + 1
+        got = packing.complete(c, 200, steps=10)
+        assert sum(f.times for f in got) == bound
+        assert (sum(packing.np.bincount([n for n, k in f.parts for _ in range(k * f.times)], minlength=201) for f in got) == c).all()
