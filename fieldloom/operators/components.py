@@ -3,55 +3,23 @@
 Both stars replace a node's links by links to the smallest node it knows; the
 number of rounds grows with the logarithm of a component's size, and every
 round is a partial aggregation plus one join whose two sides are plain tables,
-so a node with very many links is split by adaptive execution.  A number of
-links that surely fits in one task is united there instead.
+so a node with very many links is split by adaptive execution.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from fieldloom.plans.scratch import Scratch
 
 
-#: So many links are united in one task, which is all the rows it ever gets; more go through the rounds.
-FEW_LINKS = 100_000
-
-
-def _signature(edges: DataFrame) -> tuple:
-    return tuple(
-        edges.agg(
-            F.count("*"),
-            F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)")),
-        ).first()
-    )
-
-
-def _in_one_task(links: DataFrame) -> DataFrame:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        root: dict = {}
-
-        def find(x):
-            while (up := root.setdefault(x, x)) != x:
-                root[x] = root[up]
-                x = root[x]
-            return x
-
-        for batch in batches:
-            for a, b in zip(batch["hi"].tolist(), batch["lo"].tolist()):
-                a, b = find(a), find(b)
-                if a != b:
-                    root[max(a, b)] = min(a, b)
-        nodes = list(root)
-        if nodes:
-            yield pd.DataFrame({"node": nodes, "component": [find(x) for x in nodes]})
-
-    kind = links.schema["hi"].dataType.simpleString()
-    return links.coalesce(1).mapInPandas(run, f"node {kind}, component {kind}")
+def _kept(scratch: Scratch, links: DataFrame) -> tuple[DataFrame, tuple]:
+    """Links as a table, and their number and a sum that tells two sets apart, taken while they are written."""
+    seen = Observation()
+    total = F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))
+    out = scratch.keep(links.observe(seen, F.count(F.lit(1)).alias("n"), total.alias("total")), "links")
+    return out, (seen.get["n"], seen.get["total"])
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
@@ -61,18 +29,10 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     are ignored, repeated links count once, an empty table gives an empty
     result; nodes without a link to another node have no row.
     """
-    spark = edges.sparkSession
-    scratch = Scratch(spark)
+    scratch = Scratch(edges.sparkSession)
     x, y = edges[a], edges[b]
-    cur = scratch.keep(
-        edges.select(F.greatest(x, y).alias("hi"), F.least(x, y).alias("lo"))
-        .where(x.isNotNull() & y.isNotNull() & (x != y))
-        .distinct(),
-        "edges",
-    )
-    seen = _signature(cur)
-    if 0 < seen[0] <= FEW_LINKS:
-        return scratch.keep(_in_one_task(cur), "components")
+    first = edges.select(F.greatest(x, y).alias("hi"), F.least(x, y).alias("lo"))
+    cur, seen = _kept(scratch, first.where(x.isNotNull() & y.isNotNull() & (x != y)).distinct())
     for _ in range(max_rounds):
         if seen[0] == 0:
             break
@@ -80,9 +40,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
         both = cur.select(F.col("hi").alias("n"), F.col("lo").alias("o")).union(
             cur.select(F.col("lo").alias("n"), F.col("hi").alias("o"))
         )
-        low = scratch.keep(
-            both.groupBy("n").agg(F.min("o").alias("m")).select("n", F.least("n", "m").alias("m")), "low"
-        )
+        low = scratch.keep(both.groupBy("n").agg(F.min("o").alias("m")).select("n", F.least("n", "m").alias("m")), "low")
         large = scratch.keep(
             both.where("o > n").join(low, "n").select(F.col("o").alias("hi"), F.col("m").alias("lo")).distinct(),
             "large",
@@ -90,15 +48,15 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
         # small star: a node and its smaller neighbours move to the smallest of them
         low2 = scratch.keep(large.groupBy("hi").agg(F.min("lo").alias("m")), "low2")
         joined = large.join(low2, "hi")
-        nxt = scratch.keep(
+        nxt, now = _kept(
+            scratch,
             joined.select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
             .where("hi <> lo")
             .union(low2.select("hi", F.col("m").alias("lo")))
             .distinct(),
-            "next",
         )
         scratch.drop(cur, low, large, low2)
-        cur, now = nxt, _signature(nxt)
+        cur = nxt
         if now == seen:
             break
         seen = now
