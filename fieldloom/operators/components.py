@@ -14,14 +14,6 @@ from pyspark.sql import functions as F
 from fieldloom.plans.scratch import Scratch
 
 
-def _kept(scratch: Scratch, links: DataFrame) -> tuple[DataFrame, tuple]:
-    """Links as a table, and their number and a sum that tells two sets apart, taken while they are written."""
-    seen = Observation()
-    total = F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))
-    out = scratch.keep(links.observe(seen, F.count(F.lit(1)).alias("n"), total.alias("total")), "links")
-    return out, (seen.get["n"], seen.get["total"])
-
-
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
     """``(node, component)`` for every node of an undirected edge table.
 
@@ -32,36 +24,32 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     scratch = Scratch(edges.sparkSession)
     x, y = edges[a], edges[b]
     first = edges.select(F.greatest(x, y).alias("hi"), F.least(x, y).alias("lo"))
-    cur, seen = _kept(scratch, first.where(x.isNotNull() & y.isNotNull() & (x != y)).distinct())
+    cur = scratch.keep(first.where(x.isNotNull() & y.isNotNull() & (x != y)).distinct(), "links")
     for _ in range(max_rounds):
-        if seen[0] == 0:
-            break
-        # large star: a node's larger neighbours move to its smallest neighbour
         both = cur.select(F.col("hi").alias("n"), F.col("lo").alias("o")).union(
             cur.select(F.col("lo").alias("n"), F.col("hi").alias("o"))
         )
-        low = scratch.keep(both.groupBy("n").agg(F.min("o").alias("m")).select("n", F.least("n", "m").alias("m")), "low")
-        large = scratch.keep(
-            both.where("o > n").join(low, "n").select(F.col("o").alias("hi"), F.col("m").alias("lo")).distinct(),
-            "large",
-        )
+        # settled when each node with a smaller neighbour has no other one
+        seen = Observation()
+        unsettled = F.count(F.when((F.col("m") < F.col("n")) & (F.col("degree") > 1), 1)).alias("nodes")
+        least = both.groupBy("n").agg(F.min("o").alias("m"), F.count("*").alias("degree")).observe(seen, unsettled)
+        low = scratch.keep(least.select("n", F.least("n", "m").alias("m")), "low")
+        if not seen.get["nodes"]:
+            scratch.drop(cur)
+            return low.select(F.col("n").alias("node"), F.col("m").alias("component"))
+        # large star: a node's larger neighbours move to its smallest neighbour
+        moved = both.where("o > n").join(low, "n").select(F.col("o").alias("hi"), F.col("m").alias("lo"))
+        large = scratch.keep(moved, "large")
         # small star: a node and its smaller neighbours move to the smallest of them
         low2 = scratch.keep(large.groupBy("hi").agg(F.min("lo").alias("m")), "low2")
         joined = large.join(low2, "hi")
-        nxt, now = _kept(
-            scratch,
+        nxt = scratch.keep(
             joined.select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
             .where("hi <> lo")
             .union(low2.select("hi", F.col("m").alias("lo")))
             .distinct(),
+            "links",
         )
         scratch.drop(cur, low, large, low2)
         cur = nxt
-        if now == seen:
-            break
-        seen = now
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    return cur.select(F.col("hi").alias("node"), F.col("lo").alias("component")).union(
-        cur.select(F.col("lo").alias("node"), F.col("lo").alias("component")).distinct()
-    )
+    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
