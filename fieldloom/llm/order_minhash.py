@@ -14,14 +14,18 @@ are the connected components of pairs with similarity 0.8 or more.
 
 A bucket of texts is never expanded into all pairs.  Exact copies are one node
 from the start.  In each round a bucket's pivots are compared with the members
-that are not of their component and then leave the bucket, as do, after the
-first round, members that the distances rule out; a bucket with one component
-left is done.  The number of pivots grows eightfold with each round, so there
-are logarithmically many, with no pair skipped that could link two components.
-Texts that the first round leaves in open buckets meet again by their rarest
-shingles, of which any two partners share one: in a large group of texts well
-below the threshold most of those are a text's own, so that such texts are not
-compared pair by pair.
+that are not of their component and then leave the bucket, as do members that
+the distances rule out; a bucket with one component left is done.  The first
+pivot is the member that shares most buckets with others, which in a group of
+near copies is about the text they stem from; in the second round those
+outside meet a few members of its component, which in a group whose
+members are about as far apart as a link reaches joins nearly all.  Texts left
+in open buckets then meet by their rarest shingles, of which any two partners
+share one: in a large group of texts well below the threshold most of those
+are a text's own, so that such texts are not compared pair by pair.  There the
+pivots are members outside a bucket's main component, many times more with
+each round, so the rounds are logarithmically many, and no pair is skipped
+that could link two components.
 
 Defined results: a null text is a class of its own, equal texts are one class
 (empty ones too), rows of one id and text are repeated rows of one document; a
@@ -38,13 +42,17 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, connected_components
+from .common import Scratch, connected_components, free_name
 
 WORDS = 5
 SIMILARITY = 0.8
 #: A pair at exactly ``SIMILARITY`` shares no sketch with chance (1 - 0.8 ** 4) ** 24, 3 in a million.
 TABLES = 24
 SAMPLE = 4
+#: Members of a bucket's main component that those outside meet before any of them meets all.
+MAIN_SHARES = 8
+#: Pivots of a bucket in the first round of rare shingles, and how many times more in each further one.
+SHARES = 64
 #: Counters for how common shingles are among the texts that the first round leaves open.
 COUNTERS = 1 << 20
 #: Words whose hashes a worker remembers; only speed depends on it.
@@ -219,66 +227,46 @@ def _verify_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"a": batch["a"], "b": batch["b"], "dist": out})
 
 
-#: Components of so many nodes (32 bytes each) are broadcast; of more, joined.
-FEW_NODES = 200_000
-
-
 def _with_component(rows: DataFrame, comps: DataFrame, node: str, name: str) -> DataFrame:
     """``rows`` with the component of ``node``, which is the node itself where no link touches it."""
     c = comps.select(F.col("node").alias(node), F.col("component").alias(name))
-    if comps.count() <= FEW_NODES:
-        c = F.broadcast(c)
     return rows.join(c, node, "left").withColumn(name, F.coalesce(name, node))
 
 
-def _relabel(scratch: Scratch, comps: DataFrame | None, links: DataFrame) -> DataFrame:
-    """Components after more links; only the components' links go through the rounds."""
-    if comps is None:
-        return scratch.keep(connected_components(links), "omh-comps")
-    ends = _with_component(links, comps, "a", "ca")
-    ends = scratch.keep(_with_component(ends, comps, "b", "cb").select("a", "b", "ca", "cb"), "omh-ends")
-    moved = connected_components(ends, "ca", "cb").select(F.col("node").alias("component"), F.col("component").alias("to"))
-    known = comps.union(ends.select("a", "ca")).union(ends.select("b", "cb")).distinct()
-    out = known.join(moved, "component", "left").select("node", F.coalesce("to", "component").alias("component"))
-    out = scratch.keep(out, "omh-comps")
-    scratch.drop(ends, comps)
-    return out
-
-
-#: Up to so many pairs (64 bytes each) have their nodes broadcast to pick their texts.
-FEW_PAIRS = 100_000
-
-
 def _judge(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """``(a, b, dist)`` of pairs of nodes.
 
     The side with very many partners is split by adaptive execution: both
     sides of either join are plain tables or rows of one.
     """
-    if pairs.count() <= FEW_PAIRS:
-        nodes = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-        texts = texts.join(F.broadcast(nodes), "node", "left_semi")
     with_b = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
     both = with_b.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
     return both.select("a", "b", "text_a", "text_b").mapInPandas(_verify_batches, "a binary, b binary, dist double")
 
 
-def _ruled_out(scratch: Scratch, state: DataFrame, pivots: DataFrame, judged: DataFrame, comps: DataFrame) -> DataFrame:
+def _ruled_out(
+    scratch: Scratch, state: DataFrame, pivots: DataFrame, judged: DataFrame, comps: DataFrame | None
+) -> DataFrame:
     """Members ``(bucket, node)`` of the pivot's component that can't link to one outside it.
 
     With x at distance d from the pivot and every y outside at more than
     d + 0.2, x and y are further apart than a link.  A member that ``ENOUGH``
     kept from being judged is as far away at least as its length tells, and one
-    judged as far may be at ``FAR`` itself.
+    judged as far may be at ``FAR`` itself.  With ``comps``, members that other
+    links join to the pivot's component count as inside.
     """
     pairs = judged.select("a", "b", "dist").union(judged.select(F.col("b").alias("a"), F.col("a").alias("b"), "dist"))
     met = state.join(pivots.select("bucket", "pivot", "pivot_n"), "bucket").where("node <> pivot")
     met = met.join(pairs.select(F.col("a").alias("pivot"), F.col("b").alias("node"), "dist"), ["pivot", "node"], "left")
     by_length = 1 - F.least("n", "pivot_n") / F.greatest("n", "pivot_n")
-    met = scratch.keep(met.select("bucket", "node", "dist", F.coalesce("dist", by_length).alias("least")), "omh-met")
     near = 1 - SIMILARITY + 1e-9
-    outside = met.where(f"dist is null or dist > {near}").groupBy("bucket").agg(F.min("least").alias("miss"))
-    miss = scratch.keep(outside, "omh-miss")
+    apart = F.expr(f"dist is null or dist > {near}")
+    if comps is not None:
+        met = _with_component(_with_component(met, comps, "node", "comp"), comps, "pivot", "pivot_comp")
+        apart = F.col("comp") != F.col("pivot_comp")
+    met = met.select("bucket", "node", "dist", F.coalesce("dist", by_length).alias("least"), apart.alias("apart"))
+    met = scratch.keep(met, "omh-met")
+    miss = scratch.keep(met.where("apart").groupBy("bucket").agg(F.min("least").alias("miss")), "omh-miss")
     out = met.where(f"dist <= {near}").join(miss, "bucket", "left")
     return out.where(f"dist + {near} < least(coalesce(miss, 1.0), {FAR})").select("bucket", "node")
 
@@ -289,12 +277,17 @@ ENOUGH = f"least(n - rank, pivot_n - pivot_rank) >= {SIMILARITY / (1 + SIMILARIT
 
 
 def _members(scratch: Scratch, sketches: DataFrame) -> DataFrame:
-    """``(bucket, node, n, rank)`` of buckets with more than one node; exact copies count once."""
+    """``(bucket, node, n, rank, weight)`` of buckets with more than one node; exact copies count once.
+
+    weight is the number of members in all buckets of a node: the largest in a
+    group of near copies is that of the text which most of them stem from.
+    """
     members = scratch.keep(sketches.groupBy("bucket", "node").agg(F.min("n").alias("n"), F.min("rank").alias("rank")), "omh-members")
-    crowded = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
-    crowded = scratch.keep(crowded, "omh-crowded")
-    out = scratch.keep(members.join(crowded, "bucket", "left_semi"), "omh-state")
-    scratch.drop(members, crowded)
+    crowded = scratch.keep(members.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"), "omh-crowded")
+    shared = scratch.keep(members.join(crowded, "bucket"), "omh-shared")
+    weights = scratch.keep(shared.groupBy("node").agg(F.sum("size").alias("weight")), "omh-weights")
+    out = scratch.keep(shared.drop("size").join(weights, "node"), "omh-state")
+    scratch.drop(members, crowded, shared, weights)
     return out
 
 
@@ -326,6 +319,45 @@ def _refined(scratch: Scratch, state: DataFrame, comps: DataFrame, texts: DataFr
     return out
 
 
+#: A bucket's pivot ``p``: the member at the heart of most buckets.
+HEAVIEST = "max(struct(weight, node, n, rank)) as p"
+PIVOT = ["p.node as pivot", "p.n as pivot_n", "p.rank as pivot_rank"]
+
+
+def _first_pivots(current: DataFrame) -> DataFrame:
+    """The heaviest member of each bucket."""
+    return current.groupBy("bucket").agg(F.expr(HEAVIEST)).selectExpr("bucket", *PIVOT, "p.node as pivot_comp")
+
+
+#: Open buckets, with the component of their heaviest member.
+OPEN = ["max(struct(weight, node, comp)).comp as main", "min(comp) as lo", "max(comp) as hi"]
+
+
+def _open_buckets(scratch: Scratch, current: DataFrame) -> DataFrame:
+    found = current.groupBy("bucket").agg(*map(F.expr, OPEN)).where("lo <> hi")
+    return scratch.keep(found.select("bucket", "main"), "omh-open")
+
+
+def _main_pivots(scratch: Scratch, current: DataFrame, shares: int) -> DataFrame:
+    """Of each open bucket's main component, up to ``shares`` heavy members.
+
+    In a group of near copies that are about as far from each other as a link
+    reaches, a member outside meets one of several members of the main
+    component soon, so that few have to meet all of it.
+    """
+    share = F.pmod(F.xxhash64("node"), F.lit(shares)).alias("share")
+    inside = current.join(_open_buckets(scratch, current), "bucket").where("comp = main")
+    return inside.groupBy("bucket", "main", share).agg(F.expr(HEAVIEST)).selectExpr("bucket", *PIVOT, "main as pivot_comp")
+
+
+def _stray_pivots(scratch: Scratch, current: DataFrame, shares: int) -> DataFrame:
+    """Of each open bucket's members outside its main component, dealt into ``shares``, one a share."""
+    share = F.pmod(F.xxhash64("node"), F.lit(shares)).alias("share")
+    strays = current.join(_open_buckets(scratch, current), "bucket").where("comp <> main")
+    one = strays.groupBy("bucket", share).agg(F.max(F.struct("weight", "node", "n", "rank", "comp")).alias("p"))
+    return one.selectExpr("bucket", *PIVOT, "p.comp as pivot_comp")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(node, class_id)``: a node is the MD5 of a text, class_id the smallest id of its class."""
     spark: SparkSession = docs.sparkSession
@@ -340,60 +372,57 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # the texts of candidates, one row a node, by a key that no two rows share
     wanted = scratch.keep(state.select("node").distinct().join(ids, "node"), "omh-wanted")
     texts = scratch.keep(
-        named.join(wanted, (named["node"] == wanted["node"]) & named["doc_id"].eqNullSafe(wanted["rep"]))
-        .select(named["node"], named["text"]),
+        named.join(wanted.hint("merge"), (named["node"] == wanted["node"]) & named["doc_id"].eqNullSafe(wanted["rep"]))
+        .select(named["node"], named["doc_id"], named["text"])
+        .dropDuplicates(["node", "doc_id"])
+        .select("node", "text"),
         "omh-texts",
     )
     scratch.drop(wanted)
 
     comps: DataFrame | None = None
-    judged_so_far: list[DataFrame] = []
-    shares = 1
+    judged: DataFrame | None = None
+    turn, shares = 0, SHARES
     while True:
         current = state.withColumn("comp", F.col("node"))
         if comps is not None:
             current = scratch.keep(_with_component(state, comps, "node", "comp"), "omh-current")
-        # a bucket's components, each with one member that can be a pivot
-        sizes = scratch.keep(
-            current.groupBy("bucket", "comp").agg(F.count("*").alias("m"), F.min(F.struct("node", "n", "rank")).alias("pivot")),
-            "omh-sizes",
-        )
-        live = sizes.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
-        # small components first: a stray member meets all others at once
-        pivots = scratch.keep(
-            sizes.join(live, "bucket", "left_semi")
-            .groupBy("bucket", F.pmod(F.xxhash64("comp"), F.lit(shares)).alias("share"))
-            .agg(F.min(F.struct("m", "pivot", "comp")).alias("p"))
-            .select(
-                "bucket",
-                F.col("p.pivot.node").alias("pivot"),
-                F.col("p.pivot.n").alias("pivot_n"),
-                F.col("p.pivot.rank").alias("pivot_rank"),
-                F.col("p.comp").alias("pivot_comp"),
-            ),
-            "omh-pivots",
-        )
+        if turn == 0:
+            pivots = _first_pivots(current)
+        elif turn == 1:
+            pivots = _main_pivots(scratch, current, MAIN_SHARES)
+        else:
+            pivots = _stray_pivots(scratch, current, shares)
+        pivots = scratch.keep(pivots, "omh-pivots")
         if pivots.isEmpty():
             break
         against = current.join(pivots, "bucket").where(f"node <> pivot and comp <> pivot_comp and {ENOUGH}")
         pairs = against.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
-        for earlier in judged_so_far:
-            pairs = pairs.join(earlier, ["a", "b"], "left_anti")
+        if judged is not None:
+            pairs = pairs.join(judged, ["a", "b"], "left_anti")
         pairs = scratch.keep(pairs, "omh-pairs")
-        judged = scratch.keep(_judge(pairs, texts), "omh-judged")
-        judged_so_far.append(judged)
-        links = judged.where(f"dist <= {1 - SIMILARITY + 1e-9}").select("a", "b")
-        comps = _relabel(scratch, comps, links)
+        if judged is None or not pairs.isEmpty():
+            new = scratch.keep(_judge(pairs, texts), "omh-judged")
+            judged = new if judged is None else judged.union(new)
+            links = new.where(f"dist <= {1 - SIMILARITY + 1e-9}").select("a", "b")
+            if comps is None:
+                comps = connected_components(links)
+            elif not links.isEmpty():  # earlier components as links of their members to the smallest
+                comps = connected_components(links.union(comps.where("node <> component").select("node", "component")))
 
         # a pivot has met every other component of its bucket and leaves it
         gone = pivots.select("bucket", F.col("pivot").alias("node"))
-        if shares == 1:
-            gone = gone.union(_ruled_out(scratch, state, pivots, judged, comps))
+        if turn == 0:
+            first = pivots
+        if turn < 2:
+            gone = gone.union(_ruled_out(scratch, state, first, judged, comps))
         nxt = scratch.keep(state.join(gone, ["bucket", "node"], "left_anti"), "omh-state")
-        if shares == 1:
+        scratch.drop(state, current, pairs, *([pivots] if turn else []))
+        if turn == 1:
             nxt = _refined(scratch, nxt, comps, texts)
-        scratch.drop(state, current, sizes, pivots, pairs)
-        state, shares = nxt, shares * 8
+        elif turn > 1:
+            shares *= SHARES
+        state, turn = nxt, turn + 1
 
     if comps is None:
         return ids.select("node", F.col("rep").alias("class_id"))
@@ -424,11 +453,11 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """The rows of ``docs`` whose id is their class's; a repeated row of an id and text stays once."""
     scratch = Scratch(docs.sparkSession)
     found = scratch.keep(near_duplicates(docs, id_col, text_col), "omh-classes")
-    node = F.unhex(F.md5(docs[text_col].cast("binary")))
-    rows = docs.select("*", node.alias("__node"))
-    best = found.select(F.col("node").alias("__best"), F.col("class_id").alias("__class"))
-    kept = rows.where("__node is not null").join(
-        best, (F.col("__node") == F.col("__best")) & rows[id_col].eqNullSafe(F.col("__class"))
+    node, best, least = (free_name(docs, x) for x in ("__node", "__best", "__class"))
+    rows = docs.select("*", F.unhex(F.md5(docs[text_col].cast("binary"))).alias(node))
+    found = found.select(F.col("node").alias(best), F.col("class_id").alias(least))
+    kept = rows.where(F.col(node).isNotNull()).join(
+        found, (F.col(node) == F.col(best)) & rows[id_col].eqNullSafe(F.col(least))
     )
-    one = kept.dropDuplicates(["__node", id_col])
+    one = kept.dropDuplicates([node, id_col])
     return one.select(*docs.columns).union(docs.where(docs[text_col].isNull()))
