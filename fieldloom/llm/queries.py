@@ -126,7 +126,7 @@ def piece_model_path() -> str:
 
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return spm_lattice.encode_texts(docs, spm_lattice.load(piece_model_path()), with_ids=False)
+    return spm_lattice.encode(docs, spm_lattice.load(piece_model_path()), with_ids=False)
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

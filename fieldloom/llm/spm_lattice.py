@@ -11,7 +11,8 @@ needed, the edge with the best score (leftmost of equals) that joins two
 neighbouring symbols is taken.  Characters without a piece become byte pieces.
 
 Defined results: a null or empty text has no ids; repeated rows are encoded
-alike; an empty table gives an empty result; extra columns are ignored.
+alike; a text or word of any length is encoded whole; an empty table gives an
+empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import hashlib
 import heapq
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -33,8 +34,11 @@ from .common import Scratch
 SPACE = "▁"
 #: Between words: before a run of spaces, and on both sides of a line feed.
 CUT = f"(?<=[^{SPACE}])(?={SPACE})|(?<=\\n)|(?=\\n)"
-#: Words of more code points than this are merged on a heap; the result is the same.
+#: The fold's work grows with the square of a word's length; longer words of a BPE
+#: model are merged on a heap, which is exact too, so that a megabyte without a space ends.
 FOLDED_CHARS = 64
+#: Code points of the texts that meet the ids of their words in one task.
+CHUNK_CHARS = 16_000_000
 #: Words whose ids a worker remembers; only speed depends on it.
 CACHE = 300_000
 
@@ -233,14 +237,19 @@ class Coded(Words):
     def __missing__(self, word: str) -> tuple[list[int], bytes, bytes]:
         if len(self) >= CACHE:
             self.clear()
-        ids = merged(word, self.table, self.model.first_byte)
-        self[word] = out = (ids, ",".join(map(str, ids)).encode(), b"".join([self.bytes[i] for i in ids]))
+        self[word] = out = self.forms(merged(word, self.table, self.model.first_byte))
         return out
 
+    def forms(self, ids: Iterable[int]) -> tuple[list[int], bytes, bytes]:
+        ids = list(ids)
+        return ids, ",".join(map(str, ids)).encode(), b"".join([self.bytes[i] for i in ids])
+
+    @staticmethod
+    def split(text: str | None) -> list[str]:
+        return WORD.findall(SPACE + text.replace(" ", SPACE)) if text else []
+
     def of(self, text: str | None) -> list[tuple[list[int], bytes, bytes]]:
-        if not text:
-            return []
-        return list(map(self.__getitem__, WORD.findall(SPACE + text.replace(" ", SPACE))))
+        return list(map(self.__getitem__, self.split(text)))
 
 
 def back(parts: list[bytes]) -> str:
@@ -249,11 +258,26 @@ def back(parts: list[bytes]) -> str:
     return text.removeprefix(" ")
 
 
+OUT = "doc_id long, n_ids long, ids_crc32 long, decoded_sha256 string"
+
+
+def _row(doc_id: int | None, got: list[tuple[list[int], bytes, bytes]], with_ids: bool) -> tuple:
+    crc = zlib.crc32(b",".join([x[1] for x in got]))
+    digest = hashlib.sha256(back([x[2] for x in got]).encode("utf-8", "surrogatepass")).hexdigest()
+    row = (doc_id, sum(len(x[0]) for x in got), crc, digest)
+    return (*row, np.concatenate([x[0] for x in got]).astype(np.int32) if got else np.empty(0, np.int32)) if with_ids else row
+
+
+def _frame(rows: list[tuple], with_ids: bool) -> pd.DataFrame:
+    out = pd.DataFrame(rows, columns=["doc_id", "n_ids", "ids_crc32", "decoded_sha256", *(["ids"] if with_ids else [])])
+    out["doc_id"] = pd.array([None if i is None or i != i else int(i) for i in out["doc_id"].tolist()], "Int64")
+    return out
+
+
 def encode_texts(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
-    """``(doc_id, n_ids, ids_crc32, decoded_sha256[, ids])``, one row per row of ``docs``, without a shuffle.
+    """What ``encode`` returns with a BPE model, without a shuffle and without the relational lattice.
 
-    The same fold over the same lattice as ``encode`` with a BPE model, kept in
-    a bounded memory of words by each worker instead of joined back to texts.
+    Each worker merges words on a heap and remembers a bounded number of them.
     """
     if model.kind != "bpe":
         raise ValueError("texts of a unigram model go through encode")
@@ -262,18 +286,10 @@ def encode_texts(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words = Coded(shared.value)
         for batch in batches:
-            rows = []
-            for doc_id, text in zip(batch["doc_id"].tolist(), batch["text"]):
-                got = words.of(text)
-                crc = zlib.crc32(b",".join([x[1] for x in got]))
-                digest = hashlib.sha256(back([x[2] for x in got]).encode("utf-8", "surrogatepass")).hexdigest()
-                row = (doc_id, sum(len(x[0]) for x in got), crc, digest)
-                rows.append((*row, np.concatenate([x[0] for x in got]).astype(np.int32) if got else np.empty(0, np.int32)) if with_ids else row)
-            out = pd.DataFrame(rows, columns=["doc_id", "n_ids", "ids_crc32", "decoded_sha256", *(["ids"] if with_ids else [])])
-            yield out.astype({"doc_id": "Int64"})
+            yield _frame([_row(i, words.of(t), with_ids) for i, t in zip(batch["doc_id"].tolist(), batch["text"])], with_ids)
 
-    schema = "doc_id long, n_ids long, ids_crc32 long, decoded_sha256 string" + ", ids array<int>" * with_ids
-    return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")).mapInPandas(run, schema)
+    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
+    return rows.mapInPandas(run, OUT + ", ids array<int>" * with_ids)
 
 
 def encode_words(words: DataFrame, model: Model) -> DataFrame:
@@ -298,18 +314,40 @@ def encode_words(words: DataFrame, model: Model) -> DataFrame:
     return out.union(words.where(F.length("word") > FOLDED_CHARS).mapInPandas(run, "word string, ids array<int>"))
 
 
-def encode(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, ids)``, one row per row of ``docs``: distinct words are encoded once and joined back."""
+def _distinct_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        found: dict[int, set[str]] = {}
+        for chunk, text in zip(batch["chunk"].tolist(), batch["text"]):
+            if text:
+                found.setdefault(chunk, set()).update(WORD.findall(SPACE + text.replace(" ", SPACE)))
+        for chunk, words in found.items():
+            yield pd.DataFrame({"chunk": chunk, "word": list(words)})
+
+
+def encode(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
+    """``(doc_id, n_ids, ids_crc32, decoded_sha256[, ids])``, one row per row of ``docs``.
+
+    Distinct words are encoded once, over their lattice.  Texts are dealt into
+    chunks of about ``CHUNK_CHARS`` by a hash of id and text, so copies spread;
+    a chunk meets the ids of its own distinct words, which its size bounds.
+    """
     scratch = Scratch(docs.sparkSession)
-    rows = docs.select(docs[id_col].alias("doc_id"), F.monotonically_increasing_id().alias("row"), docs[text_col].alias("text"))
-    rows = rows.select("doc_id", "row", words_of(F.col("text")).alias("words"))
-    at = rows.select("row", F.posexplode("words").alias("pos", "word"))
-    coded = scratch.keep(encode_words(at.select("word").distinct(), model), "spm-words")
-    parts = at.join(coded, "word").groupBy("row").agg(F.sort_array(F.collect_list(F.struct("pos", "ids"))).alias("p"))
-    parts = parts.select("row", F.flatten(F.transform("p", lambda x: x["ids"])).alias("ids"))
-    return rows.select("doc_id", "row").join(parts, "row", "left").select(
-        "doc_id", F.coalesce("ids", F.array().cast("array<int>")).alias("ids")
-    )
+    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
+    chars = rows.agg(F.sum(F.length("text").cast("long"))).first()[0] or 0
+    chunk = F.pmod(F.xxhash64("doc_id", "text"), F.lit(chars // CHUNK_CHARS + 1)).alias("chunk")
+    rows = rows.select("doc_id", "text", chunk)
+    used = scratch.keep(rows.mapInPandas(_distinct_words, "chunk long, word string").distinct(), "spm-used")
+    coded = scratch.keep(encode_words(used.select("word").distinct(), model), "spm-words")
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(texts: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        words = Coded(shared.value)
+        of = dict(zip(known["word"], map(words.forms, known["ids"])))
+        out = [_row(i, [of[w] for w in words.split(t)], with_ids) for i, t in zip(texts["doc_id"].tolist(), texts["text"])]
+        return _frame(out, with_ids)
+
+    known = used.join(coded, "word").select("chunk", "word", "ids")
+    return rows.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInPandas(run, OUT + ", ids array<int>" * with_ids)
 
 
 def decoded(ids: Column, model: Model) -> Column:
