@@ -22,6 +22,7 @@ import hashlib
 import re
 import unicodedata
 from bisect import bisect_right
+from collections.abc import Iterable
 from functools import lru_cache
 
 import pandas as pd
@@ -34,7 +35,8 @@ KINDS = ("email", "ip", "card", "phone")
 
 EMAIL_RIGHT = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 EMAIL_LEFT = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
-IP = re.compile(r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
+#: A match can only start where a run of digits does, so no run is scanned twice.
+IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 NOT_DIGIT = re.compile(r"[^0-9]+")
@@ -191,15 +193,18 @@ SPELLED = re.compile(
 )
 TOKEN = re.compile(r"[^\W\d_]+|[0-9]+", re.UNICODE)
 
-_ATOM = r"[A-Za-z0-9_%+-]+"
-_DOT = r"(?:\.|\s*[\[({<]\s*(?:dot|\.)\s*[\])}>]\s*|\s+dot\s+|\s+\.\s+|_dot_)"
-_HIDDEN_DOT = r"(?:\s*[\[({<]\s*(?:dot|\.)\s*[\])}>]\s*|\s+dot\s+|_dot_)"
+ATOM_CHARS = EMAIL_LEFT - {"."}
+#: White space before a sign is taken from where it starts, so no run of it is scanned twice.
+_BLANKS = r"(?<!\s)\s*+"
+_BLANK = r"(?<!\s)\s++"
+_DOT = rf"(?:\.|{_BLANKS}[\[({{<]\s*+(?:dot|\.)\s*+[\])}}>]\s*+|{_BLANK}dot\s++|{_BLANK}\.\s++|_dot_)"
+_HIDDEN_DOT = rf"(?:{_BLANKS}[\[({{<]\s*+(?:dot|\.)\s*+[\])}}>]\s*+|{_BLANK}dot\s++|_dot_)"
 #: A sure at: in brackets, or @ set apart.  A bare word needs a hidden dot after it.
-SURE_AT = re.compile(r"\s*[\[({<]\s*(?:at|@)\s*[\])}>]\s*|\s+@\s*|@\s+|@|_at_", re.IGNORECASE)
-BARE_AT = re.compile(r"\s+at\s+", re.IGNORECASE)
+SURE_AT = re.compile(rf"{_BLANKS}[\[({{<]\s*+(?:at|@)\s*+[\])}}>]\s*+|{_BLANK}@\s*+|@\s*+|_at_", re.IGNORECASE)
+BARE_AT = re.compile(rf"{_BLANK}at\s++", re.IGNORECASE)
 DOMAIN = re.compile(rf"[A-Za-z0-9-]+(?:{_DOT}[A-Za-z0-9-]+)+", re.IGNORECASE)
 HIDDEN_DOT = re.compile(_HIDDEN_DOT, re.IGNORECASE)
-_NUMBER_DOT = rf"(?:{_DOT}|\s+(?:point|punkt|punto)\s+)"
+_NUMBER_DOT = rf"(?:{_DOT}|{_BLANK}(?:point|punkt|punto)\s++)"
 #: Numbers and digit words with anything between them that one of the patterns below, or ``SPELLED``, takes.
 NUMBERS = re.compile(
     rf"(?<!\w)(?:plus[\s-]+|\+\s?)?{_UNIT}(?:(?>{_NUMBER_DOT}|\s+|[,./()-])*+{_UNIT})*", re.IGNORECASE
@@ -211,12 +216,10 @@ DOTTED_IP = re.compile(rf"(?<!\w)({_GROUP}){_NUMBER_DOT}({_GROUP}){_NUMBER_DOT}(
 #: What becomes another character in a number: a plus, a dot, a digit word.
 REWRITTEN = re.compile(rf"(?P<plus>\Aplus[\s-]+|\A\+\s)|(?<!\s)(?P<dot>{_NUMBER_DOT})|(?<!\w)(?P<word>{_WORD})(?![^\W\d_])", re.IGNORECASE)
 ANY_DOT = re.compile(_DOT, re.IGNORECASE)
-#: The local part of an address has 64 characters at most; a hidden dot takes up to 9 for one.
-LOCAL_REACH = 64 * 9
-LOCAL = re.compile(rf"{_ATOM}(?:{_DOT}{_ATOM})*\Z", re.IGNORECASE)
-LOCAL_START = re.compile(r"[A-Za-z0-9_%+.\-\s\[\](){}<>]+\Z")
-
-
+WORD_BEFORE = re.compile(rf"(?<![^\W\d_]){_WORD}[\s-]{{1,3}}\Z", re.IGNORECASE)
+WORD_AFTER = re.compile(rf"[\s-]{{1,3}}{_WORD}(?![^\W\d_])", re.IGNORECASE)
+WORD_HERE = re.compile(_WORD, re.IGNORECASE)
+LONGEST_WORD = max(map(len, DIGIT_WORDS))
 def _disguised_emails(text: str) -> list[tuple[int, int, str]]:
     """Edits that turn disguised addresses into plain ones."""
     found: list[tuple[int, int, bool]] = sorted(
@@ -229,8 +232,7 @@ def _disguised_emails(text: str) -> list[tuple[int, int, str]]:
         hidden = HIDDEN_DOT.search(m[0])
         if not sure and not hidden:
             continue
-        left = text[max(floor, start - LOCAL_REACH) : start]
-        if not (run := LOCAL_START.search(left)) or not (local := _local(left, run.start())):
+        if not (local := text[_local_start(text, start, floor) : start]):
             continue
         if text[start:end] == "@" and not hidden and ANY_DOT.fullmatch("."):
             if not re.search(r"[\s\[({<]|_dot_", local + m[0], re.IGNORECASE):
@@ -241,28 +243,46 @@ def _disguised_emails(text: str) -> list[tuple[int, int, str]]:
     return edits
 
 
-def _local(left: str, lowest: int) -> str:
-    """The local part that ends where ``left`` ends: atoms joined by plain or hidden dots."""
-    end = len(left)
+def _unspaced(text: str, end: int, floor: int) -> int:
+    """Where the white space that ends at ``end`` starts."""
+    while end > floor and text[end - 1].isspace():
+        end -= 1
+    return end
+
+
+def _dot_start(text: str, end: int, floor: int) -> int | None:
+    """Where the plain or hidden dot that ends at ``end`` starts; None if there is none."""
+    if end > floor and text[end - 1] == ".":
+        return end - 1
+    at = _unspaced(text, end, floor)
+    if at > floor and text[at - 1] in "])}>":
+        inner = _unspaced(text, at - 1, floor)
+        if text[max(floor, inner - 3) : inner].lower() == "dot":
+            inner -= 3
+        elif inner > floor and text[inner - 1] == ".":
+            inner -= 1
+        else:
+            return None
+        inner = _unspaced(text, inner, floor)
+        return _unspaced(text, inner - 1, floor) if inner > floor and text[inner - 1] in "[({<" else None
+    if at < end and text[max(floor, at - 3) : at].lower() == "dot" and (gap := _unspaced(text, at - 3, floor)) < at - 3:
+        return gap
+    return None
+
+
+def _local_start(text: str, end: int, floor: int) -> int:
+    """Where the local part that ends at ``end`` starts: atoms joined by plain or hidden dots."""
     start = end
-    while start > lowest and re.match(r"[A-Za-z0-9_%+-]", left[start - 1]):
-        start -= 1
-    if start == end:
-        return ""
     while True:
-        cut = None
-        for pattern in (r"\.\Z", r"\s*[\[({<]\s*(?:dot|\.)\s*[\])}>]\s*\Z", r"\s+dot\s+\Z"):
-            if m := re.search(pattern, left[max(0, start - 12) : start], re.IGNORECASE):
-                cut = start - len(m[0])
-                break
-        if cut is None:
-            return left[start:end]
-        atom = cut
-        while atom > lowest and re.match(r"[A-Za-z0-9_%+-]", left[atom - 1]):
+        atom = start
+        while atom > floor and text[atom - 1] in ATOM_CHARS:
             atom -= 1
-        if atom == cut:
-            return left[start:end]
-        start = atom
+        if atom == start:
+            return kept if start != end else end
+        kept = start = atom
+        if (dot := _dot_start(text, start, floor)) is None:
+            return kept
+        start = dot
 
 
 def _digits(text: str) -> str:
@@ -286,7 +306,16 @@ def _dotted_ips(text: str) -> list[Span]:
         ends = [m.start(4) + u.end() for u in UNIT.finditer(m[4])]
         start = next((i for i in starts if _octet(_digits(text[i : m.end(1)]))), None)
         end = next((i for i in reversed(ends) if _octet(_digits(text[m.start(4) : i]))), None)
-        if start is not None and end is not None and not re.search(r"(?:plus[\s-]+|\+\s?)\Z", text[max(0, start - 8) : start], re.IGNORECASE):
+        if start is None or end is None:
+            continue
+        # a digit word beside an outer number of digit words makes that number longer
+        before = text[max(0, start - LONGEST_WORD - 4) : start]
+        if WORD_HERE.match(text, start) and WORD_BEFORE.search(before):
+            continue
+        last = [u for u in UNIT.finditer(m[4]) if m.start(4) + u.end() <= end][-1]
+        if WORD_HERE.match(last[0]) and WORD_AFTER.match(text, end):
+            continue
+        if not re.search(r"(?:plus[\s-]+|\+\s?)\Z", before[-8:], re.IGNORECASE):
             out.append((start, end))
             at = end
     return out
@@ -332,9 +361,11 @@ def _numbers(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[int, int
         found += [("ip", at + s, at + e) for s, e in taken]
         for s, e, digits in _outside(_spelled(run[0]), taken):
             only, kind = NOT_DIGIT.sub("", digits), None
-            if 13 <= len(only) <= 19 and len(set(only)) > 1 and luhn(only):
+            if digits[0] == "+" and 9 <= len(only) <= 15:
+                kind = "phone"
+            elif 13 <= len(only) <= 19 and len(set(only)) > 1 and luhn(only):
                 kind = "card"
-            elif 9 <= len(only) <= 15 and (digits[0] == "+" or len(set(digits)) >= DISTINCT_DIGITS):
+            elif 9 <= len(only) <= 15 and len(set(digits)) >= DISTINCT_DIGITS:
                 kind = "phone"
             if kind:
                 taken.append((s, e))
@@ -380,20 +411,36 @@ def disguised(text: str) -> dict[str, list[Span]]:
     return out
 
 
+class Blocks:
+    """Spans by the blocks of 256 characters that they touch."""
+
+    def __init__(self, spans: Iterable[Span]):
+        self.at: dict[int, list[Span]] = {}
+        for s in spans:
+            self.add(s)
+
+    def add(self, span: Span) -> None:
+        for k in range(span[0] >> 8, (span[1] + 255) >> 8):
+            self.at.setdefault(k, []).append(span)
+
+    def near(self, span: Span) -> set[Span]:
+        return {s for k in range(span[0] >> 8, (span[1] + 255) >> 8) for s in self.at.get(k, ())}
+
+
 def find(text: str | None) -> tuple[dict[str, list[Span]], dict[str, list[Span]]]:
     """Plain spans, and those that the transducers add."""
     text = text or ""
     base = plain(text)
     more = disguised(text)
     if any(more.values()):
-        taken = sorted(s for v in base.values() for s in v)
+        taken = Blocks(s for v in base.values() for s in v)
         for kind in KINDS:
             kept = []
             for s in sorted(set(more[kind])):
                 # beside every other span, or around a plain one that is only a part of it
-                if all(s[1] <= b or e <= s[0] or s[0] <= b and e <= s[1] and s != (b, e) for b, e in taken):
+                if all(s[1] <= b or e <= s[0] or s[0] <= b and e <= s[1] and s != (b, e) for b, e in taken.near(s)):
                     kept.append(s)
-                    taken.append(s)
+                    taken.add(s)
             more[kind] = kept
     return base, more
 

@@ -109,3 +109,42 @@ def test_an_article_beside_a_whole_number_is_not_part_of_it():
 def test_odd_runs_end():
     for part in ("( . ) ", "one ", "1 dot ", "one dot ", "[.]", "  ", "9 "):
         pii.find("one " + part * 5000 + "x")
+
+
+@pytest.mark.parametrize("part", ["x @ {}y", ".{}", "a{}(dot) b@c"])
+@pytest.mark.parametrize("fill", [" ", "1", "one dot ", "1 point ", "a at b "])
+def test_a_megabyte_of_one_thing_takes_seconds(part, fill):
+    import time
+
+    text = part.format(fill * (1_000_000 // len(fill)))
+    start = time.process_time()
+    pii.find(text)
+    assert time.process_time() - start < 20
+
+
+def test_spelled_octets_are_whole_numbers():
+    for text in ("one two three four five dot one dot two dot three", "one dot two dot three dot four five six seven", "nine nine nine dot one dot one dot one"):
+        assert not any(map(len, pii.find(text)[1].values())), text
+
+
+def test_added_spans_of_generated_disguises():
+    """Each identifier, disguised in several ways among clean words, is found over its whole span."""
+    rnd = random.Random(17)
+    words = "report lantern meadow walk silver under paper stone".split()
+    dots, ats = [" dot ", " (dot) ", "[.]", "[dot]", " [ DOT ] "], [" at ", " (at) ", "[at]", " @ ", " <AT> "]
+    spelled = "zero one two three four five six seven eight nine".split()
+    for _ in range(2000):
+        kind = rnd.choice(["email", "ip", "phone"])
+        if kind == "email":
+            local = rnd.choice(dots).join(rnd.sample(words, rnd.randrange(1, 5)))
+            item = local + rnd.choice(ats) + rnd.choice(dots).join([*rnd.sample(words, rnd.randrange(1, 3)), "org"])
+        elif kind == "ip":
+            parts = [str(rnd.randrange(256)) for _ in range(4)]
+            parts = [" ".join(spelled[int(c)] for c in p) if rnd.random() < 0.5 else p for p in parts]
+            item = rnd.choice(dots).join(parts)
+        else:
+            item = "plus " + " ".join(spelled[rnd.randrange(10)] for _ in range(rnd.randrange(9, 16)))
+        text = f"{' '.join(rnd.sample(words, 3))}, {item}; {' '.join(rnd.sample(words, 3))}"
+        base, more = pii.find(text)
+        got = [text[s:e] for s, e in base[kind] + more[kind]]
+        assert item.strip() in got, (text, got)
