@@ -43,3 +43,29 @@ def test_full_slack_shows_every_border_pair():
     hy, sy = v.cells_of(y, centres, 0.95, 1.0)
     for i in np.flatnonzero((x * y).sum(axis=1) >= 0.95):
         assert hy[i] in sx[i] or hx[i] in sy[i]
+
+
+def test_lengths_are_taken_in_turn(spark):
+    rng = np.random.default_rng(3)
+    rows, want = [], {}
+    for d, n in ((16, 80), (5, 50), (2, 7)):
+        x = rng.normal(size=(n, d))
+        x = np.vstack([x, x[: n // 2] + 0.04 * rng.normal(size=(n // 2, d)), x[:3]])
+        ids = [len(rows) + i for i in range(len(x))]
+        rows += [(i, [float(c) for c in r]) for i, r in zip(ids, x)]
+        want |= brute(ids, x, 0.95)
+    got = v.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), cell_rows=20).collect()
+    assert {r.vec_id: (r.n_links, r.component_id, r.kept) for r in got} == want
+
+
+def test_planted_pairs_at_the_threshold(spark):
+    """Pairs just above and just below 0.95 are told apart, whatever cells part them."""
+    rng = np.random.default_rng(4)
+    x = v.normed(rng.normal(size=(600, 64)))
+    u = rng.normal(size=x.shape)
+    u = v.normed(u - (u * x).sum(axis=1, keepdims=True) * x)
+    cos = np.where(np.arange(600) % 2 == 0, 0.95 + 1e-9, 0.95 - 1e-9)
+    y = cos[:, None] * x + np.sqrt(1 - cos**2)[:, None] * u
+    rows = [(i, r.tolist()) for i, r in enumerate(np.vstack([x, y]))]
+    got = v.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), cell_rows=50).collect()
+    assert {r.vec_id: r.n_links for r in got} == {i: int(i % 600 % 2 == 0) for i in range(1200)}
