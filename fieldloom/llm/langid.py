@@ -27,6 +27,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import free_name
+
 #: Documents expected in the training sample, however many are labelled.
 TRAIN_DOCS = 20_000
 #: Trigrams are hashed into so many buckets.
@@ -192,5 +194,6 @@ LEAST_SHARE = 0.4
 
 def keep_identified(docs: DataFrame, text_col: str = "text", least: float = LEAST_SHARE) -> DataFrame:
     """The rows of ``docs`` whose main language is known and has at least the share ``least``."""
-    got = docs.select("*", predicted(docs, train(docs, text_col=text_col), docs[text_col]).alias("__language"))
-    return got.where((F.col("__language.lang_pred") != UNKNOWN) & (F.col("__language.score") >= least)).select(*docs.columns)
+    name = free_name(docs, "__language")
+    got = docs.select("*", predicted(docs, train(docs, text_col=text_col), docs[text_col]).alias(name))
+    return got.where((F.col(f"{name}.lang_pred") != UNKNOWN) & (F.col(f"{name}.score") >= least)).select(*docs.columns)

@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, free_name
 
 CAPACITY = 4096
 END_ID = 1
@@ -349,15 +349,18 @@ def place(found: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     runs = found.sparkSession.sparkContext.broadcast(plan(complete(counts, capacity)))
 
     buckets = 64 + int(counts.sum()) // BUCKET_ROWS
-    salted = found.withColumn("__bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)).cast("int"))
-    sums = salted.groupBy("length", "__bucket").agg(F.count("*").alias("n"))
-    before = Window.partitionBy("length").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    bucket, below, row, rank, seat_of = (free_name(found, f"__{x}") for x in ("bucket", "floor", "row", "rank", "seat"))
+    # what tells pieces apart, null ids too; pieces equal in all of it are alike
+    by = [c for c in ("doc_id", "piece", "start", "ids_crc32") if c in found.columns]
+    salted = found.withColumn(bucket, F.pmod(F.xxhash64(*by), F.lit(buckets)).cast("int"))
+    sums = salted.groupBy("length", bucket).agg(F.count("*").alias("n"))
+    before = Window.partitionBy("length").orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
     floor = scratch.keep(
-        sums.select("length", "__bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__floor")), "packing-floor"
+        sums.select("length", bucket, F.coalesce(F.sum("n").over(before), F.lit(0)).alias(below)), "packing-floor"
     )
-    here = Window.partitionBy("length", "__bucket").orderBy("doc_id", "piece")
-    ranked = salted.withColumn("__row", F.row_number().over(here) - 1).join(floor, ["length", "__bucket"])
-    ranked = ranked.withColumn("__rank", F.col("__floor") + F.col("__row"))
+    here = Window.partitionBy("length", bucket).orderBy(*by)
+    ranked = salted.withColumn(row, F.row_number().over(here) - 1).join(floor, ["length", bucket])
+    ranked = ranked.withColumn(rank, F.col(below) + F.col(row))
 
     def seat(length: pd.Series, rank: pd.Series) -> pd.DataFrame:
         t = runs.value
@@ -372,8 +375,8 @@ def place(found: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             }
         )
 
-    seated = ranked.withColumn("__seat", F.pandas_udf(seat, "sequence_id long, offset long")("length", "__rank"))
-    return seated.select(*found.columns, "__seat.sequence_id", "__seat.offset")
+    seated = ranked.withColumn(seat_of, F.pandas_udf(seat, "sequence_id long, offset long")("length", rank))
+    return seated.select(*found.columns, f"{seat_of}.sequence_id", f"{seat_of}.offset")
 
 
 def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, with_ids: bool = False, **columns: str) -> DataFrame:

@@ -51,24 +51,74 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Base32 of a digest: each five hexadecimal digits give four characters.
+OP2_SQL = r"""
+WITH p AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY h, payload_bytes) AS first FROM p)
+SELECT page_id, payload_bytes::BIGINT AS payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda i:
+    substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(h, (1 + 5 * (i // 4))::INT, 5))::INT >> (15 - 5 * (i % 4))::INT) & 31), 1)), '') AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first THEN first END AS refers_to
+FROM f
+"""
+
+
 def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = url_filters.judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+#: Links and the smallest verdict of their components; ``.`` and ``..`` segments of a target are left as they are here.
 OP3_SQL = r"""
-WITH p AS (
+WITH RECURSIVE p AS (
   SELECT page_id, url, html,
     CASE WHEN url LIKE '%://%' THEN translate(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE '' END AS host,
     CASE WHEN url LIKE '%://%' THEN regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's') ELSE '' END AS path
   FROM pages),
 r(h, p, verdict) AS (VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block')),
 best AS (
-  SELECT page_id, arg_max(r.h || r.p, length(r.h || r.p)) AS rule, arg_max(r.verdict, length(r.h || r.p)) AS verdict
+  SELECT page_id, url, arg_max(r.h || r.p, length(r.h || r.p)) AS rule, arg_max(r.verdict, length(r.h || r.p)) AS verdict
   FROM p JOIN r ON (p.host = r.h OR ends_with(p.host, '.' || r.h)) AND starts_with(p.path, r.p)
-  GROUP BY page_id)
-SELECT p.page_id, p.host, p.path, best.rule, coalesce(best.verdict, 'allow') AS verdict
-FROM p LEFT JOIN best USING (page_id)
+  GROUP BY page_id, url),
+tags AS (SELECT url, unnest(regexp_extract_all(html, '<(?:link|meta)\s[^>]*>', 0, 'is')) AS tag FROM p WHERE url LIKE '%://%'),
+attrs AS (
+  SELECT url, tag,
+    trim(regexp_extract(tag, '\srel\s*=\s*("[^"]*"|''[^'']*''|[^\s>]+)', 1, 'is'), chr(34) || chr(39)) AS rel,
+    trim(regexp_extract(tag, '\shref\s*=\s*("[^"]*"|''[^'']*''|[^\s>]+)', 1, 'is'), chr(34) || chr(39)) AS href,
+    trim(regexp_extract(tag, '\shttp-equiv\s*=\s*("[^"]*"|''[^'']*''|[^\s>]+)', 1, 'is'), chr(34) || chr(39)) AS equiv,
+    trim(regexp_extract(tag, '\scontent\s*=\s*("[^"]*"|''[^'']*''|[^\s>]+)', 1, 'is'), chr(34) || chr(39)) AS content
+  FROM tags),
+hrefs AS (
+  SELECT url, replace(CASE WHEN tag ILIKE '<link%' AND regexp_matches(rel, '(^|\s)canonical(\s|$)', 'i') THEN href
+         WHEN tag ILIKE '<meta%' AND lower(equiv) = 'refresh' THEN regexp_extract(content, 'url\s*=\s*["'']?([^"''\s>]+)', 1, 'is')
+         ELSE '' END, '&amp;', '&') AS href
+  FROM attrs),
+full_urls AS (
+  SELECT url AS a, CASE WHEN regexp_matches(href, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN href
+      WHEN starts_with(href, '//') THEN regexp_extract(url, '^(.*?)://', 1, 's') || ':' || href
+      WHEN starts_with(href, '/') THEN regexp_extract(url, '^(.*?://[^/?#]*)', 1, 's') || href
+      WHEN href <> '' AND NOT regexp_matches(href, '^([A-Za-z][A-Za-z0-9+.-]*:|#)') THEN
+        rtrim(regexp_extract(url, '^(.*?://[^/?#]*(?:[^?#]*/)?)', 1, 's'), '/') || '/' || href END AS b
+  FROM hrefs WHERE href <> ''),
+keys AS (
+  SELECT u, translate(regexp_extract(u, '^(.*?://[^/?#]*)', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')
+      || regexp_extract(u, '^.*?://[^/?#]*([^#]*)', 1, 's') AS k
+  FROM (SELECT a AS u FROM full_urls UNION SELECT b FROM full_urls UNION SELECT url FROM p) WHERE u LIKE '%://%'),
+edges AS (
+  SELECT ka.k AS a, kb.k AS b FROM full_urls f JOIN keys ka ON ka.u = f.a JOIN keys kb ON kb.u = f.b WHERE ka.k <> kb.k
+  UNION SELECT kb.k, ka.k FROM full_urls f JOIN keys ka ON ka.u = f.a JOIN keys kb ON kb.u = f.b WHERE ka.k <> kb.k),
+reach(node, other) AS (SELECT a, a FROM edges UNION SELECT reach.node, edges.b FROM reach JOIN edges ON reach.other = edges.a),
+ruled AS (
+  SELECT k, min_by(r.verdict, -length(r.h || r.p)) AS verdict FROM (SELECT DISTINCT k FROM keys WHERE k IN (SELECT a FROM edges)) n
+  JOIN r ON (regexp_extract(k, '^.*?://([^/?#]*)', 1, 's') = r.h OR ends_with(regexp_extract(k, '^.*?://([^/?#]*)', 1, 's'), '.' || r.h))
+    AND starts_with(regexp_extract(k, '^.*?://[^/?#]*([^?#]*)', 1, 's'), r.p)
+  GROUP BY k),
+shared AS (SELECT node, min(verdict) AS verdict FROM reach JOIN ruled ON ruled.k = reach.other GROUP BY node)
+SELECT p.page_id, p.host, p.path, best.rule, coalesce(best.verdict, shared.verdict, 'allow') AS verdict
+FROM p LEFT JOIN best ON best.page_id IS NOT DISTINCT FROM p.page_id AND best.url = p.url
+LEFT JOIN keys ON keys.u = p.url LEFT JOIN shared ON shared.node = keys.k
 """
 
 
@@ -172,6 +222,7 @@ QUERIES: Queries = {
 
 ORACLE_SQL: dict[str, str] = {
     "op1_chat_format": OP1_SQL,
+    "op2_warc": OP2_SQL,
     "op3_url_filters": OP3_SQL,
     "op4_quality_rules": OP4_SQL,
 }

@@ -87,7 +87,7 @@ def resolve(base: Column, href: Column) -> Column:
     origin = F.regexp_extract(base, r"(?s)^(.*?://[^/?#]*)", 1)
     folder = F.regexp_extract(base, r"(?s)^(.*?://[^/?#]*(?:[^?#]*/)?)", 1)
     folder = F.when(folder.endswith("/"), folder).otherwise(F.concat(folder, F.lit("/")))
-    return (
+    return _without_dots(
         F.when(href.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), href)
         .when(href.startswith("//"), F.concat(scheme, F.lit(":"), href))
         .when(href.startswith("/"), F.concat(origin, href))
@@ -95,22 +95,42 @@ def resolve(base: Column, href: Column) -> Column:
     )
 
 
-#: Patterns for the tags that link a page to the URL it stands for; group 1 is the target.
-CANONICAL = (
-    r"""(?is)<link\b(?=[^>]*\brel\s*=\s*["']?canonical\b)[^>]*\bhref\s*=\s*["']?([^"'\s>]+)""",
-    r"""(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*["']?refresh\b)[^>]*\bcontent\s*=\s*["'][^"'>]*?url\s*=\s*([^"'\s>]+)""",
-)
+def _without_dots(url: Column) -> Column:
+    """The URL without ``.`` and ``..`` segments in its path."""
+    origin = F.regexp_extract(url, r"(?s)^(.*?://[^/?#]*)", 1)
+    parts = F.split(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), "/")
+    rest = F.regexp_extract(url, r"(?s)^.*?://[^?#]*(.*)$", 1)
+
+    def step(kept: Column, part: Column) -> Column:
+        up = F.when(F.size(kept) > 1, F.slice(kept, 1, F.size(kept) - 1)).otherwise(kept)
+        return F.when(part == "..", up).when(part == ".", kept).otherwise(F.concat(kept, F.array(part)))
+
+    kept = F.aggregate(parts, F.array().cast("array<string>"), step)
+    folder = F.element_at(parts, -1).isin(".", "..")
+    path = F.array_join(F.when(folder, F.concat(kept, F.array(F.lit("")))).otherwise(kept), "/")
+    return F.when(url.contains("/."), F.concat(origin, path, rest)).otherwise(url)
+
+
+TAG = r"(?is)<(?:link|meta)\s[^>]*>"
+
+
+def _attribute(tag: Column, name: str) -> Column:
+    """The value of an attribute, without quotes and outer blanks; empty if there is none."""
+    value = F.regexp_extract(tag, rf"""(?is)\s{name}\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", 1)
+    return F.regexp_replace(value, r"""^["']?\s*|\s*["']?$""", "")
 
 
 def links_of_pages(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """``(a, b)`` keys of redirect (meta refresh) and canonical links found in the pages."""
-    url, html = pages[url_col], pages[html_col]
-    found = pages.select(
-        url.alias("url"), F.explode(F.array(*[F.regexp_extract(html, p, 1) for p in CANONICAL])).alias("href")
-    ).where("href <> ''")
-    href = F.replace(F.col("href"), F.lit("&amp;"), F.lit("&"))
+    """``(a, b)`` keys of redirect (meta refresh) and canonical links, all that the pages hold."""
+    found = pages.select(pages[url_col].alias("url"), F.explode(F.regexp_extract_all(pages[html_col], F.lit(TAG), F.lit(0))).alias("tag"))
+    tag = F.col("tag")
+    canonical = tag.rlike(r"(?i)^<link") & _attribute(tag, "rel").rlike(r"(?i)(^|\s)canonical(\s|$)")
+    refresh = tag.rlike(r"(?i)^<meta") & _attribute(tag, "http-equiv").rlike(r"(?i)^refresh$")
+    target = F.regexp_extract(_attribute(tag, "content"), r"""(?is)url\s*=\s*["']?([^"'\s>]+)""", 1)
+    href = F.when(canonical, _attribute(tag, "href")).when(refresh, target)
+    found = found.select("url", F.replace(href, F.lit("&amp;"), F.lit("&")).alias("href")).where("href <> ''")
     return (
-        found.select(url_key(F.col("url")).alias("a"), url_key(resolve(F.col("url"), href)).alias("b"))
+        found.select(url_key(F.col("url")).alias("a"), url_key(resolve(F.col("url"), F.col("href"))).alias("b"))
         .where("a is not null and b is not null and a <> b")
         .distinct()
     )

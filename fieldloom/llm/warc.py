@@ -35,6 +35,8 @@ from .common import Scratch, columns_only, scratch_path
 #: An archive is closed after so many bytes of records or so many records.
 ARCHIVE_BYTES = 32 << 20
 ARCHIVE_RECORDS = 2048
+#: Tasks at most that rewrite or read archives; only speed depends on it.
+TASKS = 4096
 #: Bytes of compressed input inflated at a time.
 CHUNK = 1 << 16
 DATE = "1970-01-01T00:00:00Z"
@@ -222,7 +224,7 @@ def decide_revisits(scratch: Scratch, written: DataFrame, min_bytes: int = 0) ->
 INDEX = "archive string, offset long, length long, index string"
 
 
-def normalise(decisions: DataFrame, root: str) -> DataFrame:
+def normalise(decisions: DataFrame, root: str, tasks: int = TASKS) -> DataFrame:
     """Rewrite every archive named in ``decisions`` (archive, seq, refers_to).
 
     One row a rewritten archive: (archive, source, index, records).  An archive
@@ -259,7 +261,10 @@ def normalise(decisions: DataFrame, root: str) -> DataFrame:
             out.write("".join(f"{x}\n" for x in lines).encode())
         return pd.DataFrame([(target, source, index, len(lines))], columns=["archive", "source", "index", "records"])
 
-    return decisions.groupBy("archive").applyInPandas(one, "archive string, source string, index string, records long")
+    # so many partitions as archives: the decisions are small, what a group reads is not
+    tasks = max(1, min(tasks, decisions.select("archive").distinct().count()))
+    spread = decisions.repartition(tasks, "archive")
+    return spread.groupBy("archive").applyInPandas(one, "archive string, source string, index string, records long")
 
 
 READ = (
@@ -310,7 +315,7 @@ def read_archives(archives: DataFrame, verify: bool = True) -> DataFrame:
 
 
 def archive_pages(
-    pages: DataFrame, id_col: str = "page_id", uri_col: str = "url", payload_col: str = "html", min_bytes: int = 0
+    pages: DataFrame, id_col: str = "page_id", uri_col: str = "url", payload_col: str = "html", min_bytes: int = 0, tasks: int = TASKS
 ) -> DataFrame:
     """Write, normalise, index and read back; one row per row of ``pages``."""
     spark: SparkSession = pages.sparkSession
@@ -323,6 +328,6 @@ def archive_pages(
         at.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(at)
     written = scratch.keep(write_monolithic(pages, raw, id_col, uri_col, payload_col), "written")
     decisions = decide_revisits(scratch, written, min_bytes)
-    archives = scratch.keep(normalise(decisions, done), "archives")
+    archives = scratch.keep(normalise(decisions, done, tasks), "archives")
     delete_path(spark, raw)
-    return read_archives(archives.repartition(max(1, min(archives.count(), 4096)), F.xxhash64("archive")))
+    return read_archives(archives.repartition(max(1, min(archives.count(), tasks)), F.xxhash64("archive")))

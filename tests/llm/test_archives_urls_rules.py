@@ -11,7 +11,7 @@ from ..compare import same
 CHAT = "conv_id long, turn long, role string, text string"
 
 
-@pytest.mark.parametrize("name", ["op1_chat_format", "op3_url_filters", "op4_quality_rules"])
+@pytest.mark.parametrize("name", ["op1_chat_format", "op2_warc", "op3_url_filters", "op4_quality_rules"])
 def test_query_equals_sql(spark, name):
     same(spark, queries.QUERIES[name], queries.ORACLE_SQL[name])
 
@@ -98,3 +98,43 @@ def test_rotation(spark):
     assert got[(1, "bob")][1] == ["yo<|im_end|>"] and got[(2, "unknown")][1] == ["x<|im_end|>"]
     assert "name=c_d\n" in got[(None, "e")][0]
     assert {r.copies for r in segments.collect()} == {1, 2} and chat_format.rotate(df.limit(0)).count() == 0
+
+
+LINKED = [
+    (1, "http://a.net/x", '<LINK title=1 href="https://example.org/es/1" rel="alternate canonical">'),
+    (2, "http://b.net/y", """<meta http-equiv="refresh" content="0; url='http://a.net/x'"><link rel=canonical href=http://b.net/z>"""),
+    (3, "HTTP://b.net/z#f", "<p>"), (4, "http://c.net/d/e?q=1", '<link rel="canonical" href="f"><link rel="canonical" href="//bad.com/de/2">'),
+    (5, "http://c.net/d/f", "<link data-rel=canonical href=http://lone.net/>"), (6, "http://e.org/", "<link rel=canonical href=/k?a=1&amp;b=2>"),
+    (7, "http://e.org/k?a=1&b=2", ""), (8, "http://x.com/de/1", "<link rel=canonical href=http://b.net/z>"), (9, None, "<link rel=canonical href=http://b.net/z>"),
+    (10, "http://lone.net/", None), (11, "no address", "<link rel=canonical href=http://b.net/z>"), (12, "http://g.com/fr/1", "<link rel=canonical href=http://h.net/>"), (13, "http://h.net/", "<link rel=canonical href=http://i.com/de/>"),
+]
+
+
+def test_linked_pages_equal_sql(spark, tmp_path):
+    import duckdb
+
+    spark.createDataFrame(LINKED, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    con = duckdb.connect()
+    con.execute(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
+    want = con.execute(f"select page_id, host, path, rule, verdict from ({queries.OP3_SQL})").fetchall()
+    got = [tuple(r) for r in queries.op3_url_filters(spark, str(tmp_path)).collect()]
+    assert sorted(got) == sorted(want)
+    verdicts = {r[0]: r[4] for r in got}
+    assert {i for i in verdicts if verdicts[i] == "block"} == {1, 2, 3, 4, 5, 8}
+    assert verdicts[13] == "allow" and verdicts[10] == "allow"
+
+
+def test_dot_segments(spark):
+    rows = [("http://a.net/b/c/d?x", "../e", "http://a.net/b/e"), ("http://a.net/b/", "./../../f/.", "http://a.net/f/"), ("http://a.net", "g/..", "http://a.net/"), ("http://a.net/b", "/h/./i?p=/../q", "http://a.net/h/i?p=/../q")]
+    df = spark.createDataFrame(rows, "base string, href string, want string")
+    for r in df.select(url_filters.resolve(F.col("base"), F.col("href")).alias("got"), "want").collect():
+        assert r.got == r.want
+
+
+def test_working_columns_may_be_taken(spark):
+    df = spark.createDataFrame([(1, "word " * 60, 1, 2, 3, 4)], "doc_id long, text string, __words int, __row int, __node int, __language int")
+    assert quality.keep_good(df).columns == quality.judge(df).columns[:6] == df.columns
+    from fieldloom.llm import langid, order_minhash
+
+    assert order_minhash.keep_one(df).collect()[0]["__node"] == 3
+    assert langid.keep_identified(df.withColumn("lang", F.lit("en"))).columns == [*df.columns, "lang"]
