@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Area letters of the two notations, to (area, input/output/memory).
-IOL_AREAS = {"E": "I", "A": "Q", "M": "M", "PEW": "IW", "PAW": "QW", "EW": "IW", "AW": "QW", "MW": "MW", "ED": "ID", "AD": "QD", "MD": "MD", "EB": "IB", "AB": "QB", "MB": "MB"}
-#: Aliases of data types, lower case.
+#: Areas of the file notation, to those of the controller.
+IOL_AREAS = {"PEW": "IW", "PAW": "QW", "EW": "IW", "AW": "QW", "MW": "MW", "E": "I", "A": "Q", "M": "M"}
+#: Areas of the controller, to those that files are written with.
+S7_AREAS = {"I": "E", "Q": "A", "M": "M", "IW": "PEW", "QW": "PAW", "MW": "MW"}
+#: Names of data types, lower case.
 DATA_TYPES = {
-    "bool": "Bool", "int": "Int", "dint": "DInt", "real": "Real", "word": "Word", "dword": "DWord", "string": "String",
-    "time": "Time", "date": "Date", "tod": "TOD", "time_of_day": "TOD", "dt": "DT", "date_and_time": "DT",
+    "bool": "Bool", "boolean": "Bool", "int": "Int", "integer": "Int", "dint": "DInt", "real": "Real", "float": "Real",
+    "word": "Word", "dword": "DWord", "string": "String", "time": "Time", "date": "Date", "tod": "TOD", "dt": "DT",
 }
+#: Areas of device registers; those whose registers have bits come first.
+REGISTER_AREAS = ("HOLDING", "INPUT", "COIL", "DISCRETE")
 #: I/O categories in priority order.
 CATEGORIES = ("SDI", "SDO", "SAI", "SAO", "DI", "DO", "AI", "AO")
 #: Storage bits of elementary types.
@@ -26,32 +30,40 @@ def _lookup(key: Column, table: dict) -> Column:
     return F.create_map(*[F.lit(x) for kv in table.items() for x in kv])[key]
 
 
-def _address(area: Column, byte: Column, bit: Column) -> Column:
-    whole = (F.length(area) > 0) & (F.length(byte) > 0)
-    # a bit belongs to an area without width, and such an area needs one
-    valid = whole & ((F.length(area) == 1) == (F.length(bit) > 0)) & (F.coalesce(bit.try_cast("int"), F.lit(0)) <= 7)
-    return F.when(
-        valid,
-        F.struct(
-            area.alias("address_type"),
-            byte.try_cast("int").alias("byte_address"),
-            F.when(F.length(bit) > 0, bit.try_cast("int")).alias("bit_address"),
-        ),
-    )
+NUMBER = r"\s*([+-]?\d+)\s*"
+
+
+def _address(text: Column, words: str, bits: str, areas: dict[str, str] | None = None) -> Column:
+    """A word area and a number, else a bit area with ``byte.bit`` or a byte alone; null if neither."""
+
+    def area(name: Column) -> Column:
+        return _lookup(name, areas) if areas else name
+
+    def found(pattern: str, bit: bool = False) -> Column:
+        g = [F.regexp_extract(text, pattern, i) for i in (1, 2, 3)[: 2 + bit]]
+        number = [x.try_cast("int") for x in g[1:]]
+        last = number[1] if bit else F.lit(None).cast("int")
+        whole = F.struct(area(g[0]).alias("address_type"), number[0].alias("byte_address"), last.alias("bit_address"))
+        return F.when(text.rlike(pattern) & number[0].isNotNull(), whole)
+
+    word = F.when(text.rlike(rf"^(?:{words})"), found(rf"^({words}){NUMBER}$"))
+    bit = F.coalesce(found(rf"^({bits}){NUMBER}\.{NUMBER}$", True), found(rf"^({bits}){NUMBER}$"))
+    return F.when(text.rlike(rf"^(?:{words})"), word).otherwise(bit)
 
 
 def parse_s7(address: Column) -> Column:
-    """``%I1.0``, ``%QW70``, ... to struct(address_type, byte_address, bit_address), else null."""
-    p = r"^%?([IQM][BWD]?)(\d+)(?:\.(\d+))?$"
-    a = F.upper(F.trim(address))
-    return _address(*[F.regexp_extract(a, p, i) for i in (1, 2, 3)])
+    """``%I1.0``, ``%QW70``, ``%PIW3``, ``%I1`` to struct(address_type, byte_address, bit_address), else null."""
+    return _address(F.regexp_replace(F.upper(F.trim(address)), "^%+", ""), "IW|QW|MW|PIW|PQW", "[IQM](?![WD])")
 
 
 def parse_iol(address: Column) -> Column:
     """``E 1.0``, ``PEW 100``, ``A2.1``, ... to the same struct."""
-    p = r"^(PEW|PAW|[EAM][BWD]?)\s*(\d+)(?:\.(\d+))?$"
-    a = F.upper(F.trim(address))
-    return _address(_lookup(F.regexp_extract(a, p, 1), IOL_AREAS), F.regexp_extract(a, p, 2), F.regexp_extract(a, p, 3))
+    return _address(F.upper(F.trim(address)), "PEW|PAW|EW|AW|MW", "[EAM]", IOL_AREAS)
+
+
+def in_range(address: Column) -> Column:
+    """A strict check that parsing leaves out: no negative byte, a bit from 0 to 7."""
+    return (address["byte_address"] >= 0) & F.coalesce(address["bit_address"].between(0, 7), F.lit(True))
 
 
 def format_s7(address: Column) -> Column:
@@ -64,9 +76,8 @@ def format_s7(address: Column) -> Column:
 
 
 def format_iol(address: Column) -> Column:
-    back = {v: k for k, v in IOL_AREAS.items() if k not in ("EW", "AW")}
     return F.concat(
-        _lookup(address["address_type"], back),
+        F.coalesce(_lookup(address["address_type"], S7_AREAS), address["address_type"]),
         F.lit(" "),
         address["byte_address"].cast("string"),
         F.coalesce(F.concat(F.lit("."), address["bit_address"].cast("string")), F.lit("")),
@@ -93,11 +104,13 @@ def type_bits(name: Column) -> Column:
 
 
 def register_address(spec: Column) -> Column:
-    """``AREA:N`` or ``AREA:N/B`` to struct(area, address, bit); null where malformed or out of range."""
-    p = r"^(HR|IR|CO|DI):(\d+)(?:/(\d+))?$"
-    s = F.upper(F.trim(spec))
-    n, b = F.regexp_extract(s, p, 2).try_cast("int"), F.regexp_extract(s, p, 3)
-    ok = n.isNotNull() & (n <= 65535) & ((b == "") | (b.try_cast("int") <= 15))
-    return F.when(
-        ok, F.struct(F.regexp_extract(s, p, 1).alias("area"), n.alias("address"), F.when(b != "", b.try_cast("int")).alias("bit"))
-    )
+    """``AREA:N`` or ``AREA:N/B`` to struct(area, address, bit); null where malformed.
+
+    Bits are 0 to 15 and only those of holding and input registers.
+    """
+    p = r"^([A-Z]+):(\d+)(?:/(\d+))?$"
+    s = F.trim(spec)
+    area, n, b = F.regexp_extract(s, p, 1), F.regexp_extract(s, p, 2).try_cast("long"), F.regexp_extract(s, p, 3)
+    bit = b.try_cast("int")
+    ok = area.isin(*REGISTER_AREAS) & n.isNotNull() & ((b == "") | (bit.between(0, 15) & area.isin(*REGISTER_AREAS[:2])))
+    return F.when(ok, F.struct(area.alias("area"), n.alias("address"), bit.alias("bit")))

@@ -6,8 +6,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Prefixes of tags that are internal to the controller.
-INTERNAL_PREFIXES = ("VALUE_STATUS", "SYSTEM_", "CLOCK_", "ALWAYS", "FIRSTSCAN", "DIAG", "TAG_", "HMI_")
-CATEGORY = r"^(S?[DA][IO])_"
+INTERNAL_PREFIXES = ("VALUE_STATUS", "STATUS_", "INTERNAL_", "CALC_", "TEMP_", "FLAG_", "TIMER_", "COUNTER_")
+#: The first segment of a mnemonic.
+CATEGORIES = ("DI", "DO", "AI", "AO", "SDI", "SDO", "SAI", "SAO")
+MAX_LENGTH = 64
 
 
 def is_internal(mnemonic: Column, prefixes=INTERNAL_PREFIXES) -> Column:
@@ -23,18 +25,27 @@ def is_spare(mnemonic: Column) -> Column:
 
 
 def parts(mnemonic: Column) -> Column:
-    """struct(category, location, signal): first, second (upper case) and the rest."""
+    """struct(category, location, signal): the first segment if it is a category, the next (upper case), the rest."""
     s = F.split(mnemonic, "_")
+    known = F.upper(F.get(s, 0)).isin(*CATEGORIES)
+    at = F.when(known, 1).otherwise(0)
+    rest = F.array_join(F.slice(s, at + 2, F.greatest(F.size(s) - at - 1, F.lit(0))), "_")
     return F.struct(
-        F.get(s, 0).alias("category"),
-        F.upper(F.get(s, 1)).alias("location"),
-        F.array_join(F.slice(s, 3, F.greatest(F.size(s) - 2, F.lit(0))), "_").alias("signal"),
+        F.when(known, F.upper(F.get(s, 0))).alias("category"),
+        F.when(F.length(mnemonic) > 0, F.upper(F.get(s, at))).alias("location"),
+        F.nullif(rest, F.lit("")).alias("signal"),
     )
 
 
 def normalize_mnemonic(text: Column) -> Column:
-    """Upper case, other characters to ``_``, runs of it collapsed, none at the ends."""
-    return F.regexp_replace(F.regexp_replace(F.upper(F.trim(text)), r"[^A-Z0-9]+", "_"), r"^_+|_+$", "")
+    """Upper case, outer blanks dropped, inner ones to ``_``."""
+    return F.replace(F.trim(F.upper(text)), F.lit(" "), F.lit("_"))
+
+
+def suggest_mnemonic(category: Column, location: Column, signal: Column, max_length: int = MAX_LENGTH) -> Column:
+    """``category_location_signal`` in upper case; other characters of the signal dropped, the whole cut to length."""
+    clean = F.regexp_replace(normalize_mnemonic(signal), r"[^A-Z0-9_]", "")
+    return F.substring(F.concat_ws("_", F.trim(F.upper(category)), normalize_mnemonic(location), clean), 1, max_length)
 
 
 def signal_name(mnemonic: Column) -> Column:
@@ -43,20 +54,23 @@ def signal_name(mnemonic: Column) -> Column:
     return F.array_join(F.slice(s, 3, F.greatest(F.size(s) - 2, F.lit(0))), " ")
 
 
-def check_mnemonic(mnemonic: Column, locations=(), max_length: int = 24) -> Column:
-    """Codes of the naming rules that a mnemonic breaks."""
-    m = F.upper(mnemonic)
-    rules = [
-        F.when(F.length(mnemonic) == 0, "EMPTY"),
-        F.when(~m.rlike(r"^[A-Z0-9_]*$"), "CHARACTERS"),
-        F.when(F.regexp_extract(m, CATEGORY, 1) == "", "CATEGORY"),
-        F.when(F.size(F.split(m, "_")) < 3, "SEGMENTS"),
+def check_mnemonic(mnemonic: Column, max_length: int = MAX_LENGTH) -> Column:
+    """struct(is_valid, errors, warnings): codes of the naming rules that a mnemonic breaks."""
+    p = parts(mnemonic)
+    empty = F.coalesce(F.length(mnemonic), F.lit(0)) == 0
+    errors = F.array(
+        F.when(empty, "EMPTY"),
         F.when(F.length(mnemonic) > max_length, "LENGTH"),
-        F.when(m.contains("__"), "DOUBLE_UNDERSCORE"),
-    ]
-    if locations:
-        rules.append(F.when(~F.get(F.split(m, "_"), 1).isin([x.upper() for x in locations]), "LOCATION"))
-    return F.filter(F.array(*rules), lambda x: x.isNotNull())
+        F.when(~empty & ~F.upper(mnemonic).rlike(r"^[A-Z0-9_]+$"), "CHARACTERS"),
+        F.when(~empty & p["category"].isNull(), "CATEGORY"),
+    )
+    warnings = F.array(
+        F.when(~empty & p["signal"].isNull(), "SIGNAL"),
+        F.when(mnemonic.contains("__"), "DOUBLE_UNDERSCORE"),
+        F.when(mnemonic.startswith("_") | mnemonic.endswith("_"), "EDGE_UNDERSCORE"),
+    )
+    errors, warnings = (F.filter(x, lambda c: c.isNotNull()) for x in (errors, warnings))
+    return F.struct((F.size(errors) == 0).alias("is_valid"), errors.alias("errors"), warnings.alias("warnings"))
 
 
 def file_name(text: Column) -> Column:
@@ -149,7 +163,8 @@ def element_count(bounds: Column) -> Column:
 
 
 def human_bytes(n: Column) -> Column:
-    out = F.concat(F.format_string("%.1f", n / 1e9), F.lit(" GB"))
-    for scale, unit in ((1e6, "MB"), (1e3, "KB")):
-        out = F.when(n < scale * 1e3, F.concat(F.format_string("%.1f", n / scale), F.lit(f" {unit}"))).otherwise(out)
-    return F.when(n < 1000, F.concat(n.cast("long").cast("string"), F.lit(" B"))).otherwise(out)
+    """In units of 1024."""
+    out = F.concat(F.format_string("%.1f", n / float(1 << 30)), F.lit(" GB"))
+    for scale, unit in ((1 << 20, "MB"), (1 << 10, "KB")):
+        out = F.when(n < (scale << 10), F.concat(F.format_string("%.1f", n / float(scale)), F.lit(f" {unit}"))).otherwise(out)
+    return F.when(n < 1024, F.concat(n.cast("long").cast("string"), F.lit(" B"))).otherwise(out)

@@ -64,8 +64,8 @@ BALANCE = {
     "S002": (r"(?i)(?<![_\w])IF\b", r"(?i)\bEND_IF\b"),
     "S003": (r"(?i)(?<![_\w])CASE\b", r"(?i)\bEND_CASE\b"),
 }
-#: Functions that newer controllers don't have.
-DEPRECATED = ("BLKMOV", "FILL", "UBLKMOV", "SFC20", "SFC21")
+#: Functions that have a newer form.
+DEPRECATED = ("ADD_TIME", "SUB_TIME", "CONCAT")
 
 
 def rule_violations(blocks: DataFrame) -> DataFrame:

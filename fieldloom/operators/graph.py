@@ -31,7 +31,7 @@ def reachable(edges: DataFrame, start: DataFrame, max_depth: int | None = None,
     """``(n, depth)`` of nodes reached from ``start`` (n), which itself is left out.
 
     A frontier a round; visited nodes are written to the shared folder, which
-    cuts lineage.
+    cuts lineage.  Nodes deeper than ``rounds`` without a ``max_depth`` raise.
     """
     scratch = Scratch(edges.sparkSession)
     e = scratch.keep(edges.select("src", "dst").distinct(), "bfs-edges")
@@ -42,7 +42,10 @@ def reachable(edges: DataFrame, start: DataFrame, max_depth: int | None = None,
         frontier = scratch.keep(step.join(seen, "n", "left_anti").withColumn("depth", F.lit(depth)), f"bfs-{depth}")
         if frontier.isEmpty():
             break
-        seen = seen.union(frontier)
+        seen = scratch.keep(seen.union(frontier), "bfs-seen")
+    else:
+        if max_depth is None:
+            raise RuntimeError(f"nodes lie deeper than {rounds} rounds")
     return seen.where("depth > 0")
 
 
@@ -66,7 +69,10 @@ def roots(edges: DataFrame) -> DataFrame:
 
 
 def layers(nodes: DataFrame, edges: DataFrame, rounds: int = 500) -> DataFrame:
-    """``(n, layer)``: nodes (n) peeled when everything they need (src needs dst) is; null in a cycle."""
+    """``(n, layer)``: nodes (n) peeled when everything they need (src needs dst) is; null in a cycle.
+
+    More than ``rounds`` layers raise.
+    """
     scratch = Scratch(nodes.sparkSession)
     left = scratch.keep(nodes.select("n").distinct(), "peel-nodes")
     needs = scratch.keep(edges.select("src", "dst").distinct(), "peel-edges")
@@ -77,8 +83,10 @@ def layers(nodes: DataFrame, edges: DataFrame, rounds: int = 500) -> DataFrame:
         if free.isEmpty():
             break
         now = free.withColumn("layer", F.lit(layer))
-        done = now if done is None else done.union(now)
+        done = scratch.keep(now if done is None else done.union(now), "peel-done")
         left = scratch.keep(left.join(free, "n", "left_anti"), "peel-left")
+    else:
+        raise RuntimeError(f"more than {rounds} layers")
     rest = left.withColumn("layer", F.lit(None).cast("int"))
     return rest if done is None else done.union(rest)
 

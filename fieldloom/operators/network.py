@@ -8,7 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Well-known ports of controller networks.
-PORTS = {102: "S7comm", 502: "Modbus", 4840: "OPC-UA", 80: "HTTP", 443: "HTTPS", 22: "SSH", 53: "DNS", 123: "NTP", 161: "SNMP", 5432: "PostgreSQL", 6379: "Redis", 44818: "EtherNet/IP", 34964: "PROFINET"}
+PORTS = {
+    4840: "OPC-UA", 102: "S7comm", 8000: "API/WS", 5173: "Vite-HMR", 6379: "Redis", 5432: "PostgreSQL", 22: "SSH", 53: "DNS",
+    123: "NTP", 514: "Syslog", 6514: "Syslog-PLC", 443: "HTTPS", 80: "HTTP", 88: "Kerberos", 389: "LDAP", 636: "LDAPS", 445: "SMB",
+}
 
 
 def protocol(l4: Column, sport: Column, dport: Column) -> Column:

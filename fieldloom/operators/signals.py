@@ -141,13 +141,34 @@ def flash_verdict(samples: DataFrame, key: str, order: tuple[str, ...], value: C
     return g.select(key, "true_ratio", "transitions", verdict.alias("verdict"))
 
 
-def stable(samples: DataFrame, key: str, ts: str, holds: Column) -> DataFrame:
-    """``(key, stable, first_dev)``."""
+def within(samples: DataFrame, key: str, ts: str, seconds: float | None) -> DataFrame:
+    """The samples of each signal from its first one on, for so many seconds (all if None)."""
+    if seconds is None:
+        return samples
+    begin = samples.groupBy(key).agg(F.min(ts).alias("_begin"))
+    until = _us(F.col("_begin")) + F.lit(int(seconds * 1_000_000))
+    return samples.join(begin, key).where(_us(F.col(ts)) <= until).drop("_begin")
+
+
+def stable(samples: DataFrame, key: str, ts: str, holds: Column, seconds: float | None = None) -> DataFrame:
+    """``(key, stable, first_dev)`` over the first ``seconds`` of a signal, or all of it."""
+    samples = within(samples, key, ts, seconds)
     return samples.groupBy(key).agg(F.bool_and(holds).alias("stable"), F.min(F.when(~holds, F.col(ts))).alias("first_dev"))
 
 
-def wait_until(samples: DataFrame, key: str, ts: str, match: Column) -> DataFrame:
-    """``(key, met_at)`` of signals that match."""
+def wait_outcome(samples: DataFrame, key: str, ts: str, value: str, match: Column, seconds: float) -> DataFrame:
+    """``(key, met, at, value)``: a signal's first match before its time is up, else its last sample by then."""
+    seen = within(samples, key, ts, seconds)
+    first = F.min_by(F.struct(F.col(ts).alias("at"), F.col(value).alias("value")), F.when(match, F.col(ts)))
+    last = F.max_by(F.struct(F.col(ts).alias("at"), F.col(value).alias("value")), ts)
+    found = seen.groupBy(key).agg(F.bool_or(match).alias("met"), first.alias("_f"), last.alias("_l"))
+    picked = F.when(F.col("met"), F.col("_f")).otherwise(F.col("_l"))
+    return found.select(key, "met", picked["at"].alias("at"), picked["value"].alias("value"))
+
+
+def wait_until(samples: DataFrame, key: str, ts: str, match: Column, seconds: float | None = None) -> DataFrame:
+    """``(key, met_at)`` of signals that match, within ``seconds`` of their first sample if given."""
+    samples = within(samples, key, ts, seconds)
     return samples.where(match).groupBy(key).agg(F.min(ts).alias("met_at"))
 
 
