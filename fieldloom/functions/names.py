@@ -73,6 +73,11 @@ def check_mnemonic(mnemonic: Column, max_length: int = MAX_LENGTH) -> Column:
     return F.struct((F.size(errors) == 0).alias("is_valid"), errors.alias("errors"), warnings.alias("warnings"))
 
 
+def first_number(text: Column) -> Column:
+    """The first run of digits as a number, null without one."""
+    return F.regexp_extract(text, "[0-9]+", 0).try_cast("long")
+
+
 def file_name(text: Column) -> Column:
     return F.regexp_replace(text, r"[^A-Za-z0-9_-]", "_")
 

@@ -149,3 +149,8 @@ def dtl(ts: Column) -> Column:
         F.second(ts).alias("SECOND"),
         F.pmod(F.unix_micros(ts), F.lit(1_000_000)).__mul__(1000).alias("NANOSECOND"),
     )
+
+
+def nested(json: Column, path: str) -> Column:
+    """The value at a dotted path (``a.b[0].c``) of a JSON text, as text; null where a step is missing."""
+    return F.get_json_object(json, f"$.{path}" if path else "$")

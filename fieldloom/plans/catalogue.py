@@ -239,7 +239,9 @@ def path_prefix_propagation(spark, sf):
 
 @query("SELECT regexp_replace(url, '[0-9]+', '*', 'g') AS norm, count(*) AS n FROM pages GROUP BY 1")
 def path_index_wildcard(spark, sf):
-    return table(spark, sf, "pages").groupBy(F.regexp_replace("url", "[0-9]+", "*").alias("norm")).agg(F.count("*").alias("n"))
+    # numbers of a URL as indices of a path, whose key has a star for each
+    key = F.replace(names.wildcard_path(F.regexp_replace("url", "([0-9]+)", "[$1]")), F.lit("[*]"), F.lit("*"))
+    return table(spark, sf, "pages").groupBy(key.alias("norm")).agg(F.count("*").alias("n"))
 
 
 @query(
@@ -437,7 +439,7 @@ def expression_builtins(spark, sf):
 @query("SELECT event_type, CAST(sum(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS BIGINT) AS k FROM events GROUP BY 1")
 def nested_json(spark, sf):
     e = table(spark, sf, "events")
-    return e.groupBy("event_type").agg(F.sum(F.get_json_object("props", "$.k").cast("long")).alias("k"))
+    return e.groupBy("event_type").agg(F.sum(values.nested(F.col("props"), "k").cast("long")).alias("k"))
 
 
 @query(
@@ -507,7 +509,13 @@ def keyword_complexity(spark, sf):
 
 @query("SELECT c_custkey, CAST(regexp_extract(c_name, '[0-9]+') AS BIGINT) AS number, lower(replace(c_mktsegment, ' ', '_')) AS slug FROM customer")
 def name_functions(spark, sf):
-    number = F.regexp_extract("c_name", "[0-9]+", 0).cast("long")
+    number = names.first_number(F.col("c_name"))
     return table(spark, sf, "customer").select(
         "c_custkey", number.alias("number"), F.lower(names.normalize_mnemonic(F.col("c_mktsegment"))).alias("slug")
     )
+
+
+from fieldloom.plans import catalogue_facts  # noqa: E402  (its queries register here)
+
+QUERIES |= catalogue_facts.QUERIES
+ORACLE_SQL |= catalogue_facts.ORACLE_SQL
