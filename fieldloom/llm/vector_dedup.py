@@ -9,9 +9,10 @@ separates the cells; the border of cells i and j is met by a probe of x if
 default of 1 that finds every pair; less is faster and may lose some.
 
 Neighbouring cells form bins of about ``BLOCK`` rows, so that a row travels
-once to a bin however many of its cells show it.  A larger bin is cut into
-blocks of ``BLOCK`` rows, and products are taken for pairs of blocks: a task
-holds two blocks and a strip of products, whatever a bin's size.  Pairs of a
+once to a bin however many of its cells show it.  A bin with more rows and
+visitors than a block holds is cut into blocks, and products are taken for
+pairs of blocks: a task holds two blocks and a strip of products, whatever a
+bin's size.  Pairs of a
 common bin are counted where the probe rule shows them first, so no pair counts
 twice, and only counts and a spanning set of links leave a task.
 
@@ -41,6 +42,8 @@ COSINE = 0.95
 #: Points for which there is one more cell.
 CELL_ROWS = 4096
 BLOCK = 16_384
+#: How many bins' rows, and how many bytes of components, a block of a bin and its visitors holds.
+VISITORS, BLOCK_BYTES = 4, 96 << 20
 #: Rows of a block whose products are held at a time.
 STRIP = 512
 #: Points of the training sample that are expected for each cell, and of the sample at most.
@@ -184,7 +187,7 @@ def _groups(ia: np.ndarray, ib: np.ndarray) -> tuple[list[int], list[np.ndarray]
     return ia[np.concatenate(([0], cuts))].tolist(), np.split(ib, cuts)
 
 
-def _links(scratch: Scratch, points: DataFrame, n: int, kind: str, cosine: float, slack: float, cell_rows: int) -> DataFrame:
+def _links(scratch: Scratch, points: DataFrame, d: int, n: int, kind: str, cosine: float, slack: float, cell_rows: int) -> DataFrame:
     """``(p, n, q)`` of ``n`` distinct vectors of one length: weights linked to p (q is p), or a link of p and q (n is 0)."""
     spark = points.sparkSession
     k = min(max(1, -(-n // cell_rows)), max(1, SAMPLE_ROWS // SAMPLE_PER_CELL))
@@ -211,8 +214,9 @@ def _links(scratch: Scratch, points: DataFrame, n: int, kind: str, cosine: float
 
     shown = scratch.keep(points.mapInPandas(show, f"p binary, w long, v array<{kind}>, home int, shown array<int>"), "vec-shown")
     seats = shown.select("p", "w", "v", "home", "shown", F.explode("shown").alias("cell"))
-    # blocks of a bin by hash, about BLOCK rows each
-    sizes = seats.groupBy("cell").agg(F.count("*").alias("n")).select("cell", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    # blocks of a bin by hash; visitors outnumber those at home, so a block may hold several times a bin's rows
+    block = max(1, min(VISITORS * BLOCK, BLOCK_BYTES // (8 * d)))
+    sizes = seats.groupBy("cell").agg(F.count("*").alias("n")).select("cell", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
     cells = {r["cell"]: r["blocks"] for r in sizes.collect()}  # one number a bin
     blocks_of = F.get(F.lit([cells.get(c, 0) for c in range(len(model))]), F.col("cell"))
     seats = seats.withColumn("blocks", blocks_of).withColumn("block", F.pmod(F.xxhash64("p", F.lit(2)), F.col("blocks")).cast("int"))
@@ -264,7 +268,7 @@ def near_vectors(
     found = None
     for d, n in sizes:
         of_length = points if len(sizes) == 1 else points.where(F.size("v") == d)
-        part = _links(scratch, of_length.select("p", "w", "v"), n, kind, cosine, slack, cell_rows)
+        part = _links(scratch, of_length.select("p", "w", "v"), d, n, kind, cosine, slack, cell_rows)
         found = part if found is None else found.union(part)
     comps = connected_components(found.where("p <> q"), "p", "q")
     linked = found.where("n > 0").groupBy("p").agg(F.sum("n").alias("n"))
