@@ -49,6 +49,10 @@ FILLINGS, NODES, BRANCHES, STEPS = 50, 1000, 3, 2000
 TOGETHER, CALL = 1 << 20, 1000
 
 
+#: What the vocabulary writes at the end of a word.
+WORD_END = "</w>"
+
+
 class Ids(dict):
     """White-space separated chunk -> its ids as little-endian unsigned 32-bit bytes.
 
@@ -59,45 +63,68 @@ class Ids(dict):
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.encode = Tokenizer.from_file(path).encode
+        tokenizer = Tokenizer.from_file(path)
+        self.encode = tokenizer.encode
+        #: whether a token ends a word, by id
+        self.ends = np.zeros(tokenizer.get_vocab_size(), bool)
+        self.ends[[i for t, i in tokenizer.get_vocab().items() if t.endswith(WORD_END)]] = True
 
     def direct(self, text: str) -> bytes:
         return np.array(self.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     @staticmethod
-    def parts(chunk: str) -> tuple[str, ...]:
-        """Lower-case parts with the ids of ``chunk`` between them; none if normalising may do more.
-
-        The vocabulary is in lower case, and letters never share a token with
-        what follows them.
-        """
-        low = chunk.lower()
-        if not chunk.isascii() and (
+    def simple(chunk: str, low: str) -> bool:
+        """Whether normalising a chunk is no more than lower case."""
+        return chunk.isascii() or not (
             "Σ" in chunk or len(low) != len(chunk) or unicodedata.combining(chunk[0]) or not unicodedata.is_normalized("NFC", chunk)
-        ):
-            return ()
-        if low[-1] in ".,;:!?" and low[:-1].isalpha():
-            return low[:-1], low[-1]
-        return (low,)
+        )
 
     def learn(self, chunks: list[str]) -> None:
-        """Encode parts of chunks many at a time; a token belongs to the part that its offset is in."""
-        split = {c: self.parts(c) for c in chunks}
-        plain = list({x for parts in split.values() for x in parts if x not in self})
+        """Encode lower-case parts of chunks many at a time.
+
+        The vocabulary is in lower case, and letters never share a token with
+        what follows them: a run of letters is one word, with a mark after it
+        two.  Of words, the last token tells where each ends; of other chunks,
+        the places of their tokens do.
+        """
+        words, others, made = set(), set(), []
+        for c in chunks:
+            low = c.lower()
+            if not self.simple(c, low):
+                self[c] = self.direct(c)
+            elif low.isalpha():
+                words.add(low)
+                made.append((c, low, ""))
+            elif low[-1] in ".,;:!?" and low[:-1].isalpha():
+                words.add(low[:-1])
+                made.append((c, low[:-1], low[-1]))
+            else:
+                others.add(low)
+                made.append((c, low, ""))
+        others.update(".,;:!?")
+        plain = [w for w in words if w not in self]
+        for at in range(0, len(plain), CALL):
+            part = plain[at : at + CALL]
+            ids = np.array(self.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
+            cuts = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            if len(cuts) != len(part):
+                others.update(part)
+                continue
+            data = ids.tobytes()
+            self.update(zip(part, [data[i:j] for i, j in zip([0, *cuts], cuts)]))
+        plain = [x for x in others if x not in self]
         for at in range(0, len(plain), CALL):
             part = plain[at : at + CALL]
             found = self.encode(" ".join(part), add_special_tokens=False)
             data = np.array(found.ids, "<u4").tobytes()
             starts = np.fromiter((o[0] for o in found.offsets), np.int64, len(found.ids))
-            ends = np.cumsum([len(c) + 1 for c in part])
-            cuts = [0, *(4 * np.searchsorted(starts, ends)).tolist()]
-            for c, i, j in zip(part, cuts, cuts[1:]):
-                self[c] = data[i:j]
-        for c, parts in split.items():
-            if not parts:
-                self[c] = self.direct(c)
-            elif parts != (c,):
-                self[c] = b"".join([self[x] for x in parts])
+            cuts = (4 * np.searchsorted(starts, np.cumsum([len(c) + 1 for c in part]))).tolist()
+            self.update(zip(part, [data[i:j] for i, j in zip([0, *cuts], cuts)]))
+        for c, word, mark in made:
+            if mark:
+                self[c] = self[word] + self[mark]
+            elif c != word:
+                self[c] = self[word]
 
     def of_all(self, texts: list[str | None]) -> Iterator[bytes]:
         """Ids of each text, looking up the words of some texts together."""
