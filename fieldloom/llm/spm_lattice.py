@@ -37,6 +37,8 @@ CUT = f"(?<=[^{SPACE}])(?={SPACE})|(?<=\\n)|(?=\\n)"
 #: The fold's work grows with the square of a word's length; longer words of a BPE
 #: model are merged on a heap, which is exact too, so that a megabyte without a space ends.
 FOLDED_CHARS = 64
+#: Words whose lattice one task builds.
+TASK_WORDS = 50_000
 #: Code points of the texts that meet the ids of their words in one task.
 CHUNK_CHARS = 16_000_000
 #: Words whose ids a worker remembers; only speed depends on it.
@@ -95,6 +97,8 @@ def lattice(words: DataFrame, model: Model) -> DataFrame:
     )
     spans = ends.select("word", "start", "end", F.expr("substring(word, start + 1, end - start)").alias("piece"))
     edges = spans.join(F.broadcast(piece_table(words.sparkSession, model)), "piece", "left")
+    # of spans that are no piece only a word's first is kept, so that a word without pieces stays
+    edges = edges.where((F.col("id").isNotNull()) | ((F.col("start") == 0) & (F.col("end") == 1)))
     edge = F.when(F.col("id").isNotNull(), F.struct("start", "end", "score", "id"))
     return edges.groupBy("word").agg(F.collect_list(edge).alias("edges"))
 
@@ -337,7 +341,11 @@ def encode(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     chunk = F.pmod(F.xxhash64("doc_id", "text"), F.lit(chars // CHUNK_CHARS + 1)).alias("chunk")
     rows = rows.select("doc_id", "text", chunk)
     used = scratch.keep(rows.mapInPandas(_distinct_words, "chunk long, word string").distinct(), "spm-used")
-    coded = scratch.keep(encode_words(used.select("word").distinct(), model), "spm-words")
+    distinct = scratch.keep(used.select("word").distinct(), "spm-distinct")
+    # so many tasks that a task groups the edges of its words in memory
+    spread = distinct.repartition(distinct.count() // TASK_WORDS + 1, "word")
+    coded = scratch.keep(encode_words(spread, model), "spm-words")
+    scratch.drop(distinct)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(texts: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
