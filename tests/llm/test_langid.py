@@ -44,3 +44,28 @@ def test_held_out_is_the_crc(spark):
     df = spark.range(200).withColumnRenamed("id", "doc_id")
     for r in df.select("doc_id", langid.held_out(df["doc_id"]).alias("h")).collect():
         assert r.h == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
+
+
+def test_language_sets_equal_brute_force():
+    """The set kept is the best of all sets by penalised likelihood, on mixtures of four languages."""
+    import itertools
+    import math
+    import random
+
+    rnd = random.Random(12)
+    syllables = {k: [a + b for a in cs for b in "aeiou"] for k, cs in {"aa": "bdgk", "bb": "kmnp", "cc": "prst", "dd": "tvzb"}.items()}
+    say = lambda lang, n: " ".join("".join(rnd.choice(syllables[lang]) for _ in range(3)) for _ in range(n))
+    names = sorted(syllables)
+    table = np.full((langid.BUCKETS, 4), langid.SMOOTHING)
+    for i, lang in enumerate(names):
+        table[:, i] += np.bincount(langid.trigrams(say(lang, 4000)), minlength=langid.BUCKETS)
+    model = langid.Model(names, table / table.sum(axis=0))
+    for size in (1, 1, 2, 2, 3, 4) * 6:
+        mix = rnd.sample(names, size)
+        text = " ".join(say(lang, rnd.choice((20, 60, 200))) for lang in mix)
+        grams = langid.trigrams(text)
+        ids, n = langid.counted(grams)
+        charge = langid.PENALTY * math.log(len(grams) + 1)
+        sets = [c for k in range(1, 5) for c in itertools.combinations(range(4), k)]
+        best = max(sets, key=lambda c: langid.fit_mixture(model.table[ids][:, list(c)], n)[1] - charge * len(c))
+        assert set(langid.infer(model, text)) == {names[i] for i in best}
