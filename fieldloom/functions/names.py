@@ -168,8 +168,9 @@ def element_count(bounds: Column) -> Column:
 
 
 def human_bytes(n: Column) -> Column:
-    """In units of 1024."""
-    out = F.concat(F.format_string("%.1f", n / float(1 << 30)), F.lit(" GB"))
+    """In units of 1024; halves to even, as the format of the reference rounds them."""
+    scaled = lambda scale: F.format_string("%.1f", F.bround(n / float(scale), 1))
+    out = F.concat(scaled(1 << 30), F.lit(" GB"))
     for scale, unit in ((1 << 20, "MB"), (1 << 10, "KB")):
-        out = F.when(n < (scale << 10), F.concat(F.format_string("%.1f", n / float(scale)), F.lit(f" {unit}"))).otherwise(out)
+        out = F.when(n < (scale << 10), F.concat(scaled(scale), F.lit(f" {unit}"))).otherwise(out)
     return F.when(n < 1024, F.concat(n.cast("long").cast("string"), F.lit(" B"))).otherwise(out)
