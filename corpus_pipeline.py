@@ -1,7 +1,16 @@
 """Corpus pipeline: documents to packed sequences.
 
 Each stage takes (spark, docs, sf_dir); all but the last return the columns of
-``documents``.  Between stages the rows are written as Parquet and read again.
+``documents``, extra ones included.  Between stages the rows are written as
+Parquet and read again.
+
+Defined results: a null or empty text has too few words and goes in the first
+stage; given to a later one, language identification drops it, near
+duplicates keep each null text and one empty text, personal data leaves it as
+it is, and packing makes it the end id alone.  Texts are handled whole at any
+length.  Repeated rows of an id and text stay once from the near-duplicate
+stage on.  A null id is kept with its text unless a copy has an id.  An empty
+table gives an empty result.
 """
 
 from __future__ import annotations
