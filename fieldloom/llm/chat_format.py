@@ -14,7 +14,9 @@ results: a null turn comes first; a null role is the participant ``unknown``, a
 null text is empty; equal (conversation, turn, role, text) rows are one turn
 that was logged ``copies`` times and is rendered once; a null conversation id is
 a conversation of its own; an empty table gives an empty result; extra columns
-are ignored.
+are ignored.  Speakers whose names differ only in white space or ``<>|`` render
+under one name but stay apart as perspectives; marks inside a text are not
+escaped.  Turns of one number share a chunk, however many they are.
 """
 
 from __future__ import annotations

@@ -138,3 +138,12 @@ def test_working_columns_may_be_taken(spark):
 
     assert order_minhash.keep_one(df).collect()[0]["__node"] == 3
     assert langid.keep_identified(df.withColumn("lang", F.lit("en"))).columns == [*df.columns, "lang"]
+
+
+def test_many_rows_of_one_turn_and_names_alike(spark):
+    rows = [(1, None, "c d", f"t{i:04d}") for i in range(1500)] + [(1, None, "c_d", "z")]
+    got = chat_format.rotate(spark.createDataFrame(rows, CHAT)).orderBy("perspective", "start").collect()
+    for perspective in ("c d", "c_d"):
+        mine = [r for r in got if r.perspective == perspective]
+        assert len(mine) == 1501 and [r.start for r in mine] == [sum(len(x.segment) for x in mine[:i]) for i in range(1501)]
+        assert {r.speaker for r in mine if r.mask_length} == {perspective}
