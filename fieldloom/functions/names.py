@@ -174,3 +174,37 @@ def human_bytes(n: Column) -> Column:
     for scale, unit in ((1 << 20, "MB"), (1 << 10, "KB")):
         out = F.when(n < (scale << 10), F.concat(scaled(scale), F.lit(f" {unit}"))).otherwise(out)
     return F.when(n < 1024, F.concat(n.cast("long").cast("string"), F.lit(" B"))).otherwise(out)
+
+
+def without_project(comment: Column) -> Column:
+    """A text without its leading project number: ``021-HS-6052A`` to ``HS-6052A``."""
+    return F.regexp_replace(comment, r"^\d+-", "")
+
+
+def instrument(identifier: Column) -> Column:
+    """struct(tag_type, code): ``HS-6020A`` to ``HS`` and ``6020A``; ``?`` and the text where it has another form."""
+    form = r"^([A-Za-z]+)[-_]?(\d\w*)$"
+    fits = identifier.rlike(form)
+    return F.struct(
+        F.when(fits, F.regexp_extract(identifier, form, 1)).otherwise("?").alias("tag_type"),
+        F.when(fits, F.regexp_extract(identifier, form, 2)).otherwise(identifier).alias("code"),
+    )
+
+
+def state_name(raw: Column) -> Column:
+    """A state without its mark and quotes."""
+    return F.trim(F.regexp_replace(F.regexp_replace(F.trim(raw), r"^#+\s*", ""), r'^"+|"+$', ""))
+
+
+def short_condition(condition: Column) -> Column:
+    """A condition for a diagram: last part of block paths, no marks or quotes, ``!=``, blanks around operators."""
+    c = F.regexp_replace(condition, r"#(\w+)", "$1")
+    c = F.regexp_replace(c, r'"[^"]+"(?:\.\w+)?\.(\w+)', "$1")
+    c = F.regexp_replace(c, r'"(\w+)"', "$1")
+    c = F.replace(c, F.lit("<>"), F.lit("!="))
+    c = F.regexp_replace(c, r"(\w)(!?=)(\w)", "$1 $2 $3")
+    c = F.regexp_replace(F.trim(c), r"^\(\s*([^()]+)\s*\)$", "$1")
+    # an operator with a name or bracket on at least one side and something on both
+    c = F.regexp_replace(c, r"(?<=[\w)\s])(OR|AND)(?=[\w(])", " $1 ")
+    c = F.regexp_replace(c, r"(?<=[\w)])(OR|AND)(?=\s)", " $1")
+    return F.trim(F.regexp_replace(c, r"\s+", " "))

@@ -123,10 +123,36 @@ def indexed_values(entries: DataFrame, db_name: str, field: str) -> DataFrame:
     return found.groupBy(F.col("index").cast("int").alias("index")).agg(F.max_by("value", "ord").alias("value"))
 
 
-def by_instance(entries: DataFrame, path: str) -> DataFrame:
-    """Entries in the order of their array instance, those without one first, then by path."""
-    index = F.regexp_extract(path, r"\[(\d+)\]", 1).try_cast("int")
-    return entries.orderBy(F.coalesce(index, F.lit(-1)), path)
+def instance_indices(path: Column) -> Column:
+    """The indices of a path that a member follows, as whole numbers: ``a[1].b[2].c[3]`` to ``[1, 2]``."""
+    return F.transform(F.regexp_extract_all(path, F.lit(r"\[(\d+)\](?=\.)"), F.lit(1)), lambda x: x.cast("int"))
+
+
+def by_instance(entries: DataFrame, path: str, order: str | None = None) -> DataFrame:
+    """Entries an array instance at a time, those without one first, within it in their order (by path if none is named)."""
+    return entries.orderBy(instance_indices(F.col(path)), order or path)
+
+
+def unit_labels(units: DataFrame, configured: DataFrame, named: DataFrame) -> DataFrame:
+    """``(index, label)``: the configured label, else the name without its quotes, else ``Unit n``."""
+    c, n = configured.select("index", F.col("label").alias("_c")), named.select("index", F.regexp_replace("value", r"^['\"]+|['\"]+$", "").alias("_n"))
+    both = units.select("index").join(c, "index", "left").join(n, "index", "left")
+    return both.select("index", F.coalesce("_c", F.when(F.col("_n") != "", F.col("_n")), F.concat(F.lit("Unit "), F.col("index").cast("string"))).alias("label"))
+
+
+def test_files(blocks: DataFrame, files: DataFrame) -> DataFrame:
+    """``(block, path)``: the test file of each block that has one.
+
+    Of files (folder_ord, path) the first folder counts, in it the first
+    candidate name, of equal names the shortest, then smallest path.
+    """
+    b = F.col("block")
+    low, bare = F.lower(b), F.replace(b, F.lit("_"), F.lit(""))
+    stems = F.array(b, low, names.camel_to_snake(b), F.concat(F.lit("fb"), b), F.concat(F.lit("fb"), low), F.concat(F.lit("fc"), b), F.concat(F.lit("fc"), low), F.lower(bare))
+    wanted = blocks.select("block", F.posexplode(F.transform(stems, lambda x: F.concat(F.lit("test_"), x, F.lit(".py")))).alias("_c", "_name"))
+    there = files.select("folder_ord", "path", F.element_at(F.split("path", "/"), -1).alias("_name"))
+    rank = F.struct("folder_ord", "_c", F.length("path"), "path")
+    return wanted.join(there, "_name").groupBy("block").agg(F.min_by("path", rank).alias("path"))
 
 
 def qualified(parts: Column) -> Column:

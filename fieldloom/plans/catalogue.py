@@ -515,7 +515,7 @@ def name_functions(spark, sf):
     )
 
 
-from fieldloom.plans import catalogue_facts, catalogue_names  # noqa: E402  (their queries register here)
+from fieldloom.plans import catalogue_facts, catalogue_files, catalogue_names  # noqa: E402  (their queries register here)
 
-QUERIES |= catalogue_facts.QUERIES | catalogue_names.QUERIES
-ORACLE_SQL |= catalogue_facts.ORACLE_SQL | catalogue_names.ORACLE_SQL
+QUERIES |= catalogue_facts.QUERIES | catalogue_files.QUERIES | catalogue_names.QUERIES
+ORACLE_SQL |= catalogue_facts.ORACLE_SQL | catalogue_files.ORACLE_SQL | catalogue_names.ORACLE_SQL
