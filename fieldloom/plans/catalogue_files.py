@@ -1,4 +1,4 @@
-"""Queries of ladder scans, file checks, headers and labels, with their SQL.
+"""Queries of ladder scans, block runs, file checks, headers and labels, with their SQL.
 
 Texts are built from columns of ``part`` and ``customer``, so that the SQL knows
 what they say without reading them.
@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fieldloom.functions import names
-from fieldloom.lang import ladder
+from fieldloom.lang import execute, ladder, parser
 from fieldloom.operators import browse, formats, headers
 from fieldloom.plans.scratch import Queries, table
 
@@ -162,3 +162,75 @@ def unit_labels(spark, sf):
     customers = table(spark, sf, "customer").where("c_custkey % 3 = 0")
     named = customers.groupBy(F.col("c_nationkey").alias("index")).agg(F.concat(F.lit("'"), F.max("c_name"), F.lit("'")).alias("value"))
     return browse.unit_labels(units, configured, named)
+
+
+#: A charge by quantity and priority, in a loop the steps of a discount.
+CHARGE = """
+FUNCTION "Charge"
+VAR_INPUT
+  quantity : Int;
+  line : Int;
+END_VAR
+VAR_OUTPUT
+  charge : Int;
+END_VAR
+VAR_TEMP
+  i : Int;
+  rate : Int := 3;
+END_VAR
+BEGIN
+CASE #line OF
+  1: #rate := 10;
+  2..4: #rate := 7;
+END_CASE;
+IF #quantity > 30 THEN
+  #charge := #quantity * #rate - 30;
+ELSIF #quantity > 10 THEN
+  #charge := #quantity * #rate;
+END_IF;
+FOR #i := 1 TO #line DO
+  #charge += #i * 2;
+END_FOR;
+END_FUNCTION
+"""
+
+
+@query(
+    "WITH x AS (SELECT l_orderkey, l_linenumber, l_partkey, CAST(l_quantity AS INTEGER) AS q, l_linenumber AS n, CASE WHEN l_linenumber = 1 THEN 10 WHEN l_linenumber BETWEEN 2 AND 4 THEN 7 ELSE 3 END AS rate FROM lineitem) "
+    "SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN q > 30 THEN q * rate - 30 WHEN q > 10 THEN q * rate ELSE 0 END + n * (n + 1) AS charge FROM x"
+)
+def block_function(spark, sf):
+    lines = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.col("l_quantity").cast("int").alias("quantity"), F.col("l_linenumber").cast("int").alias("line"))
+    return execute.run_function(lines, parser.parse_block(CHARGE)).select("l_orderkey", "l_linenumber", "l_partkey", "charge")
+
+
+#: Rising values, and how many cycles ago the counter began.
+RISING = """
+FUNCTION_BLOCK "Rising"
+VAR_INPUT
+  value : LReal;
+END_VAR
+VAR_OUTPUT
+  rises : Int;
+  cycles : Int;
+END_VAR
+VAR
+  before : LReal;
+END_VAR
+BEGIN
+IF #cycles > 0 AND #value > #before THEN
+  #rises := #rises + 1;
+END_IF;
+#before := #value;
+#cycles := #cycles + 1;
+END_FUNCTION_BLOCK
+"""
+
+
+@query(
+    "WITH x AS (SELECT event_id, user_id, ts, value, value > lag(value) OVER w AS rose, row_number() OVER w AS cycles FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) "
+    "SELECT event_id, cycles, sum(CASE WHEN rose THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY cycles) AS rises FROM x"
+)
+def block_cycles(spark, sf):
+    events = table(spark, sf, "events").select("event_id", "user_id", "ts", "value")
+    return execute.run_cycles(events, parser.parse_block(RISING), "user_id", ("ts", "event_id")).select("event_id", "cycles", "rises")
