@@ -1,9 +1,10 @@
 """Ladder networks: their rungs, and what a scan of them does to a row.
 
-A program whose jumps all go forward becomes one Column: the state is a struct,
-each rung binds the next state by a one-element ``transform`` (so the expression
-grows with the rungs, not with their product), and a jump is the label that the
-rungs up to it wait for.  A program with a jump backward is run by ``scan``.
+A program whose jumps all go forward becomes Columns: a jump is the label that
+the rungs up to it wait for.  ``run_program`` makes each rung a projection;
+``compile_program`` gives one Column, each rung binding the next state by a
+one-element ``transform``, so that it grows with the rungs and not with their
+product.  A program with a jump backward is run by ``scan``.
 """
 
 from __future__ import annotations
@@ -240,7 +241,7 @@ def scan(rungs: list[Rung], values: dict[str, Any], calls: dict[str, Callable[..
                 out = _box(action.name, {k: read(o) for k, o in action.inputs}, False)
                 state |= {_name(o): out for _, o in action.outputs}
             elif power:
-                got = (calls or {})[action.name](**{k: read(o) for k, o in action.inputs})
+                got = (calls or {})[action.name.strip('"')](**{k: read(o) for k, o in action.inputs})
                 state |= {_name(o): got[k] for k, o in action.outputs if k in got}
     return state
 
@@ -254,8 +255,7 @@ def compile_program(rungs: list[Rung], values: dict[str, Column], calls: dict[st
     """A struct of all names after one scan of a program without backward jumps.
 
     ``values`` holds every name that is read or written, ``calls`` functions of
-    Columns.  A null operand makes a contact not conduct.  Types stay those of
-    ``values``: what a coil or box writes is cast.
+    Columns.  A null operand makes a contact not conduct.
     """
     if not forward_only(rungs):
         raise Unsupported("a jump backward; use run_program")
@@ -263,77 +263,80 @@ def compile_program(rungs: list[Rung], values: dict[str, Column], calls: dict[st
     if missing:
         raise Unsupported(f"no value for {', '.join(sorted(missing))}")
     names = list(values)
-    skip = "_skip"
-    state = F.struct(*[values[n].alias(n) for n in names], F.lit(None).cast("string").alias(skip))
-
-    def step(rung: Rung) -> Callable[[Column], Column]:
-        def run(s: Column) -> Column:
-            now: dict[str, Column] = {n: s[n] for n in names}
-            waits = s[skip]
-            if rung.label is not None:
-                waits = F.when(waits != rung.label, waits)
-                return F.struct(*[now[n].alias(n) for n in names], waits.alias(skip))
-
-            def read(operand: str) -> Column:
-                fixed = _constant(operand)
-                return now[_name(operand)] if fixed is None else F.lit(fixed)
-
-            def holds(c: Contact | Comparison) -> Column:
-                if isinstance(c, Comparison):
-                    return F.coalesce(_compare(c.op, read(c.left), read(c.right)), F.lit(False))
-                value = F.coalesce(read(c.operand).cast("boolean"), F.lit(False))
-                return ~value if c.negated else value
-
-            power = F.lit(True)
-            for term in rung.rail:
-                one = F.lit(False)
-                for c in term:
-                    one = one | holds(c)
-                power = power & one
-
-            def write(operand: str, value: Column, when: Column) -> None:
-                now[_name(operand)] = F.when(when, value).otherwise(now[_name(operand)])
-
-            for action in rung.actions:
-                here = waits.isNull()
-                if action.kind == "coil":
-                    write(action.name, power, here)
-                elif action.kind == "jump":
-                    waits = F.when(here & power, F.lit(action.name)).otherwise(waits)
-                else:
-                    given = {k: read(o) for k, o in action.inputs}
-                    if action.kind == "box":
-                        out = _box(action.name, given, True)
-                        got = {k: out for k, _ in action.outputs}
-                    else:
-                        got = (calls or {})[action.name](**given)
-                    for k, operand in action.outputs:
-                        if k in got:
-                            write(operand, got[k], here & power)
-            return F.struct(*[now[n].alias(n) for n in names], waits.alias(skip))
-
-        return run
-
+    bound = lambda now, waits: F.struct(*[now[n].alias(n) for n in names], waits.alias("_skip"))
+    state = bound(values, F.lit(None).cast("string"))
     for rung in rungs:
-        state = F.get(F.transform(F.array(state), step(rung)), 0)
-    return F.struct(*[state[n].alias(n) for n in names]) if not rungs else F.get(
-        F.transform(F.array(state), lambda s: F.struct(*[s[n].alias(n) for n in names])), 0
-    )
+        step = lambda s: bound(*_after(rung, {n: s[n] for n in names}, s["_skip"], calls))  # noqa: B023, E731
+        state = F.get(F.transform(F.array(state), step), 0)
+    return F.get(F.transform(F.array(state), lambda s: F.struct(*[s[n].alias(n) for n in names])), 0)
+
+
+def _after(rung: Rung, values: dict[str, Column], waits: Column, calls: dict[str, Callable[..., dict]] | None) -> tuple[dict[str, Column], Column]:
+    """The values after a rung, and the label that the rungs below wait for (null if none)."""
+    if rung.label is not None:
+        return values, F.when(waits != rung.label, waits)
+    now, here, power = dict(values), waits.isNull(), F.lit(True)
+
+    def read(operand: str) -> Column:
+        fixed = _constant(operand)
+        return now[_name(operand)] if fixed is None else F.lit(fixed)
+
+    def holds(c: Contact | Comparison) -> Column:
+        if isinstance(c, Comparison):
+            return F.coalesce(_compare(c.op, read(c.left), read(c.right)), F.lit(False))
+        value = F.coalesce(read(c.operand).cast("boolean"), F.lit(False))
+        return ~value if c.negated else value
+
+    for term in rung.rail:
+        one = F.lit(False)
+        for c in term:
+            one = one | holds(c)
+        power = power & one
+
+    def write(operand: str, value: Column, when: Column) -> None:
+        now[_name(operand)] = F.when(when, value).otherwise(now[_name(operand)])
+
+    runs = here & power
+    for action in rung.actions:
+        if action.kind == "coil":
+            write(action.name, power, here)
+        elif action.kind == "jump":
+            # what stands behind a jump in its rung waits too
+            waits = F.when(runs, F.lit(action.name)).otherwise(waits)
+            here, runs = here & ~power, F.lit(False)
+        else:
+            given = {k: read(o) for k, o in action.inputs}
+            if action.kind == "box":
+                out = _box(action.name, given, True)
+                got = {k: out for k, _ in action.outputs}
+            else:
+                got = (calls or {})[action.name.strip('"')](**given)
+            for k, operand in action.outputs:
+                if k in got:
+                    write(operand, got[k], runs)
+    return now, waits
 
 
 def run_program(df: DataFrame, rungs: list[Rung], columns: dict[str, str] | None = None) -> DataFrame:
     """Every row after one scan, its columns being the names of the program.
 
-    ``columns`` maps names to columns where they differ.  Jumps backward are
-    followed in Arrow batches, all else is one projection.
+    ``columns`` maps names to columns where they differ.  Without jumps backward
+    each rung is a projection, all of them in one generated stage; jumps
+    backward are followed in Arrow batches.
     """
     columns = columns or {}
     names = list(dict.fromkeys(n for side in operands(rungs) for n in side))
     where = {n: columns.get(n, n) for n in names}
     if forward_only(rungs):
-        done = df.select("*", compile_program(rungs, {n: F.col(c) for n, c in where.items()}).alias("_scan"))
-        back = {c: n for n, c in where.items()}
-        return done.select(*[F.col("_scan")[back[c]].alias(c) if c in back else F.col(c) for c in df.columns])
+        skip = "_skip"
+        while skip in df.columns:
+            skip = "_" + skip
+        back, types = {c: n for n, c in where.items()}, {f.name: f.dataType for f in df.schema}
+        now = df.withColumn(skip, F.lit(None).cast("string"))
+        for rung in rungs:
+            after, waits = _after(rung, {n: F.col(f"`{c}`") for n, c in where.items()}, F.col(skip), None)
+            now = now.select(*[after[back[c]].cast(types[c]).alias(c) if c in back else F.col(f"`{c}`") for c in df.columns], waits.alias(skip))
+        return now.drop(skip)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

@@ -16,18 +16,21 @@ KEYS = {
 }
 
 
-def header_fields(content: Column, resource: bool = False) -> list[Column]:
-    """``title, comment, library, author, copyright, changelog`` of a header's text.
+def with_header(rows: DataFrame, content: Column, resource: bool = False) -> DataFrame:
+    """Rows with ``title, comment, library, author, copyright, changelog`` of a header's text.
 
     Of a repeated key the last one stays.  Without the key, the copyright is
     that of a line ``company / (c)Copyright year``.  In a text file lines don't
     begin with ``//`` and values end at a dash.  A null text gives empty fields.
     """
-    lines = F.transform(F.split(F.coalesce(content, F.lit("")), "\n"), lambda x: F.trim(F.regexp_replace(x, r"[\t\r]", " ")))
+    # columns of their own, so that the lines are cut once and not for each field
+    split = F.transform(F.split(F.coalesce(content, F.lit("")), "\n"), lambda x: F.trim(F.regexp_replace(x, r"[\t\r]", " ")))
     mark = "" if resource else r"//\s*"
     separator = r"^[-+|]+$" if resource else r"^//\s*[-+]+$"
     heading = lambda x: x.contains("Change log") | x.contains("Changelog")
-    kept = F.filter(lines, lambda x: ~x.rlike(separator) & ~heading(x))
+    staged = rows.withColumn("_header_lines", split)
+    staged = staged.withColumn("_header_kept", F.filter("_header_lines", lambda x: ~x.rlike(separator) & ~heading(x)))
+    lines, kept = F.col("_header_lines"), F.col("_header_kept")
     key = rf"^{mark}([\w/]+):\s*" + ("([^-]+)" if resource else "(.*)")
     out = []
     for field, names in KEYS.items():
@@ -57,7 +60,8 @@ def header_fields(content: Column, resource: bool = False) -> list[Column]:
         )
 
     start = F.struct(F.lit(False).alias("on"), F.array().cast(CHANGES).alias("rows"))
-    return [*out, F.aggregate(lines, start, step, lambda acc: acc["rows"]).alias("changelog")]
+    log = F.when(F.exists(lines, heading), F.aggregate(lines, start, step, lambda acc: acc["rows"])).otherwise(F.array().cast(CHANGES))
+    return staged.select("*", *out, log.alias("changelog")).drop("_header_lines", "_header_kept")
 
 
 def region(text: Column, name: str) -> Column:
@@ -81,9 +85,10 @@ def description(content: Column) -> Column:
 
 def block_headers(blocks: DataFrame) -> DataFrame:
     """Blocks (path, text) with the header fields, ``description`` and ``has_header`` of their regions."""
-    own = region(F.col("text"), "Block info header")
-    told = description(region(F.col("text"), "Description"))
-    return blocks.select("*", *header_fields(own), F.coalesce(told, F.lit("")).alias("description"), own.isNotNull().alias("has_header"))
+    own, told = F.col("_header"), F.col("_told")
+    found = blocks.select("*", region(F.col("text"), "Block info header").alias("_header"), region(F.col("text"), "Description").alias("_told"))
+    named = with_header(found, own)
+    return named.select("*", F.coalesce(description(told), F.lit("")).alias("description"), own.isNotNull().alias("has_header")).drop("_header", "_told")
 
 
 def resource_headers(texts: DataFrame) -> DataFrame:
@@ -96,4 +101,5 @@ def resource_headers(texts: DataFrame) -> DataFrame:
     after = texts.select("path", "ord", F.lower("text").alias("_mark"), F.lead("text").over(w).alias("_next")).where("_next is not null")
     pick = lambda mark: F.max_by(F.when(F.col("_mark") == mark, F.col("_next")), F.when(F.col("_mark") == mark, F.col("ord")))
     parts = after.groupBy("path").agg(pick("block info header").alias("_h"), pick("description").alias("_d"))
-    return parts.select("path", *header_fields(F.col("_h"), True), F.coalesce(F.trim("_d"), F.lit("")).alias("description"))
+    named = with_header(parts, F.col("_h"), True)
+    return named.withColumn("description", F.coalesce(F.trim("_d"), F.lit(""))).drop("_h", "_d")
