@@ -167,12 +167,17 @@ def element_count(bounds: Column) -> Column:
     return F.aggregate(bounds, F.lit(1).cast("long"), lambda acc, b: acc * (b["hi"] - b["lo"] + 1))
 
 
-def human_bytes(n: Column) -> Column:
-    """In units of 1024; halves to even, as the format of the reference rounds them."""
-    scaled = lambda scale: F.format_string("%.1f", F.bround(n / float(scale), 1))
-    out = F.concat(scaled(1 << 30), F.lit(" GB"))
-    for scale, unit in ((1 << 20, "MB"), (1 << 10, "KB")):
-        out = F.when(n < (scale << 10), F.concat(scaled(scale), F.lit(f" {unit}"))).otherwise(out)
+def human_bytes(n: Column, largest: str = "GB") -> Column:
+    """In units of 1024 up to ``largest``; halves to even, as the format of the reference rounds them.
+
+    The reference's packet display ends with GB, its session display with MB.
+    """
+    units = ["KB", "MB", "GB"]
+    out = None
+    for k in range(units.index(largest), -1, -1):
+        scale = 1 << (10 * (k + 1))
+        text = F.concat(F.format_string("%.1f", F.bround(n / float(scale), 1)), F.lit(f" {units[k]}"))
+        out = text if out is None else F.when(n < (scale << 10), text).otherwise(out)
     return F.when(n < 1024, F.concat(n.cast("long").cast("string"), F.lit(" B"))).otherwise(out)
 
 

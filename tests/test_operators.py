@@ -57,6 +57,20 @@ def test_fixed_names(spark):
         assert one(spark, names.human_bytes(F.lit(n))) == want
 
 
+def test_byte_units_past_a_gigabyte(spark, tmp_path):
+    """Keys of larger tables than the driver's sf0.1, by the query and by its SQL."""
+    import duckdb
+    from fieldloom.plans import catalogue
+
+    keys = [0, 1, 2, 149_999, 1_076_972, 1_076_973, 1_076_974, 8_999_999, 1 << 40]
+    spark.createDataFrame([(k,) for k in keys], "o_orderkey long").coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
+    got = {r.o_orderkey: r.text for r in catalogue.QUERIES["byte_units"](spark, str(tmp_path)).collect()}
+    con = duckdb.connect()
+    con.execute(f"create view orders as select * from '{tmp_path}/orders.parquet/*.parquet'")
+    assert got == dict(con.execute(catalogue.ORACLE_SQL["byte_units"]).fetchall())
+    assert got[1_076_973] == "1024.0 MB" and one(spark, names.human_bytes(F.lit(1 << 30))) == "1.0 GB"
+
+
 def test_mnemonics(spark):
     check = lambda t: tuple(one(spark, names.check_mnemonic(F.lit(t))))
     assert check("DI_LOC1_PUMP_START") == (True, [], []) and check("") == (False, ["EMPTY"], [])
