@@ -15,7 +15,8 @@ are the connected components of pairs with similarity 0.8 or more.
 A bucket of texts is never expanded into all pairs.  Exact copies are one node
 from the start.  In each round a bucket's pivots are compared with the members
 that are not of their component and then leave the bucket, as do members that
-the distances rule out; a bucket with one component left is done.  The first
+the distances rule out; a bucket with one component left is done and is not
+carried further.  The first
 pivot is the member that shares most buckets with others, which in a group of
 near copies is about the text they stem from; in the second round those
 outside meet a few members of its component, which in a group whose
@@ -55,6 +56,8 @@ MAIN_SHARES = 8
 SHARES = 64
 #: Counters for how common shingles are among the texts that the first round leaves open.
 COUNTERS = 1 << 20
+#: Links that one task joins to trees before the rounds of exchanges.
+TASK_LINKS = 200_000
 #: Words whose hashes a worker remembers; only speed depends on it.
 CACHE = 300_000
 
@@ -227,6 +230,36 @@ def _verify_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"a": batch["a"], "b": batch["b"], "dist": out})
 
 
+def _trees(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The links of a task as links of nodes to the smallest one they reach with them."""
+    root: dict[bytes, bytes] = {}
+
+    def find(x: bytes) -> bytes:
+        top = x
+        while (up := root.setdefault(top, top)) != top:
+            top = up
+        while x != top:
+            root[x], x = top, root[x]
+        return top
+
+    for batch in batches:
+        for a, b in zip(batch["a"], batch["b"]):
+            a, b = find(a), find(b)
+            if a != b:
+                root[max(a, b)] = min(a, b)
+    found = [(x, top) for x in list(root) if (top := find(x)) != x]
+    yield pd.DataFrame(found, columns=["a", "b"])
+
+
+def _components(scratch: Scratch, links: DataFrame) -> DataFrame:
+    """Components of links ``(a, b)``; tasks of a bounded number of links spare most rounds of exchanges."""
+    tasks = links.count() // TASK_LINKS + 1
+    trees = scratch.keep(links.coalesce(tasks).mapInPandas(_trees, "a binary, b binary"), "omh-trees")
+    out = connected_components(trees)
+    scratch.drop(trees)
+    return out
+
+
 def _with_component(rows: DataFrame, comps: DataFrame, node: str, name: str) -> DataFrame:
     """``rows`` with the component of ``node``, which is the node itself where no link touches it."""
     c = comps.select(F.col("node").alias(node), F.col("component").alias(name))
@@ -245,7 +278,7 @@ def _judge(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def _ruled_out(
-    scratch: Scratch, state: DataFrame, pivots: DataFrame, judged: DataFrame, comps: DataFrame | None
+    scratch: Scratch, state: DataFrame, pivots: DataFrame, judged: DataFrame, comps: DataFrame | None, rest: bool = False
 ) -> DataFrame:
     """Members ``(bucket, node)`` of the pivot's component that can't link to one outside it.
 
@@ -254,6 +287,10 @@ def _ruled_out(
     kept from being judged is as far away at least as its length tells, and one
     judged as far may be at ``FAR`` itself.  With ``comps``, members that other
     links join to the pivot's component count as inside.
+
+    With ``rest``, the other members instead, of buckets with more than one
+    component only, and without the pivots; with their component and with
+    ``main``, that of the bucket's heaviest member but the pivot.
     """
     pairs = judged.select("a", "b", "dist").union(judged.select(F.col("b").alias("a"), F.col("a").alias("b"), "dist"))
     met = state.join(pivots.select("bucket", "pivot", "pivot_n"), "bucket").where("node <> pivot")
@@ -264,11 +301,17 @@ def _ruled_out(
     if comps is not None:
         met = _with_component(_with_component(met, comps, "node", "comp"), comps, "pivot", "pivot_comp")
         apart = F.col("comp") != F.col("pivot_comp")
-    met = met.select("bucket", "node", "dist", F.coalesce("dist", by_length).alias("least"), apart.alias("apart"))
+    more = ["n", "rank", "weight", "comp"] if rest else []
+    met = met.select("bucket", "node", *more, "dist", F.coalesce("dist", by_length).alias("least"), apart.alias("apart"))
     met = scratch.keep(met, "omh-met")
-    miss = scratch.keep(met.where("apart").groupBy("bucket").agg(F.min("least").alias("miss")), "omh-miss")
-    out = met.where(f"dist <= {near}").join(miss, "bucket", "left")
-    return out.where(f"dist + {near} < least(coalesce(miss, 1.0), {FAR})").select("bucket", "node")
+    miss = F.min(F.when(F.col("apart"), F.col("least"))).alias("miss")
+    out = f"dist <= {near} and dist + {near} < least(coalesce(miss, 1.0), {FAR})"
+    if rest:
+        found = met.groupBy("bucket").agg(miss, *map(F.expr, OPEN)).where("lo <> hi")
+        found = scratch.keep(found.select("bucket", "miss", "main"), "omh-open")
+        return met.join(found, "bucket").where(f"not coalesce({out}, false)").select("bucket", "node", *more, "main")
+    missed = scratch.keep(met.groupBy("bucket").agg(miss), "omh-miss")
+    return met.join(missed, "bucket").where(out).select("bucket", "node")
 
 
 SKETCH = "node binary, n int, keys array<long>"
@@ -276,8 +319,8 @@ SKETCH = "node binary, n int, keys array<long>"
 ENOUGH = f"least(n - rank, pivot_n - pivot_rank) >= {SIMILARITY / (1 + SIMILARITY)} * (n + pivot_n) - 1e-6"
 
 
-def _members(scratch: Scratch, sketches: DataFrame) -> DataFrame:
-    """``(bucket, node, n, rank, weight)`` of buckets with more than one node; exact copies count once.
+def _members(scratch: Scratch, sketches: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(bucket, node, n, rank, weight)`` of buckets with more than one node, and these nodes; exact copies count once.
 
     weight is the number of members in all buckets of a node: the largest in a
     group of near copies is that of the text which most of them stem from.
@@ -287,20 +330,19 @@ def _members(scratch: Scratch, sketches: DataFrame) -> DataFrame:
     shared = scratch.keep(members.join(crowded, "bucket"), "omh-shared")
     weights = scratch.keep(shared.groupBy("node").agg(F.sum("size").alias("weight")), "omh-weights")
     out = scratch.keep(shared.drop("size").join(weights, "node"), "omh-state")
-    scratch.drop(members, crowded, shared, weights)
-    return out
+    scratch.drop(members, crowded, shared)
+    return out, weights
 
 
-def _refined(scratch: Scratch, state: DataFrame, comps: DataFrame, texts: DataFrame) -> DataFrame:
+def _refined(scratch: Scratch, state: DataFrame, texts: DataFrame) -> DataFrame:
     """Buckets by rare shingle of the nodes that share a bucket with one of another component.
 
     The counters are of a fixed number; they only choose the order in which
     shingles count as rare, any order loses no pair.
     """
-    current = scratch.keep(_with_component(state, comps, "node", "comp"), "omh-current")
-    mixed = current.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
+    mixed = state.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
     mixed = scratch.keep(mixed.select("bucket"), "omh-mixed")
-    left = scratch.keep(current.join(mixed, "bucket", "left_semi").select("node").distinct(), "omh-left")
+    left = scratch.keep(state.join(mixed, "bucket", "left_semi").select("node").distinct(), "omh-left")
     open_texts = texts.join(left, "node", "left_semi")
     counts = open_texts.mapInPandas(_count_batches, "counter long, n long").groupBy("counter").agg(F.sum("n").alias("n")).toPandas()
     common = np.zeros(COUNTERS, np.int64)
@@ -314,8 +356,8 @@ def _refined(scratch: Scratch, state: DataFrame, comps: DataFrame, texts: DataFr
             yield pd.DataFrame({"node": batch["node"], "n": [len(h) for h in found], "keys": keys})
 
     fine = open_texts.mapInPandas(rare, SKETCH).select("node", "n", F.posexplode("keys").alias("rank", "bucket"))
-    out = _members(scratch, fine)
-    scratch.drop(current, mixed, left, state)
+    out, nodes = _members(scratch, fine)
+    scratch.drop(mixed, left, state, nodes)
     return out
 
 
@@ -329,16 +371,23 @@ def _first_pivots(current: DataFrame) -> DataFrame:
     return current.groupBy("bucket").agg(F.expr(HEAVIEST)).selectExpr("bucket", *PIVOT, "p.node as pivot_comp")
 
 
-#: Open buckets, with the component of their heaviest member.
+#: A bucket's components, and that of its heaviest member.
 OPEN = ["max(struct(weight, node, comp)).comp as main", "min(comp) as lo", "max(comp) as hi"]
 
 
-def _open_buckets(scratch: Scratch, current: DataFrame) -> DataFrame:
-    found = current.groupBy("bucket").agg(*map(F.expr, OPEN)).where("lo <> hi")
-    return scratch.keep(found.select("bucket", "main"), "omh-open")
+def _open(scratch: Scratch, current: DataFrame) -> DataFrame:
+    """Members of the buckets with more than one component, with ``main`` and the number of members.
+
+    A bucket of one component stays so and is not carried further.
+    """
+    found = current.groupBy("bucket").agg(*map(F.expr, OPEN), F.count("*").alias("size")).where("lo <> hi")
+    found = scratch.keep(found.select("bucket", "main", "size"), "omh-open")
+    out = scratch.keep(current.join(found, "bucket"), "omh-state")
+    scratch.drop(found)
+    return out
 
 
-def _main_pivots(scratch: Scratch, current: DataFrame, shares: int) -> DataFrame:
+def _main_pivots(current: DataFrame, shares: int) -> DataFrame:
     """Of each open bucket's main component, up to ``shares`` heavy members.
 
     In a group of near copies that are about as far from each other as a link
@@ -346,15 +395,19 @@ def _main_pivots(scratch: Scratch, current: DataFrame, shares: int) -> DataFrame
     component soon, so that few have to meet all of it.
     """
     share = F.pmod(F.xxhash64("node"), F.lit(shares)).alias("share")
-    inside = current.join(_open_buckets(scratch, current), "bucket").where("comp = main")
-    return inside.groupBy("bucket", "main", share).agg(F.expr(HEAVIEST)).selectExpr("bucket", *PIVOT, "main as pivot_comp")
+    inside = current.where("comp = main").groupBy("bucket", "main", share).agg(F.expr(HEAVIEST))
+    return inside.selectExpr("bucket", *PIVOT, "main as pivot_comp")
 
 
-def _stray_pivots(scratch: Scratch, current: DataFrame, shares: int) -> DataFrame:
-    """Of each open bucket's members outside its main component, dealt into ``shares``, one a share."""
-    share = F.pmod(F.xxhash64("node"), F.lit(shares)).alias("share")
-    strays = current.join(_open_buckets(scratch, current), "bucket").where("comp <> main")
-    one = strays.groupBy("bucket", share).agg(F.max(F.struct("weight", "node", "n", "rank", "comp")).alias("p"))
+def _stray_pivots(current: DataFrame, shares: int) -> DataFrame:
+    """Of each open bucket's members outside its main component, dealt into ``shares``, one a share.
+
+    A bucket of no more members has them all, which ends it.
+    """
+    dealt = F.pmod(F.xxhash64("node"), F.lit(shares)).cast("string").cast("binary")
+    share = F.when(F.col("size") > shares, dealt).otherwise(F.col("node")).alias("share")
+    strays = current.where("comp <> main").groupBy("bucket", share)
+    one = strays.agg(F.max(F.struct("weight", "node", "n", "rank", "comp")).alias("p"))
     return one.selectExpr("bucket", *PIVOT, "p.comp as pivot_comp")
 
 
@@ -367,10 +420,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ids = scratch.keep(named.groupBy("node").agg(F.min("doc_id").alias("rep")), "omh-ids")
 
     sketches = named.select("node", "text").mapInPandas(_sketch_batches, SKETCH)
-    state = _members(scratch, sketches.select("node", "n", F.lit(0).alias("rank"), F.explode("keys").alias("bucket")))
+    state, nodes = _members(scratch, sketches.select("node", "n", F.lit(0).alias("rank"), F.explode("keys").alias("bucket")))
 
     # the texts of candidates, one row a node, by a key that no two rows share
-    wanted = scratch.keep(state.select("node").distinct().join(ids, "node"), "omh-wanted")
+    wanted = scratch.keep(nodes.join(ids, "node").select("node", "rep"), "omh-wanted")
     texts = scratch.keep(
         named.join(wanted.hint("merge"), (named["node"] == wanted["node"]) & named["doc_id"].eqNullSafe(wanted["rep"]))
         .select(named["node"], named["doc_id"], named["text"])
@@ -378,24 +431,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         .select("node", "text"),
         "omh-texts",
     )
-    scratch.drop(wanted)
+    scratch.drop(wanted, nodes)
 
     comps: DataFrame | None = None
     judged: DataFrame | None = None
     turn, shares = 0, SHARES
     while True:
-        current = state.withColumn("comp", F.col("node"))
-        if comps is not None:
-            current = scratch.keep(_with_component(state, comps, "node", "comp"), "omh-current")
+        if turn > 1:
+            was, state = state, _open(scratch, state)
+            scratch.drop(was)
+        if state.isEmpty():
+            break
         if turn == 0:
+            current = state.withColumn("comp", F.col("node"))
             pivots = _first_pivots(current)
-        elif turn == 1:
-            pivots = _main_pivots(scratch, current, MAIN_SHARES)
         else:
-            pivots = _stray_pivots(scratch, current, shares)
+            current = state
+            pivots = _main_pivots(current, MAIN_SHARES) if turn == 1 else _stray_pivots(current, shares)
         pivots = scratch.keep(pivots, "omh-pivots")
-        if pivots.isEmpty():
-            break
         against = current.join(pivots, "bucket").where(f"node <> pivot and comp <> pivot_comp and {ENOUGH}")
         pairs = against.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
         if judged is not None:
@@ -406,20 +459,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             judged = new if judged is None else judged.union(new)
             links = new.where(f"dist <= {1 - SIMILARITY + 1e-9}").select("a", "b")
             if comps is None:
-                comps = connected_components(links)
+                comps = _components(scratch, links)
             elif not links.isEmpty():  # earlier components as links of their members to the smallest
-                comps = connected_components(links.union(comps.where("node <> component").select("node", "component")))
+                comps = _components(scratch, links.union(comps.where("node <> component").select("node", "component")))
 
         # a pivot has met every other component of its bucket and leaves it
         gone = pivots.select("bucket", F.col("pivot").alias("node"))
         if turn == 0:
             first = pivots
         if turn < 2:
-            gone = gone.union(_ruled_out(scratch, state, first, judged, comps))
-        nxt = scratch.keep(state.join(gone, ["bucket", "node"], "left_anti"), "omh-state")
-        scratch.drop(state, current, pairs, *([pivots] if turn else []))
+            nxt = _ruled_out(scratch, state.drop("comp", "main"), first, judged, comps, rest=True)
+        else:
+            nxt = _with_component(state.drop("comp", "main", "size"), comps, "node", "comp")
+        if turn:
+            nxt = nxt.join(gone, ["bucket", "node"], "left_anti")
+        nxt = scratch.keep(nxt, "omh-state")
+        scratch.drop(state, pairs, *([pivots] if turn else []))
         if turn == 1:
-            nxt = _refined(scratch, nxt, comps, texts)
+            nxt = _with_component(_refined(scratch, nxt, texts), comps, "node", "comp")
         elif turn > 1:
             shares *= SHARES
         state, turn = nxt, turn + 1

@@ -117,3 +117,37 @@ def test_ruled_out_against_lengths_and_bounds(spark):
     pairs = spark.createDataFrame([(a.encode(), b.encode(), d) for a, b, d in judged], "a binary, b binary, dist double")
     out = o._ruled_out(o.Scratch(spark), state, pivots, pairs, None)
     assert [(r.bucket, bytes(r.node)) for r in out.collect()] == [(3, b"w")]
+
+
+def test_buckets_of_one_component_are_not_carried(spark, monkeypatch):
+    """Texts each 0.18 from the next: one class, though those further on are no links of a bucket's pivot."""
+    rnd = random.Random(5)
+    words = ["".join(rnd.choice("abcdefghij") for _ in range(6)) for _ in range(224)]
+    rows = [(i, " ".join(words[10 * i : 10 * i + 104])) for i in range(12)]
+    keep, sizes = o.Scratch.keep, []
+
+    def counted(self, df, name):
+        out = keep(self, df, name)
+        if name == "omh-state":
+            sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(o.Scratch, "keep", counted)
+    got = o.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.class_id for r in got} == {0} and len(got) == 12
+    assert sizes[0] > 0 and sizes[1:] == [0]
+
+
+def test_components_of_links_that_many_tasks_hold(spark, monkeypatch):
+    rnd = random.Random(3)
+    links = [(rnd.randrange(300), rnd.randrange(300)) for _ in range(220)]
+    root = list(range(300))
+    for _ in range(300):
+        for a, b in links:
+            root[a] = root[b] = min(root[a], root[b])
+    name = lambda i: f"{i:03}".encode()
+    df = spark.createDataFrame([(name(a), name(b)) for a, b in links], "a binary, b binary").repartition(4)
+    for most in (30, 1000):
+        monkeypatch.setattr(o, "TASK_LINKS", most)
+        got = {bytes(r.node): bytes(r.component) for r in o._components(o.Scratch(spark), df).collect()}
+        assert all(got.get(name(i), name(i)) == name(root[i]) for i in range(300))
