@@ -8,7 +8,10 @@ with ``aggregate`` turns them into ids.  For unigram models the fold is Viterbi.
 A BPE model's scores are ranks of merges, whose best path by sum is not what
 such a model defines, so for these the fold replays the merges: as often as
 needed, the edge with the best score (leftmost of equals) that joins two
-neighbouring symbols is taken.  Characters without a piece become byte pieces.
+neighbouring symbols is taken.  Where a word's pieces come out of merges that are
+all better than they (tried for each piece of a model), no merge can make way for
+a better one, and one pass over the edges from the best replays them.  Words are cut further where no piece of the model has such a pair of
+characters.  Characters without a piece become byte pieces.
 
 Defined results: a null or empty text has no ids; repeated rows are encoded
 alike; a text or word of any length is encoded whole; an empty table gives an
@@ -17,15 +20,20 @@ empty result; extra columns are ignored.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import heapq
 import re
 import zlib
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, field
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,24 +47,66 @@ CUT = f"(?<=[^{SPACE}])(?={SPACE})|(?<=\\n)|(?=\\n)"
 FOLDED_CHARS = 64
 #: Words whose lattice one task builds.
 TASK_WORDS = 50_000
+#: Odd pieces of an ordered model; words with one of them are folded merge by merge.
+ODD = 16
+#: Groups a task holds before Spark sorts all its rows instead; a task has about ``TASK_WORDS``.
+HELD_GROUPS = 4 * TASK_WORDS
 #: Code points of the texts that meet the ids of their words in one task.
 CHUNK_CHARS = 16_000_000
 #: Words whose ids a worker remembers; only speed depends on it.
 CACHE = 300_000
 
 
+#: Words of a text whose spaces are marked; what ``CUT`` parts.
+WORD = re.compile(f"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+")
+
+
+def parts(marks: str = "") -> re.Pattern:
+    """Words cut where letters, digits and other characters meet, and between digits; ``marks`` are no letters."""
+    marks = re.escape(marks)
+    return re.compile(rf"\n|{SPACE}*[^\W\d_{marks}]+|{SPACE}*(?:[^\w{SPACE}\n]|[_{marks}])+|{SPACE}+|\d")
+
+
 @dataclass
 class Model:
-    """Pieces with ids and scores; ``first_byte`` is the id of the byte piece 0."""
+    """Pieces with ids and scores; ``first_byte`` is the id of the byte piece 0.
+
+    ``word`` parts texts: by ``parts`` if it leaves together every two characters
+    that stand side by side in a piece.  ``odd`` pieces do not come out of merges
+    that are all better than they; a model with few of them is ``ordered``.
+    """
 
     pieces: list[tuple[str, int, float]]
     kind: str
     first_byte: int
     unknown: int = 0
     longest: int = field(init=False)
+    odd: list[str] = field(init=False)
+    ordered: bool = field(init=False)
+    word: re.Pattern = field(init=False)
 
     def __post_init__(self):
         self.longest = max(len(p) for p, _, _ in self.pieces)
+        pairs = {p[i : i + 2] for p, _, _ in self.pieces for i in range(len(p) - 1)}
+        self.word = WORD
+        marks = "".join({c for x in pairs if len(parts().findall(x)) > 1 for c in x if parts().fullmatch(c) and c.isalnum() and not c.isalpha()})
+        if all(len(parts(marks).findall(x)) == 1 for x in pairs):
+            self.word = parts(marks)
+        self.odd = _odd(self) if self.kind == "bpe" else []
+        fits = len({p for p, _, _ in self.pieces}) == len(self.pieces) < 1 << 22 and all(0 <= i < 1 << 26 for _, i, _ in self.pieces)
+        self.ordered = self.kind == "bpe" and fits and len(self.odd) <= ODD
+
+
+def _odd(model: Model) -> list[str]:
+    """Pieces that no merges make, or not only better ones than the last; without those that hold another."""
+    table = {p: (s, i) for p, i, s in model.pieces}
+    out: list[str] = []
+    for p, i, s in sorted(model.pieces, key=lambda x: len(x[0])):
+        scores: list[float] = []
+        if len(p) > 1 and (merged(p, table, model.first_byte, scores) != [i] or min(scores[:-1], default=np.inf) <= s):
+            if len(out) > ODD or not any(x in p for x in out):
+                out.append(p)
+    return out
 
 
 def load(path: str) -> Model:
@@ -81,12 +131,15 @@ def words_of(text: Column) -> Column:
 
 
 def piece_table(spark: SparkSession, model: Model) -> DataFrame:
-    return spark.createDataFrame(model.pieces, "piece string, id int, score double")
+    place = {s: k for k, s in enumerate(sorted({s for _, _, s in model.pieces}, reverse=True))}
+    rows = [(p, i, float(s), place[s]) for p, i, s in model.pieces]
+    return spark.createDataFrame(rows, "piece string, id int, score double, rank long")
 
 
-def lattice(words: DataFrame, model: Model) -> DataFrame:
+def lattice(words: DataFrame, model: Model, packed: bool = False) -> DataFrame:
     """``(word, edges)`` for distinct words: every (start, end, score, id) of a substring that is a piece.
 
+    Packed, an edge is a number: rank by score, start, end and id from the highest bits.
     The piece table has as many rows as the vocabulary file, which bounds what
     is broadcast; the grouping keeps the words' partitioning.
     """
@@ -99,7 +152,10 @@ def lattice(words: DataFrame, model: Model) -> DataFrame:
     edges = spans.join(F.broadcast(piece_table(words.sparkSession, model)), "piece", "left")
     # of spans that are no piece only a word's first is kept, so that a word without pieces stays
     edges = edges.where((F.col("id").isNotNull()) | ((F.col("start") == 0) & (F.col("end") == 1)))
-    edge = F.when(F.col("id").isNotNull(), F.struct("start", "end", "score", "id"))
+    edge = F.struct("start", "end", "score", "id")
+    if packed:
+        edge = F.expr("shiftleft(rank, 40) | shiftleft(cast(start as long), 33) | shiftleft(cast(end as long), 26) | id")
+    edge = F.when(F.col("id").isNotNull(), edge)
     return edges.groupBy("word").agg(F.collect_list(edge).alias("edges"))
 
 
@@ -142,6 +198,57 @@ def fold_merges(word: Column, edges: Column, model: Model) -> Column:
     return F.get(F.transform(F.array(bounds), lambda b: _ids_between(word, edges, b, model)), 0)
 
 
+def _start(edge: Column) -> Column:
+    return F.shiftright(edge, 33).bitwiseAND(127).cast("int")
+
+
+def _end(edge: Column) -> Column:
+    return F.shiftright(edge, 26).bitwiseAND(127).cast("int")
+
+
+def _shifted(number: Column, by: Column) -> Column:
+    return F.call_function("shiftleft", number, by)
+
+
+def fold_ranked(word: Column, edges: Column, model: Model) -> Column:
+    """What ``fold_merges`` returns for words of up to 64 code points without odd pieces, from packed edges.
+
+    A bit tells whether a symbol begins at a place; that of place 64 is bit 0, as shifts
+    have it, which is always set.
+    """
+    n, one = F.length(word), F.lit(1).cast("long")
+
+    def inner(e: Column) -> Column:
+        return _shifted(_shifted(one, _end(e) - _start(e) - 1) - 1, _start(e) + 1)
+
+    def bounded(bits: Column, e: Column) -> Column:
+        ends = _shifted(one, _start(e)).bitwiseOR(_shifted(one, _end(e)))
+        return bits.bitwiseAND(ends) == ends
+
+    def step(bits: Column, e: Column) -> Column:
+        joins = bounded(bits, e) & (F.bit_count(bits.bitwiseAND(inner(e))) == 1)
+        return F.when(joins, bits.bitwiseAND(F.bitwise_not(inner(e)))).otherwise(bits)
+
+    every = F.lit(-1).cast("long")
+    bits = F.aggregate(
+        F.sort_array(edges), F.when(n > 63, every).otherwise(F.call_function("shiftrightunsigned", every, 63 - n)), step
+    )
+
+    def ids(bits: Column) -> Column:
+        symbols = F.filter(edges, lambda e: bounded(bits, e) & (bits.bitwiseAND(inner(e)) == 0))
+        in_order = F.sort_array(F.transform(symbols, lambda e: e.bitwiseAND((1 << 40) - 1)))
+        bounds = F.filter(F.sequence(F.lit(0), n), lambda i: bits.bitwiseAND(_shifted(one, i)) != 0)
+        parts = F.transform(
+            edges, lambda e: F.struct(_start(e).alias("start"), _end(e).alias("end"), e.bitwiseAND((1 << 26) - 1).cast("int").alias("id"))
+        )
+        return F.when(
+            F.size(symbols) == F.bit_count(bits) - (n < 64).cast("int"),
+            F.transform(in_order, lambda e: e.bitwiseAND((1 << 26) - 1).cast("int")),
+        ).otherwise(_ids_between(word, parts, bounds, model))
+
+    return F.get(F.transform(F.array(bits), ids), 0)
+
+
 #: Score of a character that is no piece, below that of any path of pieces.
 UNSEEN = -1e6
 
@@ -190,8 +297,8 @@ class Words(dict):
         return ids
 
 
-def merged(word: str, table: dict[str, tuple[float, int]], first_byte: int) -> list[int]:
-    """Ids of a word of a BPE model."""
+def merged(word: str, table: dict[str, tuple[float, int]], first_byte: int, scores: list[float] | None = None) -> list[int]:
+    """Ids of a word of a BPE model; ``scores`` gets those of the merges in turn."""
     n = len(word)
     end, before = list(range(1, n + 1)), list(range(-1, n - 1))
     heap: list[tuple[float, int, int]] = []
@@ -206,10 +313,12 @@ def merged(word: str, table: dict[str, tuple[float, int]], first_byte: int) -> l
         offer(s)
     alive = [True] * n
     while heap:
-        _, s, e = heapq.heappop(heap)
+        worse, s, e = heapq.heappop(heap)
         # still two neighbouring symbols that make up this edge
         if not alive[s] or end[s] >= n or end[s] >= e or end[end[s]] != e:
             continue
+        if scores is not None:
+            scores.append(-worse)
         alive[end[s]] = False
         end[s] = e
         if e < n:
@@ -226,8 +335,8 @@ def merged(word: str, table: dict[str, tuple[float, int]], first_byte: int) -> l
     return ids
 
 
-#: Words of a text whose spaces are marked; what ``CUT`` parts.
-WORD = re.compile(f"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+")
+def split(text: str | None, model: Model) -> list[str]:
+    return model.word.findall(SPACE + text.replace(" ", SPACE)) if text else []
 
 
 class Coded(Words):
@@ -248,9 +357,8 @@ class Coded(Words):
         ids = list(ids)
         return ids, ",".join(map(str, ids)).encode(), b"".join([self.bytes[i] for i in ids])
 
-    @staticmethod
-    def split(text: str | None) -> list[str]:
-        return WORD.findall(SPACE + text.replace(" ", SPACE)) if text else []
+    def split(self, text: str | None) -> list[str]:
+        return split(text, self.model)
 
     def of(self, text: str | None) -> list[tuple[list[int], bytes, bytes]]:
         return list(map(self.__getitem__, self.split(text)))
@@ -266,9 +374,9 @@ OUT = "doc_id long, n_ids long, ids_crc32 long, decoded_sha256 string"
 
 
 def _row(doc_id: int | None, got: list[tuple[list[int], bytes, bytes]], with_ids: bool) -> tuple:
-    crc = zlib.crc32(b",".join([x[1] for x in got]))
+    ids = b",".join([x[1] for x in got])
     digest = hashlib.sha256(back([x[2] for x in got]).encode("utf-8", "surrogatepass")).hexdigest()
-    row = (doc_id, sum(len(x[0]) for x in got), crc, digest)
+    row = (doc_id, ids.count(b",") + 1 if got else 0, zlib.crc32(ids), digest)
     return (*row, np.concatenate([x[0] for x in got]).astype(np.int32) if got else np.empty(0, np.int32)) if with_ids else row
 
 
@@ -301,7 +409,18 @@ def encode_words(words: DataFrame, model: Model) -> DataFrame:
     spark = words.sparkSession
     short = words.where(F.length("word") <= FOLDED_CHARS)
     fold = fold_merges if model.kind == "bpe" else fold_viterbi
-    out = lattice(short, model).select("word", fold(F.col("word"), F.col("edges"), model).alias("ids"))
+
+    def folded(words: DataFrame, fold, packed: bool = False) -> DataFrame:
+        return lattice(words, model, packed).select("word", fold(F.col("word"), F.col("edges"), model).alias("ids"))
+
+    if model.ordered:
+        odd = F.lit(False)
+        for p in model.odd:
+            odd = odd | F.contains("word", F.lit(p))
+        out = folded(short.where(~odd), fold_ranked, True)
+        out = out.union(folded(short.where(odd), fold)) if model.odd else out
+    else:
+        out = folded(short, fold)
     if model.kind != "bpe":
         return out.union(
             lattice(words.where(F.length("word") > FOLDED_CHARS), model).select(
@@ -318,14 +437,62 @@ def encode_words(words: DataFrame, model: Model) -> DataFrame:
     return out.union(words.where(F.length("word") > FOLDED_CHARS).mapInPandas(run, "word string, ids array<int>"))
 
 
-def _distinct_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+@contextmanager
+def _held_groups(spark: SparkSession) -> Iterator[None]:
+    """Spark keeps up to ``HELD_GROUPS`` groups of a task in memory, not 128."""
+    key = "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"
+    was = spark.conf.get(key, None)
+    spark.conf.set(key, HELD_GROUPS)
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if was is None else spark.conf.set(key, was)
+
+
+def _packed(rows: pa.Table, order: np.ndarray, chunks: np.ndarray, name: str) -> Iterator[pa.RecordBatch]:
+    """``(chunk, name)``: the rows at ``order``, compressed together for each of the sorted ``chunks`` beside them."""
+    found, at = np.unique(chunks, return_index=True)
+    for chunk, start, stop in zip(found.tolist(), at.tolist(), [*at[1:].tolist(), len(chunks)]):
+        part = rows.take(pa.array(order[start:stop])).combine_chunks()
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            out.write_table(part)
+        blob = pa.array([sink.getvalue().to_pybytes()], pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), blob], names=["chunk", name])
+
+
+def _pack_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found: dict[int, set[str]] = {}
-        for chunk, text in zip(batch["chunk"].tolist(), batch["text"]):
-            if text:
-                found.setdefault(chunk, set()).update(WORD.findall(SPACE + text.replace(" ", SPACE)))
-        for chunk, words in found.items():
-            yield pd.DataFrame({"chunk": chunk, "word": list(words)})
+        chunks = batch["chunk"].to_numpy()
+        order = np.argsort(chunks, kind="stable")
+        yield from _packed(pa.Table.from_batches([batch]).select(["doc_id", "text"]), order, chunks[order], "texts")
+
+
+def _pack_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Words and their ids for each chunk they are in; words alike stand together."""
+    held: list[pa.RecordBatch] = []
+
+    def out() -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(held).sort_by("word").combine_chunks()
+        held.clear()
+        lists = rows["chunks"].combine_chunks()
+        chunks, word = pc.list_flatten(lists).to_numpy(), pc.list_parent_indices(lists).to_numpy()
+        order = np.argsort(chunks, kind="stable")
+        yield from _packed(rows.select(["word", "ids"]), word[order], chunks[order], "words")
+
+    for batch in batches:
+        held.append(batch)
+        if sum(map(len, held)) >= TASK_WORDS:
+            yield from out()
+    if held:
+        yield from out()
+
+
+def _unpacked(blobs: Iterable[bytes]) -> Iterator[tuple]:
+    """Pairs of the two columns of each."""
+    for blob in blobs:
+        a, b = pa.ipc.open_stream(blob).read_all().columns
+        yield from zip(a.to_pylist(), b.to_pylist())
 
 
 def encode(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
@@ -333,29 +500,58 @@ def encode(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
     Distinct words are encoded once, over their lattice.  Texts are dealt into
     chunks of about ``CHUNK_CHARS`` by a hash of id and text, so copies spread;
-    a chunk meets the ids of its own distinct words, which its size bounds.
+    a chunk meets the ids of its own distinct words, which its size bounds.  A
+    word carries the list of its chunks; texts, and words with their ids, travel compressed.
     """
-    scratch = Scratch(docs.sparkSession)
+    spark = docs.sparkSession
+    scratch = Scratch(spark)
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
     chars = rows.agg(F.sum(F.length("text").cast("long"))).first()[0] or 0
     chunk = F.pmod(F.xxhash64("doc_id", "text"), F.lit(chars // CHUNK_CHARS + 1)).alias("chunk")
     rows = rows.select("doc_id", "text", chunk)
-    used = scratch.keep(rows.mapInPandas(_distinct_words, "chunk long, word string").distinct(), "spm-used")
-    distinct = scratch.keep(used.select("word").distinct(), "spm-distinct")
-    # so many tasks that a task groups the edges of its words in memory
-    spread = distinct.repartition(distinct.count() // TASK_WORDS + 1, "word")
-    coded = scratch.keep(encode_words(spread, model), "spm-words")
-    scratch.drop(distinct)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = spark.sparkContext.broadcast(model)
+
+    def words_in(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch["chunk"].to_numpy()
+            order = np.argsort(at, kind="stable")
+            chunks: dict[str, list[int]] = {}
+            for chunk, rows_of in groupby(order.tolist(), at.__getitem__):
+                for word in set().union(*(split(batch["text"][k].as_py(), shared.value) for k in rows_of)):
+                    chunks.setdefault(word, []).append(int(chunk))
+            words = sorted(chunks)
+            for at in range(0, len(words), TASK_WORDS):
+                part = words[at : at + TASK_WORDS]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(part, pa.string()), pa.array([chunks[w] for w in part], pa.list_(pa.int64()))], names=["word", "chunks"]
+                )
+
+    dealt = rows.mapInArrow(words_in, "word string, chunks array<long>").repartition("word")
+    with _held_groups(spark):
+        used = scratch.keep(dealt.groupBy("word").agg(F.array_distinct(F.flatten(F.collect_list("chunks"))).alias("chunks")), "spm-used")
+        del dealt
+        _free(spark)
+        # so many tasks that a task groups the edges of its words in memory
+        spread = used.select("word").repartition(used.count() // TASK_WORDS + 1, "word")
+        coded = scratch.keep(encode_words(spread, model), "spm-words")
+        del spread
+        _free(spark)
 
     def run(texts: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
         words = Coded(shared.value)
-        of = dict(zip(known["word"], map(words.forms, known["ids"])))
-        out = [_row(i, [of[w] for w in words.split(t)], with_ids) for i, t in zip(texts["doc_id"].tolist(), texts["text"])]
+        of = {w: words.forms(ids) for w, ids in _unpacked(known["words"])}
+        out = [_row(i, list(map(of.__getitem__, words.split(t))), with_ids) for i, t in _unpacked(texts["texts"])]
         return _frame(out, with_ids)
 
-    known = used.join(coded, "word").select("chunk", "word", "ids")
-    return rows.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInPandas(run, OUT + ", ids array<int>" * with_ids)
+    known = used.join(coded, "word").select("word", "ids", "chunks").mapInArrow(_pack_words, "chunk long, words binary")
+    texts = rows.mapInArrow(_pack_texts, "chunk long, texts binary")
+    return texts.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInPandas(run, OUT + ", ids array<int>" * with_ids)
+
+
+def _free(spark: SparkSession) -> None:
+    """Lets Spark remove the shuffle files of plans that nothing holds any more."""
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def decoded(ids: Column, model: Model) -> Column:

@@ -62,3 +62,58 @@ def test_viterbi_against_all_paths(spark):
     for r in s.encode_words(df, model).collect():
         by_id = {i: v for v, i in score.values()}
         assert abs(sum(by_id[i] for i in r.ids) - best(r.word)) < 1e-9, r.word
+
+
+def test_one_pass_equals_replay_and_library(spark):
+    """Words up to and over 64 characters, parted at marks and digits, with bytes and repeats."""
+    sp, model = processor(), s.load(PATH)
+    assert model.ordered and model.odd == ["▁▁▁"] and model.word != s.WORD
+    rnd = random.Random(3)
+    alphabet = "thereouniganß日ﷺ\u0301\U0001f600"
+    words = ["".join(rnd.choice(alphabet) for _ in range(n)) for n in (1, 2, 3, 9, 20, 62, 63, 64, 64, 65, 90) for _ in range(6)]
+    words += ["a" * n for n in (2, 3, 5, 63, 64, 65)] + ["▁" + "ing" * 21, "▁" * 64, "日" * 64, "\U0001f600"]
+    df = spark.createDataFrame([(w,) for w in sorted(set(words))], "word string")
+    edges = s.lattice(df.where((F.length("word") <= s.FOLDED_CHARS) & ~F.contains("word", F.lit("▁▁▁"))), model, packed=True)
+    table = {p: (v, i) for p, i, v in model.pieces}
+    got = edges.select("word", s.fold_ranked(F.col("word"), F.col("edges"), model).alias("ids")).collect()
+    assert len(got) == len({w for w in words if len(w) <= 64 and "▁▁▁" not in w})
+    got += s.encode_words(df, model).collect()
+    for r in got:
+        assert r.ids == s.merged(r.word, table, model.first_byte), r.word
+    for t in ("x1y.22,,_a__b 3.5%%% ²a", "Haanth.\nthe2nd (of) ...", "  12  .a"):
+        assert "".join(s.split(t, model)) == s.SPACE + t.replace(" ", s.SPACE)
+        assert [i for w in s.split(t, model) for i in s.Words(model)[w]] == sp.encode(t)
+
+
+def test_models_that_one_pass_does_not_fit(spark):
+    """A piece made by a merge worse than itself, and pieces across letters and marks."""
+    model = s.Model([("a", 300, -9.0), ("b", 301, -9.5), ("c", 302, -9.6), (".", 303, -9.7), ("bc", 304, -5.0), ("abc", 305, -2.0), ("c.", 306, -3.0)], "bpe", 3)
+    assert model.odd == ["abc"] and model.word is s.WORD
+    odder = s.Model([*model.pieces, *[(f"{c}bc", 400 + k, -2.0) for k, c in enumerate("ghijklmnopqrstuvwyz")]], "bpe", 3)
+    assert not odder.ordered
+    words = ["abc", "abc.", "bcabc", "xabc", "c.c."]
+    df = spark.createDataFrame([(w,) for w in words], "word string")
+    table = {p: (v, i) for p, i, v in model.pieces}
+    assert {r.word: r.ids for r in s.encode_words(df, model).collect()} == {w: s.merged(w, table, 3) for w in words}
+    table = {p: (v, i) for p, i, v in odder.pieces}
+    assert {r.word: r.ids for r in s.encode_words(df, odder).collect()} == {w: s.merged(w, table, 3) for w in words}
+
+
+def test_a_word_is_kept_once_however_many_chunks_hold_it(spark, monkeypatch):
+    sp, model = processor(), s.load(PATH)
+    monkeypatch.setattr(s, "CHUNK_CHARS", 40)
+    kept, keep = {}, s.Scratch.keep
+
+    def noted(self, df, name):
+        kept[name] = keep(self, df, name)
+        return kept[name]
+
+    monkeypatch.setattr(s.Scratch, "keep", noted)
+    texts = [f"the thing, {k % 7} ins. the" for k in range(60)] + [None, ""]
+    df = spark.createDataFrame([(None if k == 5 else k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    before = spark.conf.get("spark.sql.objectHashAggregate.sortBased.fallbackThreshold")
+    got = [(r.doc_id, r.n_ids, r.ids) for r in s.encode(df, model).collect()]
+    want = [(None if k == 5 else k, len(ids), ids) for k, t in enumerate(texts) for ids in [sp.encode(t or "")]]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    assert kept["spm-used"].count() == len({w for t in texts for w in s.split(t, model)})
+    assert spark.conf.get("spark.sql.objectHashAggregate.sortBased.fallbackThreshold") == before
