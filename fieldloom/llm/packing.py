@@ -23,7 +23,7 @@ from __future__ import annotations
 
 import unicodedata
 import zlib
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -40,6 +40,8 @@ END_ID = 1
 BUCKET_ROWS = 20_000
 #: Chunks whose ids a worker remembers; only speed depends on it.
 CACHE = 600_000
+#: Lower-case runs of letters whose ids it remembers besides; chunks are made of them.
+WORDS = 1_200_000
 #: Fillings listed for a sequence and nodes visited for them, branches tried, and steps of the search
 #: beside those that go deeper than any before.
 FILLINGS, NODES, BRANCHES, STEPS = 50, 1000, 3, 2000
@@ -49,6 +51,9 @@ FILLINGS, NODES, BRANCHES, STEPS = 50, 1000, 3, 2000
 TOGETHER, CALL = 1 << 20, 1000
 
 
+#: Marks that a chunk may have after a run of letters.
+MARKS = ".,;:!?"
+
 #: What the vocabulary writes at the end of a word.
 WORD_END = "</w>"
 
@@ -57,7 +62,8 @@ class Ids(dict):
     """White-space separated chunk -> its ids as little-endian unsigned 32-bit bytes.
 
     No token of the vocabulary spans white space and its normaliser treats
-    chunks alike, so ids of a text are those of its chunks in order.
+    chunks alike, so ids of a text are those of its chunks in order.  ``words``
+    has the ids of runs of letters, which stay when the many forms with marks go.
     """
 
     def __init__(self, path: str):
@@ -68,10 +74,20 @@ class Ids(dict):
         #: whether a token ends a word, by id
         self.ends = np.zeros(tokenizer.get_vocab_size(), bool)
         self.ends[[i for t, i in tokenizer.get_vocab().items() if t.endswith(WORD_END)]] = True
+        self.words: dict[str, bytes] = {}
+        self.marks = {m: self.direct(m) for m in MARKS} | {"": b""}
 
     def direct(self, text: str) -> bytes:
         return np.array(self.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    @classmethod
+    def lower(cls, text: str | None) -> str:
+        """The text in lower case where normalising is no more than that, else as it is; fewer chunks differ then."""
+        if not text:
+            return ""
+        low = text.lower()
+        return low if cls.simple(text, low) else text
+
     @staticmethod
     def simple(chunk: str, low: str) -> bool:
         """Whether normalising a chunk is no more than lower case."""
@@ -87,31 +103,39 @@ class Ids(dict):
         two.  Of words, the last token tells where each ends; of other chunks,
         the places of their tokens do.
         """
-        words, others, made = set(), set(), []
+        words, marks, fresh, others, made, parts = self.words, self.marks, set(), set(), [], []
         for c in chunks:
             low = c.lower()
             if not self.simple(c, low):
                 self[c] = self.direct(c)
-            elif low.isalpha():
-                words.add(low)
-                made.append((c, low, ""))
-            elif low[-1] in ".,;:!?" and low[:-1].isalpha():
-                words.add(low[:-1])
-                made.append((c, low[:-1], low[-1]))
+                continue
+            if low.isalpha():
+                word, mark = low, ""
+            elif low[-1] in MARKS and low[:-1].isalpha():
+                word, mark = low[:-1], low[-1]
             else:
                 others.add(low)
-                made.append((c, low, ""))
-        others.update(".,;:!?")
-        plain = [w for w in words if w not in self]
+                made.append((c, low))
+                continue
+            if (ids := words.get(word)) is not None:
+                self[c] = ids + marks[mark] if mark else ids
+            else:
+                fresh.add(word)
+                parts.append((c, word, mark))
+        if len(words) + len(fresh) > WORDS:
+            words.clear()
+        plain = list(fresh)
         for at in range(0, len(plain), CALL):
             part = plain[at : at + CALL]
             ids = np.array(self.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
             cuts = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            data = ids.tobytes()
             if len(cuts) != len(part):
-                others.update(part)
+                words.update((w, self.direct(w)) for w in part)
                 continue
-            data = ids.tobytes()
-            self.update(zip(part, [data[i:j] for i, j in zip([0, *cuts], cuts)]))
+            words.update(zip(part, [data[i:j] for i, j in zip([0, *cuts], cuts)]))
+        for c, word, mark in parts:
+            self[c] = words[word] + marks[mark] if mark else words[word]
         plain = [x for x in others if x not in self]
         for at in range(0, len(plain), CALL):
             part = plain[at : at + CALL]
@@ -120,11 +144,9 @@ class Ids(dict):
             starts = np.fromiter((o[0] for o in found.offsets), np.int64, len(found.ids))
             cuts = (4 * np.searchsorted(starts, np.cumsum([len(c) + 1 for c in part]))).tolist()
             self.update(zip(part, [data[i:j] for i, j in zip([0, *cuts], cuts)]))
-        for c, word, mark in made:
-            if mark:
-                self[c] = self[word] + self[mark]
-            elif c != word:
-                self[c] = self[word]
+        for c, low in made:
+            if c != low:
+                self[c] = self[low]
 
     def of_all(self, texts: list[str | None]) -> Iterator[bytes]:
         """Ids of each text, looking up the words of some texts together."""
@@ -136,7 +158,7 @@ class Ids(dict):
                 stop += 1
             # the separators of the tokenizer are Unicode white space; split() has four more
             odd = [any(c in (t or "") for c in "\x1c\x1d\x1e\x1f") for t in texts[at:stop]]
-            words = [[] if o else (t or "").split() for t, o in zip(texts[at:stop], odd)]
+            words = [[] if o else self.lower(t).split() for t, o in zip(texts[at:stop], odd)]
             new = set().union(*words)
             if len(self) + len(new) > CACHE:
                 self.clear()
@@ -257,18 +279,22 @@ def fillings(counts: np.ndarray, first: int, capacity: int, most_waste: int) ->
         return [(0, _merged([(first, 1), *parts])) for parts in exact[:BRANCHES]]
     sizes = (np.flatnonzero(have[1 : capacity - first + 1]) + 1)[::-1].tolist()
     falling = [-n for n in sizes]
+    left = have.tolist()
+    present = [n for n, k in enumerate(left) if k > 0 and n]
     out: list[tuple[int, tuple]] = []
     seen = 0
 
     def dominated(parts: list[tuple[int, int]], room: int) -> bool:
         used = dict(parts)
-        if any(have[n] > used.get(n, 0) for n in (np.flatnonzero(have[1 : room + 1]) + 1).tolist()):
-            return True
-        for n, _ in parts:
-            for bigger in range(n + 1, n + room + 1):
-                if bigger < len(have) and have[bigger] > used.get(bigger, 0):
+
+        def free(above: int, most: int) -> bool:
+            """Whether a length over ``above`` up to ``most`` is left."""
+            for at in range(bisect_right(present, above), bisect_right(present, most)):
+                if left[n := present[at]] > used.get(n, 0):
                     return True
-        return False
+            return False
+
+        return free(0, room) or any(free(n, n + room) for n, _ in parts)
 
     def walk(i: int, room: int, parts: list[tuple[int, int]]) -> bool:
         """Fillings that add parts from ``sizes[i:]``, largest first; true when enough are found."""

@@ -116,3 +116,22 @@ def test_first_descent_ends_however_few_steps():
         got = packing.complete(c, 200, steps=10)
         assert sum(f.times for f in got) == bound
         assert (sum(packing.np.bincount([n for n, k in f.parts for _ in range(k * f.times)], minlength=201) for f in got) == c).all()
+
+
+def test_words_are_learned_once_when_chunks_are_forgotten(monkeypatch):
+    ids = packing.Ids(PATH)
+    monkeypatch.setattr(packing, "CACHE", 40)
+    rnd = random.Random(11)
+    words = ["".join(rnd.choice("theronäéü") for _ in range(9)) for _ in range(60)]
+    texts = [" ".join(rnd.choice([w, w.capitalize(), w + ",", w.upper() + ".", w + "!?", "3" + w]) for w in words[k % 7 :: 7]) for k in range(70)]
+    asked, plain = [], ids.encode
+
+    def encode(text, **more):
+        asked.extend(w for w in text.split() if w.isalpha())
+        return plain(text, **more)
+
+    ids.encode = encode
+    got = [next(ids.of_all([t])) for t in [*texts, None, "", "Σας ΑΣ", "İx \u0301a e\u0301"]]
+    assert len(asked) == len(set(asked)) and len(set(asked) & set(words)) == len(words)
+    for t, data in zip([*texts, None, "", "Σας ΑΣ", "İx \u0301a e\u0301"], got):
+        assert np.frombuffer(data, "<u4").tolist() == plain(t or "", add_special_tokens=False).ids, t
