@@ -21,6 +21,7 @@ ignored.
 
 from __future__ import annotations
 
+import string
 import unicodedata
 import zlib
 from bisect import bisect_left, bisect_right
@@ -51,8 +52,8 @@ FILLINGS, NODES, BRANCHES, STEPS = 50, 1000, 3, 2000
 TOGETHER, CALL = 1 << 20, 1000
 
 
-#: Marks that a chunk may have after a run of letters.
-MARKS = ".,;:!?"
+#: Marks of which a chunk may have a run after its letters, a word of its own; with "'" letters may follow in a token.
+MARKS = string.punctuation.replace("'", "")
 
 #: What the vocabulary writes at the end of a word.
 WORD_END = "</w>"
@@ -75,7 +76,7 @@ class Ids(dict):
         self.ends = np.zeros(tokenizer.get_vocab_size(), bool)
         self.ends[[i for t, i in tokenizer.get_vocab().items() if t.endswith(WORD_END)]] = True
         self.words: dict[str, bytes] = {}
-        self.marks = {m: self.direct(m) for m in MARKS} | {"": b""}
+        self.marks = {"": b""}
 
     def direct(self, text: str) -> bytes:
         return np.array(self.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -99,29 +100,39 @@ class Ids(dict):
         """Encode lower-case parts of chunks many at a time.
 
         The vocabulary is in lower case, and letters never share a token with
-        what follows them: a run of letters is one word, with a mark after it
+        what follows them: a run of letters is one word, with marks after it
         two.  Of words, the last token tells where each ends; of other chunks,
         the places of their tokens do.
         """
-        words, marks, fresh, others, made, parts = self.words, self.marks, set(), set(), [], []
+        words, marks, fresh, others, made = self.words, self.marks, set(), set(), []
+        new: list[str] = []
+        new_words: list[str] = []
+        new_marks: list[str] = []
         for c in chunks:
             low = c.lower()
             if not self.simple(c, low):
                 self[c] = self.direct(c)
                 continue
-            if low.isalpha():
-                word, mark = low, ""
-            elif low[-1] in MARKS and low[:-1].isalpha():
-                word, mark = low[:-1], low[-1]
-            else:
-                others.add(low)
-                made.append((c, low))
-                continue
+            word, mark = low, ""
+            if not low.isalpha():
+                word = low.rstrip(MARKS)
+                if not word.isalpha():
+                    others.add(low)
+                    made.append((c, low))
+                    continue
+                mark = low[len(word) :]
+                if mark not in marks:
+                    if len(marks) >= CALL:
+                        marks.clear()
+                        marks[""] = b""
+                    marks[mark] = self.direct(mark)
             if (ids := words.get(word)) is not None:
                 self[c] = ids + marks[mark] if mark else ids
             else:
                 fresh.add(word)
-                parts.append((c, word, mark))
+                new.append(c)
+                new_words.append(word)
+                new_marks.append(mark)
         if len(words) + len(fresh) > WORDS:
             words.clear()
         plain = list(fresh)
@@ -134,8 +145,8 @@ class Ids(dict):
                 words.update((w, self.direct(w)) for w in part)
                 continue
             words.update(zip(part, [data[i:j] for i, j in zip([0, *cuts], cuts)]))
-        for c, word, mark in parts:
-            self[c] = words[word] + marks[mark] if mark else words[word]
+        for c, word, mark in zip(new, new_words, new_marks):
+            self[c] = words[word] + (marks[mark] if mark in marks else self.direct(mark)) if mark else words[word]
         plain = [x for x in others if x not in self]
         for at in range(0, len(plain), CALL):
             part = plain[at : at + CALL]

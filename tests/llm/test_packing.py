@@ -123,7 +123,7 @@ def test_words_are_learned_once_when_chunks_are_forgotten(monkeypatch):
     monkeypatch.setattr(packing, "CACHE", 40)
     rnd = random.Random(11)
     words = ["".join(rnd.choice("theronäéü") for _ in range(9)) for _ in range(60)]
-    texts = [" ".join(rnd.choice([w, w.capitalize(), w + ",", w.upper() + ".", w + "!?", "3" + w]) for w in words[k % 7 :: 7]) for k in range(70)]
+    texts = [" ".join(rnd.choice([w, w.capitalize(), w + ",", w.upper() + ".", w + "!?", w + ".%%%", w + "'s", w + "_,", w + ",'", "3" + w]) for w in words[k % 7 :: 7]) for k in range(70)]
     asked, plain = [], ids.encode
 
     def encode(text, **more):
