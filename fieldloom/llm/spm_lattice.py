@@ -10,8 +10,8 @@ such a model defines, so for these the fold replays the merges: as often as
 needed, the edge with the best score (leftmost of equals) that joins two
 neighbouring symbols is taken.  Where a word's pieces come out of merges that are
 all better than they (tried for each piece of a model), no merge can make way for
-a better one, and one pass over the edges from the best replays them.  Words are cut further where no piece of the model has such a pair of
-characters.  Characters without a piece become byte pieces.
+a better one, and one pass over the edges from the best replays them.  Words are cut further where no
+piece of the model has such a pair of characters.  Characters without a piece become byte pieces.
 
 Defined results: a null or empty text has no ids; repeated rows are encoded
 alike; a text or word of any length is encoded whole; an empty table gives an
@@ -28,7 +28,6 @@ import zlib
 from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass, field
-from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -53,6 +52,10 @@ ODD = 16
 HELD_GROUPS = 4 * TASK_WORDS
 #: Code points of the texts that meet the ids of their words in one task.
 CHUNK_CHARS = 16_000_000
+#: Code points of texts that are parted, and looked up, at a time.
+PARTED_CHARS, FOUND_CHARS = 250_000, 4_000_000
+#: How hard texts, and words with their ids, are compressed on their way.
+ZSTD_LEVEL = 6
 #: Words whose ids a worker remembers; only speed depends on it.
 CACHE = 300_000
 
@@ -67,13 +70,34 @@ def parts(marks: str = "") -> re.Pattern:
     return re.compile(rf"\n|{SPACE}*[^\W\d_{marks}]+|{SPACE}*(?:[^\w{SPACE}\n]|[_{marks}])+|{SPACE}+|\d")
 
 
+#: Kinds of characters; whether one of the second kind goes on with the word of the first.
+LINE, MARK, LETTER, OTHER, DIGIT = range(5)
+JOINED = np.zeros((8, 8), bool)
+for _pair in ((MARK, MARK), (MARK, LETTER), (MARK, OTHER), (LETTER, LETTER), (OTHER, OTHER)):
+    JOINED[_pair] = True
+
+
+def kinds(marks: str | None = None) -> np.ndarray:
+    """The kind of every code point by ``parts(marks)``; by ``WORD`` if there are no marks but None."""
+    out = np.full(0x110000, LETTER if marks is None else OTHER, np.uint8)
+    if marks is not None:
+        every = "".join(map(chr, range(len(out))))
+        for kind, one in ((DIGIT, r"\d+"), (LETTER, rf"[^\W\d_{re.escape(marks)}]+")):
+            for run in re.finditer(one, every):
+                out[run.start() : run.end()] = kind
+        out[list(map(ord, marks))] = OTHER
+    out[ord("\n")], out[ord(SPACE)] = LINE, MARK
+    return out
+
+
 @dataclass
 class Model:
     """Pieces with ids and scores; ``first_byte`` is the id of the byte piece 0.
 
     ``word`` parts texts: by ``parts`` if it leaves together every two characters
-    that stand side by side in a piece.  ``odd`` pieces do not come out of merges
-    that are all better than they; a model with few of them is ``ordered``.
+    that stand side by side in a piece; ``kinds`` of characters say the same.  ``odd``
+    pieces do not come out of merges that are all better than they; a model with few
+    of them is ``ordered``.
     """
 
     pieces: list[tuple[str, int, float]]
@@ -84,14 +108,15 @@ class Model:
     odd: list[str] = field(init=False)
     ordered: bool = field(init=False)
     word: re.Pattern = field(init=False)
+    kinds: np.ndarray = field(init=False, repr=False, compare=False)
 
     def __post_init__(self):
         self.longest = max(len(p) for p, _, _ in self.pieces)
         pairs = {p[i : i + 2] for p, _, _ in self.pieces for i in range(len(p) - 1)}
-        self.word = WORD
+        self.word, self.kinds = WORD, kinds()
         marks = "".join({c for x in pairs if len(parts().findall(x)) > 1 for c in x if parts().fullmatch(c) and c.isalnum() and not c.isalpha()})
         if all(len(parts(marks).findall(x)) == 1 for x in pairs):
-            self.word = parts(marks)
+            self.word, self.kinds = parts(marks), kinds(marks)
         self.odd = _odd(self) if self.kind == "bpe" else []
         fits = len({p for p, _, _ in self.pieces}) == len(self.pieces) < 1 << 22 and all(0 <= i < 1 << 26 for _, i, _ in self.pieces)
         self.ordered = self.kind == "bpe" and fits and len(self.odd) <= ODD
@@ -137,18 +162,18 @@ def piece_table(spark: SparkSession, model: Model) -> DataFrame:
 
 
 def lattice(words: DataFrame, model: Model, packed: bool = False) -> DataFrame:
-    """``(word, edges)`` for distinct words: every (start, end, score, id) of a substring that is a piece.
+    """``edges`` beside each row of distinct words: every (start, end, score, id) of a substring that is a piece.
 
     Packed, an edge is a number: rank by score, start, end and id from the highest bits.
     The piece table has as many rows as the vocabulary file, which bounds what
-    is broadcast; the grouping keeps the words' partitioning.
+    is broadcast; the grouping keeps the words' partitioning.  Other columns are carried.
     """
-    n = F.length("word")
-    starts = words.select("word", F.explode(F.sequence(F.lit(0), n - 1)).alias("start"))
+    n, kept = F.length("word"), words.columns
+    starts = words.select(*kept, F.explode(F.sequence(F.lit(0), n - 1)).alias("start"))
     ends = starts.select(
-        "word", "start", F.explode(F.sequence(F.col("start") + 1, F.least(n, F.col("start") + model.longest))).alias("end")
+        *kept, "start", F.explode(F.sequence(F.col("start") + 1, F.least(n, F.col("start") + model.longest))).alias("end")
     )
-    spans = ends.select("word", "start", "end", F.expr("substring(word, start + 1, end - start)").alias("piece"))
+    spans = ends.select(*kept, "start", "end", F.expr("substring(word, start + 1, end - start)").alias("piece"))
     edges = spans.join(F.broadcast(piece_table(words.sparkSession, model)), "piece", "left")
     # of spans that are no piece only a word's first is kept, so that a word without pieces stays
     edges = edges.where((F.col("id").isNotNull()) | ((F.col("start") == 0) & (F.col("end") == 1)))
@@ -156,7 +181,7 @@ def lattice(words: DataFrame, model: Model, packed: bool = False) -> DataFrame:
     if packed:
         edge = F.expr("shiftleft(rank, 40) | shiftleft(cast(start as long), 33) | shiftleft(cast(end as long), 26) | id")
     edge = F.when(F.col("id").isNotNull(), edge)
-    return edges.groupBy("word").agg(F.collect_list(edge).alias("edges"))
+    return edges.groupBy(*kept).agg(F.collect_list(edge).alias("edges"))
 
 
 def _byte_ids(char: Column, model: Model) -> Column:
@@ -405,13 +430,13 @@ def encode_texts(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col
 
 
 def encode_words(words: DataFrame, model: Model) -> DataFrame:
-    """``(word, ids)`` of a table of distinct words."""
-    spark = words.sparkSession
+    """``ids`` beside each row of a table of distinct words."""
+    spark, kept = words.sparkSession, words.columns
     short = words.where(F.length("word") <= FOLDED_CHARS)
     fold = fold_merges if model.kind == "bpe" else fold_viterbi
 
     def folded(words: DataFrame, fold, packed: bool = False) -> DataFrame:
-        return lattice(words, model, packed).select("word", fold(F.col("word"), F.col("edges"), model).alias("ids"))
+        return lattice(words, model, packed).select(*kept, fold(F.col("word"), F.col("edges"), model).alias("ids"))
 
     if model.ordered:
         odd = F.lit(False)
@@ -424,43 +449,176 @@ def encode_words(words: DataFrame, model: Model) -> DataFrame:
     if model.kind != "bpe":
         return out.union(
             lattice(words.where(F.length("word") > FOLDED_CHARS), model).select(
-                "word", fold(F.col("word"), F.col("edges"), model).alias("ids")
+                *kept, fold(F.col("word"), F.col("edges"), model).alias("ids")
             )
         )
     shared = spark.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids = Words(shared.value)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = Words(shared.value)
         for batch in batches:
-            yield pd.DataFrame({"word": batch["word"], "ids": [ids[w] for w in batch["word"]]})
+            ids = pa.array([of[w] for w in batch["word"].to_pylist()], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, ids], names=[*kept, "ids"])
 
-    return out.union(words.where(F.length("word") > FOLDED_CHARS).mapInPandas(run, "word string, ids array<int>"))
+    return out.union(words.where(F.length("word") > FOLDED_CHARS).mapInArrow(run, out.schema))
 
 
 @contextmanager
 def _held_groups(spark: SparkSession) -> Iterator[None]:
-    """Spark keeps up to ``HELD_GROUPS`` groups of a task in memory, not 128."""
-    key = "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"
-    was = spark.conf.get(key, None)
-    spark.conf.set(key, HELD_GROUPS)
+    """Spark keeps up to ``HELD_GROUPS`` groups of a task in memory, not 128, and writes scratch tables in less room."""
+    ours = {"spark.sql.objectHashAggregate.sortBased.fallbackThreshold": HELD_GROUPS, "spark.sql.parquet.compression.codec": "zstd"}
+    were = {key: spark.conf.get(key, None) for key in ours}
+    for key, value in ours.items():
+        spark.conf.set(key, value)
     try:
         yield
     finally:
-        spark.conf.unset(key) if was is None else spark.conf.set(key, was)
+        for key, was in were.items():
+            spark.conf.unset(key) if was is None else spark.conf.set(key, was)
+
+
+def _parted(texts: list[str | None], model: Model) -> tuple[pa.Array, np.ndarray]:
+    """Words of texts in turn, as ``split`` parts them, and where the words of each text begin and those of the last end."""
+    marked = [SPACE + t.replace(" ", SPACE) if t else "" for t in texts]
+    joined = "".join(marked)
+    points = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
+    first = np.concatenate(([0], np.cumsum(np.fromiter(map(len, marked), np.int64, len(marked)))))
+    kind = model.kinds[points]
+    cut = np.ones(len(points) + 1, bool)
+    np.logical_not(JOINED.ravel()[(kind[:-1] << 3) | kind[1:]], out=cut[1 : len(points)])
+    cut[first] = True
+    at = np.flatnonzero(cut)
+    width = np.ones(len(points), np.uint8)
+    for more in (0x80, 0x800, 0x10000):
+        width += points >= more
+    ends = np.concatenate(([0], np.cumsum(np.add.reduceat(width, at[:-1], dtype=np.int64) if len(at) > 1 else [])))
+    words = pa.Array.from_buffers(
+        pa.large_string(), len(at) - 1, [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(joined.encode("utf-8"))]
+    )
+    return words, np.searchsorted(at, first)
+
+
+def _blocks(texts: pa.ChunkedArray, most: int) -> Iterator[tuple[int, int]]:
+    """Rows from and to, of about ``most`` code points together; a text of any length is whole."""
+    total = np.cumsum(pc.fill_null(pc.utf8_length(texts), 0).to_numpy()).astype(np.int64)
+    at = 0
+    while at < len(total):
+        to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + most, "right")))
+        yield at, to
+        at = to
+
+
+def _words_of_texts(texts: pa.ChunkedArray, model: Model) -> tuple[pa.ChunkedArray, np.ndarray]:
+    """What ``_parted`` returns, some texts at a time."""
+    words, firsts, n = [], [np.zeros(1, np.int64)], 0
+    for at, to in _blocks(texts, PARTED_CHARS):
+        part, first = _parted(texts[at:to].to_pylist(), model)
+        words.append(part)
+        firsts.append(first[1:] + n)
+        n += len(part)
+    return pa.chunked_array(words, pa.large_string()), np.concatenate(firsts)
+
+
+def _joined(values: pa.Array, first: np.ndarray) -> pa.Array:
+    """Values (large binary) put together from each of ``first`` to the next."""
+    if not len(values):
+        return pa.array([b""] * (len(first) - 1), pa.large_binary())
+    _, ends, data = values.buffers()
+    at = np.frombuffer(ends, np.int64)[values.offset :][first]
+    return pa.Array.from_buffers(pa.large_binary(), len(first) - 1, [None, pa.py_buffer(at), data])
+
+
+class Known:
+    """Words and what is made of their ids: text forms, bytes they decode to; nothing in it is a Python object a word."""
+
+    def __init__(self, words: pa.Array, ids: pa.Array, model: Model):
+        names = [b""] * (max([i for _, i, _ in model.pieces] + [model.first_byte + 255]) + 1)
+        for b in range(256):
+            names[model.first_byte + b] = bytes([b])
+        for p, i, _ in model.pieces:
+            names[i] = p.encode("utf-8", "surrogatepass")
+        self.words, self.model = words, model
+        self.sizes = pc.list_value_length(ids).to_numpy()
+        starts = np.concatenate(([0], np.cumsum(self.sizes, dtype=np.int64)))
+        self.ids, flat = ids, ids.flatten()
+        #: With a comma behind every id.
+        self.forms = _joined(pa.array([b"%d," % i for i in range(len(names))], pa.large_binary()).take(flat), starts)
+        self.bytes = _joined(pa.array(names, pa.large_binary()).take(flat), starts)
+        #: Whether every word decodes to itself, so that any text of them does.
+        self.same = self.bytes.equals(words.cast(pa.large_binary()))
+
+    def rows(self, texts: pa.Table, with_ids: bool) -> pa.Table:
+        """One row a text (``doc_id, text``); its words are all known."""
+        words, first = _words_of_texts(texts["text"], self.model)
+        at = pc.index_in(words, value_set=self.words).combine_chunks()
+        if at.null_count:
+            raise ValueError("a text has a word that its chunk has no ids for")
+        sizes = np.concatenate(([0], np.cumsum(self.sizes[at.to_numpy()], dtype=np.int64)))[first]
+        forms = _joined(self.forms.take(at), first).to_pylist()
+        coded = words.combine_chunks().cast(pa.large_binary()) if self.same else self.bytes.take(at)
+        digests = [hashlib.sha256(back([x]).encode("utf-8", "surrogatepass")).hexdigest() for x in _joined(coded, first).to_pylist()]
+        crcs = [zlib.crc32(memoryview(x)[:-1]) for x in forms]
+        out = [texts["doc_id"], pa.array(np.diff(sizes)), pa.array(crcs, pa.int64()), pa.array(digests, pa.string())]
+        if with_ids:
+            flat = self.ids.take(at).flatten()
+            out.append(pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), flat.cast(pa.int32())))
+        return pa.Table.from_arrays(out, names=["doc_id", "n_ids", "ids_crc32", "decoded_sha256", *(["ids"] if with_ids else [])])
+
+
+def _pack(part: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    codec = pa.Codec("zstd", compression_level=ZSTD_LEVEL)
+    with pa.ipc.new_stream(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression=codec)) as out:
+        out.write_table(part)
+    return sink.getvalue().to_pybytes()
+
+
+def _unpack(blobs: pa.ChunkedArray) -> Iterator[pa.Table]:
+    for blob in blobs:
+        yield pa.ipc.open_stream(blob.as_buffer()).read_all()
+
+
+def _one_list(numbers: pa.Array) -> pa.Array:
+    """All numbers as one list, no wider than they need."""
+    values = numbers.to_numpy(zero_copy_only=False)
+    narrow = values.astype(np.min_scalar_type(int(values.max(initial=0))))
+    return pa.LargeListArray.from_arrays(pa.array([0, len(narrow)], pa.int64()), pa.array(narrow))
+
+
+def _narrowed(part: pa.Table) -> pa.Table:
+    """Words and their ids as one row, sizes instead of places, which takes less room when compressed."""
+    words, ids = part["word"].combine_chunks(), part["ids"].combine_chunks()
+    return pa.table(
+        {
+            "word": _joined(words.cast(pa.large_binary()), np.array([0, len(words)])),
+            "sizes": _one_list(pc.binary_length(words)),
+            "ids": _one_list(ids.flatten()),
+            "counts": _one_list(pc.list_value_length(ids)),
+        }
+    )
+
 
+def _widened(row: pa.Table) -> pa.Table:
+    data, sizes, ids, counts = (row[n].combine_chunks() for n in ("word", "sizes", "ids", "counts"))
+    at, of_ids = (np.concatenate(([0], np.cumsum(x.flatten().to_numpy(), dtype=np.int64))) for x in (sizes, counts))
+    words = pa.Array.from_buffers(pa.large_string(), len(at) - 1, [None, pa.py_buffer(at), data.buffers()[2]])
+    lists = pa.LargeListArray.from_arrays(pa.array(of_ids), ids.flatten().cast(pa.int32()))
+    return pa.Table.from_arrays([words, lists], schema=WORDS)
 
-def _packed(rows: pa.Table, order: np.ndarray, chunks: np.ndarray, name: str) -> Iterator[pa.RecordBatch]:
+
+def _packed(rows: pa.Table, order: np.ndarray, chunks: np.ndarray, name: str, form=lambda x: x) -> Iterator[pa.RecordBatch]:
     """``(chunk, name)``: the rows at ``order``, compressed together for each of the sorted ``chunks`` beside them."""
     found, at = np.unique(chunks, return_index=True)
     for chunk, start, stop in zip(found.tolist(), at.tolist(), [*at[1:].tolist(), len(chunks)]):
         part = rows.take(pa.array(order[start:stop])).combine_chunks()
-        sink = pa.BufferOutputStream()
-        with pa.ipc.new_stream(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-            out.write_table(part)
-        blob = pa.array([sink.getvalue().to_pybytes()], pa.binary())
+        blob = pa.array([_pack(form(part))], pa.binary())
         yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), blob], names=["chunk", name])
 
 
+TEXTS = pa.schema([("doc_id", pa.int64()), ("text", pa.string())])
+WORDS = pa.schema([("word", pa.large_string()), ("ids", pa.large_list(pa.int32()))])
+
+
 def _pack_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         chunks = batch["chunk"].to_numpy()
@@ -478,7 +636,7 @@ def _pack_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lists = rows["chunks"].combine_chunks()
         chunks, word = pc.list_flatten(lists).to_numpy(), pc.list_parent_indices(lists).to_numpy()
         order = np.argsort(chunks, kind="stable")
-        yield from _packed(rows.select(["word", "ids"]), word[order], chunks[order], "words")
+        yield from _packed(rows.select(["word", "ids"]), word[order], chunks[order], "words", _narrowed)
 
     for batch in batches:
         held.append(batch)
@@ -488,11 +646,22 @@ def _pack_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from out()
 
 
-def _unpacked(blobs: Iterable[bytes]) -> Iterator[tuple]:
-    """Pairs of the two columns of each."""
-    for blob in blobs:
-        a, b = pa.ipc.open_stream(blob).read_all().columns
-        yield from zip(a.to_pylist(), b.to_pylist())
+def _words_in(batch: pa.RecordBatch, model: Model) -> pa.Table:
+    """``(word, chunks)``: the distinct words of the batch's texts and the chunks they are in."""
+    at = batch["chunk"].to_numpy()
+    order = np.argsort(at, kind="stable")
+    found, first = np.unique(at[order], return_index=True)
+    words = []
+    for start, stop in zip(first.tolist(), [*first[1:].tolist(), len(at)]):
+        texts = pa.chunked_array([batch["text"].take(pa.array(order[start:stop]))])
+        words.append(_words_of_texts(texts, model)[0].unique())
+    coded = pa.chunked_array(words, pa.large_string()).combine_chunks().dictionary_encode()
+    place, chunks = coded.indices.to_numpy(), np.repeat(found, list(map(len, words)))
+    sizes = np.bincount(place, minlength=len(coded.dictionary))
+    lists = pa.ListArray.from_arrays(
+        pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32()), pa.array(chunks[np.argsort(place, kind="stable")], pa.int64())
+    )
+    return pa.table({"word": coded.dictionary.cast(pa.string()), "chunks": lists})
 
 
 def encode(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
@@ -501,7 +670,8 @@ def encode(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     Distinct words are encoded once, over their lattice.  Texts are dealt into
     chunks of about ``CHUNK_CHARS`` by a hash of id and text, so copies spread;
     a chunk meets the ids of its own distinct words, which its size bounds.  A
-    word carries the list of its chunks; texts, and words with their ids, travel compressed.
+    word carries the list of its chunks, over its lattice too; texts, and words
+    with their ids, travel compressed.  Texts are parted and ids looked up in arrays.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark)
@@ -513,18 +683,8 @@ def encode(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
     def words_in(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = batch["chunk"].to_numpy()
-            order = np.argsort(at, kind="stable")
-            chunks: dict[str, list[int]] = {}
-            for chunk, rows_of in groupby(order.tolist(), at.__getitem__):
-                for word in set().union(*(split(batch["text"][k].as_py(), shared.value) for k in rows_of)):
-                    chunks.setdefault(word, []).append(int(chunk))
-            words = sorted(chunks)
-            for at in range(0, len(words), TASK_WORDS):
-                part = words[at : at + TASK_WORDS]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(part, pa.string()), pa.array([chunks[w] for w in part], pa.list_(pa.int64()))], names=["word", "chunks"]
-                )
+            yield from _words_in(batch, shared.value).to_batches(TASK_WORDS)
+            pa.default_memory_pool().release_unused()
 
     dealt = rows.mapInArrow(words_in, "word string, chunks array<long>").repartition("word")
     with _held_groups(spark):
@@ -532,20 +692,22 @@ def encode(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
         del dealt
         _free(spark)
         # so many tasks that a task groups the edges of its words in memory
-        spread = used.select("word").repartition(used.count() // TASK_WORDS + 1, "word")
+        spread = used.repartition(used.count() // TASK_WORDS + 1, "word")
         coded = scratch.keep(encode_words(spread, model), "spm-words")
         del spread
         _free(spark)
 
-    def run(texts: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-        words = Coded(shared.value)
-        of = {w: words.forms(ids) for w, ids in _unpacked(known["words"])}
-        out = [_row(i, list(map(of.__getitem__, words.split(t))), with_ids) for i, t in _unpacked(texts["texts"])]
-        return _frame(out, with_ids)
+    def run(texts: pa.Table, words: pa.Table) -> pa.Table:
+        texts = pa.concat_tables([TEXTS.empty_table(), *(x.cast(TEXTS) for x in _unpack(texts["texts"]))])
+        words = pa.concat_tables([WORDS.empty_table(), *map(_widened, _unpack(words["words"]))])
+        known = Known(*(words[n].combine_chunks() for n in WORDS.names), shared.value)
+        out = [known.rows(texts[at:to], with_ids) for at, to in list(_blocks(texts["text"], FOUND_CHARS)) or [(0, 0)]]
+        pa.default_memory_pool().release_unused()
+        return pa.concat_tables(out)
 
-    known = used.join(coded, "word").select("word", "ids", "chunks").mapInArrow(_pack_words, "chunk long, words binary")
+    known = coded.mapInArrow(_pack_words, "chunk long, words binary")
     texts = rows.mapInArrow(_pack_texts, "chunk long, texts binary")
-    return texts.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInPandas(run, OUT + ", ids array<int>" * with_ids)
+    return texts.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(run, OUT + ", ids array<int>" * with_ids)
 
 
 def _free(spark: SparkSession) -> None:

@@ -1,7 +1,9 @@
 import hashlib
 import itertools
 import random
+import zlib
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -117,3 +119,63 @@ def test_a_word_is_kept_once_however_many_chunks_hold_it(spark, monkeypatch):
     assert sorted(got, key=str) == sorted(want, key=str)
     assert kept["spm-used"].count() == len({w for t in texts for w in s.split(t, model)})
     assert spark.conf.get("spark.sql.objectHashAggregate.sortBased.fallbackThreshold") == before
+
+
+def test_texts_parted_in_arrays_equal_split(monkeypatch):
+    """Every code point, alone and beside others, by both ways of parting, texts over and under a block."""
+    monkeypatch.setattr(s, "PARTED_CHARS", 1000)
+    rnd = random.Random(11)
+    every = "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000)
+    texts = [None, "", None, *TEXTS, every, "".join(rnd.sample(every, len(every)))]
+    texts += ["".join(rnd.choice("ab1_² \n.▁é日٣\U0001f600\t") for _ in range(rnd.randrange(40))) for _ in range(2000)]
+    whole = s.Model([("a", 300, -9.0), ("b.", 301, -9.5), ("1b", 302, -9.6)], "bpe", 3)
+    assert whole.word is s.WORD
+    for model in (s.load(PATH), whole):
+        words, first = s._words_of_texts(pa.chunked_array([pa.array(texts, pa.string())]), model)
+        words = words.to_pylist()
+        assert [words[a:b] for a, b in zip(first, first[1:])] == [s.split(t, model) for t in texts]
+    words, first = s._words_of_texts(pa.chunked_array([pa.array([None, ""], pa.string())]), whole)
+    assert len(words) == 0 and first.tolist() == [0, 0, 0]
+
+
+def test_words_travel_narrow_and_decode_by_their_ids():
+    model = s.load(PATH)
+    words = sorted({w for t in TEXTS for w in s.split(t, model)} | {f"▁w{k}é" for k in range(3000)})
+    coded = s.Words(model)
+    table = pa.Table.from_arrays([pa.array(words, pa.large_string()), pa.array([coded[w] for w in words], pa.large_list(pa.int32()))], schema=s.WORDS)
+    for part in (table, table[7:50], table[:0]):
+        assert s._widened(s._narrowed(part)).equals(part)
+    assert len(s._pack(s._narrowed(table))) < 0.8 * len(s._pack(table))
+    texts = pa.table({"doc_id": pa.array([7, None, 8], pa.int64()), "text": ["a b", None, "b"]})
+    wrong = {"▁a": [s.Words(model)["▁b"][0]], "▁b": [model.first_byte + 0xFF]}
+    known = s.Known(pa.array(list(wrong), pa.large_string()), pa.array(list(wrong.values()), pa.large_list(pa.int32())), model)
+    got = known.rows(texts, True).to_pylist()
+    ids = [wrong["▁a"] + wrong["▁b"], [], wrong["▁b"]]
+    assert [(r["doc_id"], r["n_ids"], r["ids"]) for r in got] == [(7, 2, ids[0]), (None, 0, []), (8, 1, ids[2])]
+    assert [r["ids_crc32"] for r in got] == [zlib.crc32(",".join(map(str, x)).encode()) for x in ids]
+    assert [r["decoded_sha256"] for r in got] == [hashlib.sha256(x.encode()).hexdigest() for x in ("b\ufffd", "", "\ufffd")]
+    with pytest.raises(ValueError, match="no ids"):
+        known.rows(pa.table({"doc_id": [1], "text": ["c"]}), False)
+
+
+def test_words_keep_their_chunks_over_the_lattice(spark, monkeypatch):
+    """No join of words and chunks; a word in many chunks and one merged on a heap among them."""
+    monkeypatch.setattr(s, "CHUNK_CHARS", 100)
+    kept, keep = {}, s.Scratch.keep
+
+    def noted(self, df, name):
+        kept[name] = keep(self, df, name)
+        return kept[name]
+
+    monkeypatch.setattr(s.Scratch, "keep", noted)
+    texts = [f"the {'y' * 80} {k % 3}   ▁▁▁a" for k in range(40)]
+    out = s.encode(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), s.load(PATH))
+    plan = out._jdf.queryExecution().sparkPlan().toString()
+    assert "Join" not in plan and "FlatMapCoGroupsInArrow" in plan
+    sp = processor()
+    got = {r.doc_id: r for r in out.collect()}
+    assert [got[k].ids for k in range(40)] == [sp.encode(t) for t in texts]
+    assert [got[k].decoded_sha256 for k in range(40)] == [hashlib.sha256(sp.decode(sp.encode(t)).encode()).hexdigest() for t in texts]
+    chunks = {r.word: r.chunks for r in kept["spm-words"].collect()}
+    assert chunks == {r.word: r.chunks for r in kept["spm-used"].collect()} and len(chunks["▁the"]) > 10
+    assert len(chunks["▁" + "y" * 80]) == len(set(chunks["▁the"]))
