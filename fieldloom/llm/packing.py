@@ -21,15 +21,16 @@ ignored.
 
 from __future__ import annotations
 
-import string
 import unicodedata
 import zlib
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,143 +40,166 @@ CAPACITY = 4096
 END_ID = 1
 #: Pieces for which a length has one more salted bucket.
 BUCKET_ROWS = 20_000
-#: Chunks whose ids a worker remembers; only speed depends on it.
-CACHE = 600_000
-#: Lower-case runs of letters whose ids it remembers besides; chunks are made of them.
-WORDS = 1_200_000
+#: Runs of letters whose ids a worker remembers, and other runs; only speed depends on them.
+WORDS, CACHE = 1_200_000, 300_000
 #: Fillings listed for a sequence and nodes visited for them, branches tried, and steps of the search
 #: beside those that go deeper than any before.
 FILLINGS, NODES, BRANCHES, STEPS = 50, 1000, 3, 2000
 
 
-#: Characters of texts whose words are looked up together, and chunks encoded in one call.
-TOGETHER, CALL = 1 << 20, 1000
+#: Characters of texts that are parted, and whose runs are looked up, together; runs encoded in one call.
+TOGETHER, CALL = 1 << 21, 1000
 
-
-#: Marks of which a chunk may have a run after its letters, a word of its own; with "'" letters may follow in a token.
-MARKS = string.punctuation.replace("'", "")
+#: Kinds of characters; those that this Unicode version doesn't know, or beyond ``POINTS``, are left to the tokenizer.
+SPACE, LETTER, DIGIT, OTHER, ODD = range(5)
+POINTS = 0x40000
+WHITE = "\t\n\v\f\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 #: What the vocabulary writes at the end of a word.
 WORD_END = "</w>"
 
 
+@cache
+def kinds() -> np.ndarray:
+    """The kind of every code point; the last is an odd one, so that clipping finds it for those beyond."""
+    majors = {"L": LETTER, "N": DIGIT}
+    names = map(unicodedata.category, map(chr, range(POINTS)))
+    out = np.fromiter((ODD if c == "Cn" or c == "Cs" else majors.get(c[0], OTHER) for c in names), np.uint8, POINTS)
+    out[list(map(ord, WHITE))] = SPACE
+    return out
+
+
+def _starts(points: np.ndarray, kind: np.ndarray) -> np.ndarray:
+    """Whether a run begins at a character: letters, a digit, others, or ``'s 't 'm 'd 're 've 'll`` not behind others."""
+    first = np.empty(len(kind), bool)
+    first[:1] = True
+    np.not_equal(kind[1:], kind[:-1], out=first[1:])
+    first |= kind == DIGIT
+    at = np.flatnonzero(points == ord("'"))
+    at = at[(at == 0) | (kind[at - 1] != OTHER)]
+    one, two = points.take(at + 1, mode="clip"), points.take(at + 2, mode="clip")
+    r, v, e, l = map(ord, "rvel")  # noqa: E741
+    long = ((one == r) | (one == v)) & (two == e) | (one == l) & (two == l)
+    short = np.isin(one, list(map(ord, "stmd")))
+    first[at[long | short] + 1] = False
+    first[at[short] + 2] = True
+    first[at[long] + 3] = True
+    return first & (kind != SPACE)
+
+
+def _stretches(text: str) -> Iterator[str]:
+    """A long text cut before spaces, where there are any."""
+    at = 0
+    while len(text) - at > TOGETHER:
+        stop = text.rfind(" ", at + 1, at + TOGETHER)
+        if stop < 0 and (stop := text.find(" ", at + TOGETHER)) < 0:
+            break
+        yield text[at:stop]
+        at = stop
+    yield text[at:]
+
+
 class Ids(dict):
-    """White-space separated chunk -> its ids as little-endian unsigned 32-bit bytes.
+    """Run of characters -> its ids as little-endian unsigned 32-bit bytes; ``words`` has those of letters.
 
-    No token of the vocabulary spans white space and its normaliser treats
-    chunks alike, so ids of a text are those of its chunks in order.  ``words``
-    has the ids of runs of letters, which stay when the many forms with marks go.
+    The tokenizer parts a normalised text into runs, whose ids do not depend on
+    what stands beside them.  Here texts are parted by their characters' kinds,
+    many together, and the tokenizer gets each distinct run once.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
-        self.encode = tokenizer.encode
+        self.encode, self.normalize = tokenizer.encode, tokenizer.normalizer.normalize_str
         #: whether a token ends a word, by id
         self.ends = np.zeros(tokenizer.get_vocab_size(), bool)
         self.ends[[i for t, i in tokenizer.get_vocab().items() if t.endswith(WORD_END)]] = True
+        #: found in texts as they are, before anything else
+        self.added = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
         self.words: dict[str, bytes] = {}
-        self.marks = {"": b""}
 
     def direct(self, text: str) -> bytes:
         return np.array(self.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    @classmethod
-    def lower(cls, text: str | None) -> str:
-        """The text in lower case where normalising is no more than that, else as it is; fewer chunks differ then."""
-        if not text:
-            return ""
-        low = text.lower()
-        return low if cls.simple(text, low) else text
-
-    @staticmethod
-    def simple(chunk: str, low: str) -> bool:
-        """Whether normalising a chunk is no more than lower case."""
-        return chunk.isascii() or not (
-            "Σ" in chunk or len(low) != len(chunk) or unicodedata.combining(chunk[0]) or not unicodedata.is_normalized("NFC", chunk)
-        )
-
-    def learn(self, chunks: list[str]) -> None:
-        """Encode lower-case parts of chunks many at a time.
+    def normal(self, text: str) -> str:
+        """The text as it is parted: composed and in lower case, a sigma that ends a word like any other.
 
-        The vocabulary is in lower case, and letters never share a token with
-        what follows them: a run of letters is one word, with marks after it
-        two.  Of words, the last token tells where each ends; of other chunks,
-        the places of their tokens do.
+        Which marks can be put in order differs by Unicode version, so the tokenizer composes.
         """
-        words, marks, fresh, others, made = self.words, self.marks, set(), set(), []
-        new: list[str] = []
-        new_words: list[str] = []
-        new_marks: list[str] = []
-        for c in chunks:
-            low = c.lower()
-            if not self.simple(c, low):
-                self[c] = self.direct(c)
-                continue
-            word, mark = low, ""
-            if not low.isalpha():
-                word = low.rstrip(MARKS)
-                if not word.isalpha():
-                    others.add(low)
-                    made.append((c, low))
-                    continue
-                mark = low[len(word) :]
-                if mark not in marks:
-                    if len(marks) >= CALL:
-                        marks.clear()
-                        marks[""] = b""
-                    marks[mark] = self.direct(mark)
-            if (ids := words.get(word)) is not None:
-                self[c] = ids + marks[mark] if mark else ids
-            else:
-                fresh.add(word)
-                new.append(c)
-                new_words.append(word)
-                new_marks.append(mark)
-        if len(words) + len(fresh) > WORDS:
-            words.clear()
-        plain = list(fresh)
-        for at in range(0, len(plain), CALL):
-            part = plain[at : at + CALL]
+        if text.isascii():
+            return text.lower()
+        return text.replace("Σ", "σ").lower() if unicodedata.is_normalized("NFC", text) else self.normalize(text)
+
+    def learn(self, runs: list[str], into: dict[str, bytes]) -> None:
+        """Encode runs many at a time; a run's last token tells where it ends."""
+        for at in range(0, len(runs), CALL):
+            part = runs[at : at + CALL]
             ids = np.array(self.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
             cuts = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
             data = ids.tobytes()
             if len(cuts) != len(part):
-                words.update((w, self.direct(w)) for w in part)
+                into.update((x, self.direct(x)) for x in part)
                 continue
-            words.update(zip(part, [data[i:j] for i, j in zip([0, *cuts], cuts)]))
-        for c, word, mark in zip(new, new_words, new_marks):
-            self[c] = words[word] + (marks[mark] if mark in marks else self.direct(mark)) if mark else words[word]
-        plain = [x for x in others if x not in self]
-        for at in range(0, len(plain), CALL):
-            part = plain[at : at + CALL]
-            found = self.encode(" ".join(part), add_special_tokens=False)
-            data = np.array(found.ids, "<u4").tobytes()
-            starts = np.fromiter((o[0] for o in found.offsets), np.int64, len(found.ids))
-            cuts = (4 * np.searchsorted(starts, np.cumsum([len(c) + 1 for c in part]))).tolist()
-            self.update(zip(part, [data[i:j] for i, j in zip([0, *cuts], cuts)]))
-        for c, low in made:
-            if c != low:
-                self[c] = self[low]
+            into.update(zip(part, [data[i:j] for i, j in zip([0, *cuts], cuts)]))
+
+    def known(self, runs: list[str]) -> list[bytes]:
+        """Ids of distinct runs."""
+        if len(self.words) > WORDS:
+            self.words.clear()
+        if len(self) > CACHE:
+            self.clear()
+        out = list(map(self.words.get, runs))
+        rest = [k for k, x in enumerate(out) if x is None]
+        new = [x for k in rest if (x := runs[k]) not in self]
+        self.learn([x for x in new if x.isalpha()], self.words)
+        self.learn([x for x in new if not x.isalpha()], self)
+        for k in rest:
+            out[k] = self.words.get(runs[k]) or self[runs[k]]
+        return out
+
+    def together(self, texts: list[str]) -> Iterator[bytes]:
+        """Ids of each text, whose runs are looked up together."""
+        odd = {k for k, t in enumerate(texts) if any(x in t for x in self.added)}
+        plain = ["" if k in odd else self.normal(t) for k, t in enumerate(texts)]
+        # lower case may be not composed, and the tokenizer would compose a run anew
+        odd.update(k for k, t in enumerate(plain) if not (t.isascii() or unicodedata.is_normalized("NFC", t)))
+        ends = np.cumsum([len(t) + 1 for t in plain])
+        joined = "\n".join([*plain, ""])
+        points = np.frombuffer(joined.encode(), np.uint8) if joined.isascii() else np.frombuffer(joined.encode("utf-32-le"), "<u4")
+        kind = kinds().take(points, mode="clip")
+        odd.update(np.searchsorted(ends, np.flatnonzero(kind == ODD), side="right").tolist())
+        first, inner = _starts(points, kind), kind != SPACE
+        points, cuts = points[inner], np.flatnonzero(first[inner])
+        if points.dtype == np.uint8:
+            data, offsets = points.tobytes(), np.append(cuts, len(points))
+        else:
+            data = points.tobytes().decode("utf-32-le").encode()
+            width = np.uint8(1) + (points > 0x7F) + (points > 0x7FF) + (points > 0xFFFF)
+            offsets = np.append(0, np.cumsum(width, dtype=np.int64))[np.append(cuts, len(points))]
+        runs = pa.LargeStringArray.from_buffers(len(cuts), pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(data)).dictionary_encode()
+        ids = self.known(runs.dictionary.to_numpy(zero_copy_only=False).tolist())
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        which = runs.indices.to_numpy()
+        sizes = size[which]
+        till = np.append(0, np.cumsum(sizes))
+        tokens = np.frombuffer(b"".join(ids), "<u4")[np.repeat((np.cumsum(size) - size)[which] - till[:-1], sizes) + np.arange(till[-1])]
+        bounds = [0, *till[np.searchsorted(np.flatnonzero(first), ends)].tolist()]
+        for k, t in enumerate(texts):
+            yield self.direct(t) if k in odd else tokens[bounds[k] : bounds[k + 1]].tobytes()
 
     def of_all(self, texts: list[str | None]) -> Iterator[bytes]:
-        """Ids of each text, looking up the words of some texts together."""
+        """Ids of each text; a long one alone, in stretches."""
         at = 0
         while at < len(texts):
             stop, size = at, 0
-            while stop < len(texts) and (stop == at or size < TOGETHER):
+            while stop < len(texts) and (stop == at or size + len(texts[stop] or "") <= TOGETHER):
                 size += len(texts[stop] or "")
                 stop += 1
-            # the separators of the tokenizer are Unicode white space; split() has four more
-            odd = [any(c in (t or "") for c in "\x1c\x1d\x1e\x1f") for t in texts[at:stop]]
-            words = [[] if o else self.lower(t).split() for t, o in zip(texts[at:stop], odd)]
-            new = set().union(*words)
-            if len(self) + len(new) > CACHE:
-                self.clear()
-            self.learn([w for w in new if w not in self])
-            for t, o, w in zip(texts[at:stop], odd, words):
-                yield self.direct(t) if o else b"".join(map(self.__getitem__, w))
+            if size > TOGETHER:
+                yield b"".join(x for part in _stretches(texts[at]) for x in self.together([part]))
+            else:
+                yield from self.together([t or "" for t in texts[at:stop]])
             at = stop
 
     def of(self, text: str | None) -> bytes:

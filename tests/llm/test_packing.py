@@ -135,3 +135,38 @@ def test_words_are_learned_once_when_chunks_are_forgotten(monkeypatch):
     assert len(asked) == len(set(asked)) and len(set(asked) & set(words)) == len(words)
     for t, data in zip([*texts, None, "", "Σας ΑΣ", "İx \u0301a e\u0301"], got):
         assert np.frombuffer(data, "<u4").tolist() == plain(t or "", add_special_tokens=False).ids, t
+
+
+def test_ids_of_odd_characters_equal_the_tokenizer(monkeypatch):
+    """Lower case that makes a special token or is not composed, white space, contractions, unknown characters, long texts."""
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(PATH)
+    texts = ["<|ENDOFTEXT|>", "a<|endoftext|>B", "H\u0331 J\u030c", "\u0130\u0331\u0323", "e\u0301 \u1100\u1161", "\u0c3c\u089d x\u1ac4\u2ded", "ΣΑΣ'S", "\u1c89x \U00050000'll", "\x1c\x85\u3000\u200b"]
+    texts += ["it's''s 'sun we'll'll ,'re x'RE 9've 'l", "12\u00b2\u2167\U000323af\u65e5", "'", "'v", "'l", None, ""]
+    rnd = random.Random(7)
+    texts += ["".join(rnd.choice("asltmdrve''.1 \nß\u0301İΣ") for _ in range(40)) for _ in range(300)]
+    for together in (packing.TOGETHER, 50):
+        monkeypatch.setattr(packing, "TOGETHER", together)
+        ids = packing.Ids(PATH)
+        for x, data in zip([*texts, " ".join(filter(None, texts))], ids.of_all([*texts, " ".join(filter(None, texts))])):
+            assert np.frombuffer(data, "<u4").tolist() == t.encode(x or "", add_special_tokens=False).ids, x
+
+
+def test_tokenizer_gets_each_run_once_whatever_it_stands_in():
+    """30 words make 900 compounds in four forms; the tokenizer gets the words and marks, not the compounds."""
+    ids = packing.Ids(PATH)
+    rnd = random.Random(12)
+    words = ["".join(rnd.choice("theronäéü") for _ in range(9)) for _ in range(30)]
+    texts = [" ".join(f"{a}-{b} {a}/{b}'s ({a.upper()}) 3{b}" for b in words) for a in words]
+    asked, plain = [], ids.encode
+
+    def encode(text, **more):
+        asked.extend(text.split())
+        return plain(text, **more)
+
+    ids.encode = encode
+    got = list(ids.of_all(texts))
+    assert sorted(asked) == sorted({*words, "-", "/", "'s", "(", ")", "3"})
+    for t, data in zip(texts, got):
+        assert np.frombuffer(data, "<u4").tolist() == plain(t, add_special_tokens=False).ids, t
